@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.common import table
 from tessera.llm.exact_dedup import exact_dedup
+from tessera.llm.mixing import mix
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,9 +28,77 @@ WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+#: Weights of the sources by code point, repeating, and most copies of a document.
+MIX_WEIGHTS, MIX_REPEATS = [5, 2, 1], 3
+
+
+def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(table(spark, sf_dir, "documents"), MIX_WEIGHTS, MIX_REPEATS)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def mix_sql(docs: str) -> str:
+    """The mix as SQL over a relation with doc_id, source and text."""
+    return f"""
+WITH RECURSIVE sized AS (
+  SELECT doc_id, source,
+         CAST(length(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+         (CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
+  FROM {docs}),
+classed AS (
+  SELECT *, CASE WHEN size = 0 THEN 0 ELSE 2 * length(bin(size))
+         + CAST(CAST(size AS DOUBLE) * size >= pow(2.0::DOUBLE, 2 * length(bin(size)) - 1) AS INT) END AS class
+  FROM sized),
+weighed AS (
+  SELECT source, sum(size) AS source_size,
+         row_number() OVER (ORDER BY source ASC NULLS LAST) AS place
+  FROM classed GROUP BY source),
+caps AS (
+  SELECT *, [5, 2, 1][CAST((place - 1) % 3 + 1 AS INT)] AS weight, 3 * source_size AS cap, sum(source_size) OVER () AS words FROM weighed),
+levels AS (
+  SELECT *, cap * (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) <= weight * (words - coalesce(sum(cap) OVER before, 0)) AS is_full
+  FROM caps
+  WINDOW before AS (ORDER BY CAST(cap AS DOUBLE) / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+targets AS (
+  SELECT source, CAST(source_size AS BIGINT) AS source_size,
+         CASE WHEN is_full THEN CAST(cap AS DOUBLE)
+              ELSE weight * (CAST(words - coalesce(sum(CASE WHEN is_full THEN cap END) OVER (), 0) AS DOUBLE)
+                   / CAST(sum(CASE WHEN NOT is_full THEN weight END) OVER () AS DOUBLE)) END AS target
+  FROM levels),
+shares AS (
+  SELECT *, coalesce(target / nullif(source_size, 0), 0) AS copies FROM targets),
+strata AS (
+  SELECT source, class, count(*) AS n_docs, CAST(sum(size) AS BIGINT) AS words, CAST(sum(size * size) AS BIGINT) AS squares,
+         row_number() OVER (PARTITION BY source ORDER BY class DESC) AS k
+  FROM classed WHERE class > 0 GROUP BY source, class),
+draws AS (
+  SELECT source, CAST(0 AS BIGINT) AS k, CAST(0 AS INT) AS class, CAST(0 AS BIGINT) AS n_draw, 0.0::DOUBLE AS carry FROM weighed
+  UNION ALL
+  SELECT source, k, class, n_draw, want - n_draw * mean FROM (
+    SELECT s.source, s.k, CAST(s.class AS INT) AS class, w.want, CAST(s.squares AS DOUBLE) / s.words AS mean,
+           CAST(greatest(0, least(s.n_docs, floor(w.want / (CAST(s.squares AS DOUBLE) / s.words) + 0.5))) AS BIGINT) AS n_draw
+    FROM (SELECT d.source, d.k, (h.copies - floor(h.copies)) * t.words + d.carry AS want
+          FROM draws d JOIN shares h ON d.source IS NOT DISTINCT FROM h.source
+          JOIN strata t ON t.source IS NOT DISTINCT FROM d.source AND t.k = d.k + 1) w
+    JOIN strata s ON s.source IS NOT DISTINCT FROM w.source AND s.k = w.k + 1)),
+ranked AS (
+  SELECT c.doc_id, c.source, c.size, c.class, h.source_size, h.target, floor(h.copies) AS whole, d.n_draw,
+         least(1.0::DOUBLE, CAST(d.n_draw AS DOUBLE) * c.size / s.words) AS p, c.u
+  FROM classed c JOIN shares h ON c.source IS NOT DISTINCT FROM h.source
+  LEFT JOIN draws d ON c.source IS NOT DISTINCT FROM d.source AND c.class = d.class AND c.class > 0
+  LEFT JOIN strata s ON c.source IS NOT DISTINCT FROM s.source AND c.class = s.class),
+keyed AS (
+  SELECT *, (u / (1.0::DOUBLE - u)) * ((1.0::DOUBLE - p) / nullif(p, 0)) AS odds FROM ranked)
+SELECT doc_id, size, source_size, target,
+       CAST(CASE WHEN size = 0 THEN 0 ELSE size * (whole + CASE WHEN n_draw > 0 AND row_number() OVER (
+         PARTITION BY source, class ORDER BY odds / (1.0::DOUBLE + odds) ASC NULLS LAST, doc_id) <= n_draw THEN 1 ELSE 0 END) END AS BIGINT) AS taken
+FROM keyed
+"""
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_exact_dedup": op1_exact_dedup}
+    return {"op1_exact_dedup": op1_exact_dedup, "op10_mix_sources": op10_mix_sources}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op10_mix_sources": mix_sql("documents")}
