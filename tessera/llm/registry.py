@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import fold_of, table
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.mixing import mix
+from tessera.llm.toxicity import toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +30,12 @@ WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = fold_of("doc_id", 3) == 1
+    scored = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn=~held_out, threshold=0.7)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 #: Weights of the sources by code point, repeating, and most copies of a document.
 MIX_WEIGHTS, MIX_REPEATS = [5, 2, 1], 3
 
@@ -97,7 +105,7 @@ FROM keyed
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_exact_dedup": op1_exact_dedup, "op10_mix_sources": op10_mix_sources}
+    return {"op1_exact_dedup": op1_exact_dedup, "op8_toxicity": op8_toxicity, "op10_mix_sources": op10_mix_sources}
 
 
 def oracle_sql() -> dict[str, str]:
