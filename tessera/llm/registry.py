@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import fold_of, table
 from tessera.llm.exact_dedup import exact_dedup
+from tessera.llm.jaccard_join import jaccard_join
 from tessera.llm.mixing import mix
 from tessera.llm.toxicity import toxicity
 
@@ -36,6 +37,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 #: Weights of the sources by code point, repeating, and most copies of a document.
 MIX_WEIGHTS, MIX_REPEATS = [5, 2, 1], 3
 
@@ -105,7 +110,7 @@ FROM keyed
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_exact_dedup": op1_exact_dedup, "op8_toxicity": op8_toxicity, "op10_mix_sources": op10_mix_sources}
+    return {"op1_exact_dedup": op1_exact_dedup, "op8_toxicity": op8_toxicity, "op9_jaccard_join": op9_jaccard_join, "op10_mix_sources": op10_mix_sources}
 
 
 def oracle_sql() -> dict[str, str]:
