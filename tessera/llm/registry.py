@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import fold_of, table
+from tessera.llm.decontamination import contaminated
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.jaccard_join import jaccard_join
 from tessera.llm.mixing import mix
@@ -31,6 +32,10 @@ WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = fold_of("doc_id", 3) == 1
     scored = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn=~held_out, threshold=0.7)
@@ -110,7 +115,7 @@ FROM keyed
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_exact_dedup": op1_exact_dedup, "op8_toxicity": op8_toxicity, "op9_jaccard_join": op9_jaccard_join, "op10_mix_sources": op10_mix_sources}
+    return {"op1_exact_dedup": op1_exact_dedup, "op4_decontamination": op4_decontamination, "op8_toxicity": op8_toxicity, "op9_jaccard_join": op9_jaccard_join, "op10_mix_sources": op10_mix_sources}
 
 
 def oracle_sql() -> dict[str, str]:
