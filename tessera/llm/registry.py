@@ -12,6 +12,8 @@ from tessera.llm.decontamination import contaminated
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.jaccard_join import jaccard_join
 from tessera.llm.mixing import mix
+from tessera.llm.quality import quality
+from tessera.llm.token_counts import token_counts, tokenizer_path
 from tessera.llm.toxicity import toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,10 +34,20 @@ WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = fold_of("doc_id", 5) == 0
+    scored = quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn=~held_out, threshold=0.3)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), limit=512)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = fold_of("doc_id", 3) == 1
     scored = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn=~held_out, threshold=0.7)
@@ -115,7 +127,7 @@ FROM keyed
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_exact_dedup": op1_exact_dedup, "op4_decontamination": op4_decontamination, "op8_toxicity": op8_toxicity, "op9_jaccard_join": op9_jaccard_join, "op10_mix_sources": op10_mix_sources}
+    return {"op1_exact_dedup": op1_exact_dedup, "op2_quality": op2_quality, "op5_token_counts": op5_token_counts, "op4_decontamination": op4_decontamination, "op8_toxicity": op8_toxicity, "op9_jaccard_join": op9_jaccard_join, "op10_mix_sources": op10_mix_sources}
 
 
 def oracle_sql() -> dict[str, str]:
