@@ -102,7 +102,7 @@ def path_keys(prints: np.ndarray, multipliers: np.ndarray, counts: list[int]) ->
 
 
 def signatures(docs: DataFrame, n: int, runs: int, id_col: str, text_col: str) -> DataFrame:
-    """(row_no, id, set_key, n_set, prints, keys1..keys3) of each document; keys are null for a text without words."""
+    """(row_no, id, text_hash, set_key, n_set, prints, keys1..keys3) of each document; keys are null for a text without words."""
     multipliers, counts = _nodes(runs)
     cuts = np.cumsum([0, *counts])
 
@@ -111,7 +111,7 @@ def signatures(docs: DataFrame, n: int, runs: int, id_col: str, text_col: str) -
 
         hashes = WordHashes()
         for pdf in batches:
-            out = {"row_no": pdf["row_no"], "id": pdf["id"], "set_key": [], "n_set": [], "prints": []} | {f"keys{k + 1}": [] for k in range(LEVELS)}
+            out = {"row_no": pdf["row_no"], "id": pdf["id"], "text_hash": pdf["text_hash"], "set_key": [], "n_set": [], "prints": []} | {f"keys{k + 1}": [] for k in range(LEVELS)}
             for text in pdf["text"]:
                 prints = fingerprints(text, n, hashes)
                 raw = prints.astype("<u4").tobytes()
@@ -123,9 +123,9 @@ def signatures(docs: DataFrame, n: int, runs: int, id_col: str, text_col: str) -
                     out[f"keys{k + 1}"].append(None if keys is None else keys[cuts[k] : cuts[k + 1]])
             yield pd.DataFrame(out)
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row_no"), F.col(id_col).cast("bigint").alias("id"), whole_text(text_col).alias("text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row_no"), F.col(id_col).cast("bigint").alias("id"), F.xxhash64(whole_text(text_col)).alias("text_hash"), whole_text(text_col).alias("text"))
     keys = ", ".join(f"keys{k + 1} array<bigint>" for k in range(LEVELS))
-    return rows.mapInPandas(apply, f"row_no bigint, id bigint, set_key binary, n_set int, prints binary, {keys}")
+    return rows.mapInPandas(apply, f"row_no bigint, id bigint, text_hash bigint, set_key binary, n_set int, prints binary, {keys}")
 
 
 def leaves(sets: DataFrame, block: int) -> DataFrame:
@@ -234,20 +234,20 @@ def _compare_sorted(batches, threshold: float):
 
 
 def jaccard_join(docs: DataFrame, n: int = N_GRAM, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", recall: float = TARGET_RECALL, block: int = BLOCK) -> DataFrame:
-    """One row per document: id, class_id, n_links, n_set_links, row_no and class_row.
+    """One row per document: id, class_id, n_links, n_set_links, text_hash, row_no and class_row.
 
     Two documents are linked when the Jaccard similarity of their sets of word n-grams
     (lower case, punctuation ignored) is at least the threshold. class_id is the least
     id among all documents reached over links; n_links counts linked documents, copies
-    too, and n_set_links counts linked different sets. row_no and class_row name rows
-    where ids repeat: class_row is the row that stands for the class. A text of fewer
+    too, and n_set_links counts linked different sets. text_hash (64 bits), row_no and class_row name rows
+    where ids repeat; class_row is the row that stands for the class. A text of fewer
     words than n is one n-gram; a null, empty or wordless text is linked with nothing.
     Equal rows are documents of their own that are linked. An empty table gives no rows.
     Other columns are ignored.
     """
     spark = docs.sparkSession
     signed = durable(signatures(docs, n, runs_for(threshold, recall), id_col, text_col))
-    wordless = signed.where("n_set = 0").select("row_no", "id")
+    wordless = signed.where("n_set = 0").select("row_no", "id", "text_hash")
     worded = signed.where("n_set > 0")
     groups = durable(worded.groupBy("set_key").agg(F.min("row_no").alias("rep"), F.count(F.lit(1)).alias("weight")))
     sets = worded.join(groups.select(F.col("rep").alias("row_no"), "weight"), "row_no")
@@ -275,8 +275,8 @@ def jaccard_join(docs: DataFrame, n: int = N_GRAM, threshold: float = THRESHOLD,
         (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
         F.coalesce("set_links", F.lit(0)).alias("n_set_links"),
     )
-    rows = worded.select("row_no", "id", "set_key").join(per_group, "set_key").drop("set_key")
-    rows = rows.unionByName(wordless.select("row_no", "id", F.col("row_no").alias("class_row"), F.lit(0).cast("bigint").alias("n_links"), F.lit(0).cast("bigint").alias("n_set_links")))
+    rows = worded.select("row_no", "id", "text_hash", "set_key").join(per_group, "set_key").drop("set_key")
+    rows = rows.unionByName(wordless.select("row_no", "id", "text_hash", F.col("row_no").alias("class_row"), F.lit(0).cast("bigint").alias("n_links"), F.lit(0).cast("bigint").alias("n_set_links")))
     rows = durable(rows)
     least = rows.groupBy("class_row").agg(F.min("id").alias("class_id"))
-    return rows.join(least, "class_row").select(F.col("id").alias(id_col), "class_id", "n_links", "n_set_links", "row_no", "class_row")
+    return rows.join(least, "class_row").select(F.col("id").alias(id_col), "class_id", "n_links", "n_set_links", "text_hash", "row_no", "class_row")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -132,7 +133,7 @@ FROM keyed
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_exact_dedup": op1_exact_dedup, "op2_quality": op2_quality, "op3_secret_scan": op3_secret_scan, "op5_token_counts": op5_token_counts, "op4_decontamination": op4_decontamination, "op8_toxicity": op8_toxicity, "op9_jaccard_join": op9_jaccard_join, "op10_mix_sources": op10_mix_sources}
+    return {"op1_exact_dedup": op1_exact_dedup, "op2_quality": op2_quality, "op3_secret_scan": op3_secret_scan, "op5_token_counts": op5_token_counts, "op4_decontamination": op4_decontamination, "op8_toxicity": op8_toxicity, "op9_jaccard_join": op9_jaccard_join, "op10_mix_sources": op10_mix_sources, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
