@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from tessera.llm.common import fold_of, table
 from tessera.llm.decontamination import contaminated
 from tessera.llm.exact_dedup import exact_dedup
+from tessera.llm.fixity import audit, damaged, warc_record
 from tessera.llm.jaccard_join import jaccard_join
 from tessera.llm.mixing import mix
 from tessera.llm.quality import quality
 from tessera.llm.secrets import scan, scan_sql, secret_digests
+from tessera.llm.substring_dedup import without_repeats
 from tessera.llm.token_counts import token_counts, tokenizer_path
 from tessera.llm.toxicity import toxicity
 
@@ -54,6 +56,40 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), limit=512)
 
 
+def op6_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as a WARC archive, audited against a replica with the damage that ``damaged`` does."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", warc_record(F.col("url"), F.col("html")).alias("record"))
+    return audit(pages, damaged(pages, ["page_id", "url"]), ["page_id", "url"]).drop("copy")
+
+
+OP6_SQL = r"""
+WITH records AS (
+  SELECT page_id, url,
+         'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:md5:'
+         || md5(url || chr(10) || html) || '>' || chr(13) || chr(10) || 'WARC-Date: 2024-01-01T00:00:00Z' || chr(13) || chr(10)
+         || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10)
+         || 'Content-Length: ' || CAST(strlen(html) AS VARCHAR) || chr(13) || chr(10) || chr(13) || chr(10)
+         || html || chr(13) || chr(10) || chr(13) || chr(10) AS record
+  FROM (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages)),
+placed AS (
+  SELECT page_id, url, CAST(strlen(record) AS BIGINT) AS length,
+         row_number() OVER (ORDER BY page_id, url) - 1 AS pos,
+         CAST(sum(strlen(record)) OVER (ORDER BY page_id, url ROWS UNBOUNDED PRECEDING) - strlen(record) AS BIGINT) AS "offset",
+         CAST('0x' || substr(md5(CAST(page_id AS VARCHAR) || '|' || url), 1, 8) AS BIGINT) % 64 AS fate
+  FROM records)
+SELECT page_id, url, pos, "offset", length,
+       CASE fate WHEN 0 THEN NULL WHEN 1 THEN length - 1 ELSE length END AS replica_length,
+       CASE fate WHEN 0 THEN 'missing' WHEN 1 THEN 'resized' ELSE 'altered' END AS state
+FROM placed WHERE fate < 3
+"""
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = without_repeats(table(spark, sf_dir, "documents"))
+    places = F.array_join(F.transform("removed", lambda r: F.concat_ws(":", r["start"], r["stop"])), ",")
+    return kept.select("doc_id", "n_chars", F.size("removed").cast("bigint").alias("n_removed"), "removed_chars", places.alias("removed_spans"), F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = fold_of("doc_id", 3) == 1
     scored = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn=~held_out, threshold=0.7)
@@ -133,8 +169,8 @@ FROM keyed
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_exact_dedup": op1_exact_dedup, "op2_quality": op2_quality, "op3_secret_scan": op3_secret_scan, "op5_token_counts": op5_token_counts, "op4_decontamination": op4_decontamination, "op8_toxicity": op8_toxicity, "op9_jaccard_join": op9_jaccard_join, "op10_mix_sources": op10_mix_sources, "pipeline": corpus_pipeline.run}
+    return {"op1_exact_dedup": op1_exact_dedup, "op2_quality": op2_quality, "op3_secret_scan": op3_secret_scan, "op5_token_counts": op5_token_counts, "op4_decontamination": op4_decontamination, "op6_fixity_audit": op6_fixity_audit, "op7_substring_dedup": op7_substring_dedup, "op8_toxicity": op8_toxicity, "op9_jaccard_join": op9_jaccard_join, "op10_mix_sources": op10_mix_sources, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op3_secret_scan": scan_sql(), "op10_mix_sources": mix_sql("documents")}
+    return {"op1_exact_dedup": OP1_SQL, "op3_secret_scan": scan_sql(), "op6_fixity_audit": OP6_SQL, "op10_mix_sources": mix_sql("documents")}
