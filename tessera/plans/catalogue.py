@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import relational
+from tessera.plans import relational, simulation
 
-MODULES = (relational,)
+MODULES = (relational, simulation)
 
 
 def queries() -> dict:
