@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import relational, simulation
+from tessera.plans import models, relational, simulation
 
-MODULES = (relational, simulation)
+MODULES = (relational, simulation, models)
 
 
 def queries() -> dict:
