@@ -45,3 +45,33 @@ def partitions(spark: SparkSession) -> int:
 def fold_of(id_col: str, folds: int) -> Column:
     """crc32 of the id as text, modulo folds; a null id is in fold 0."""
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(folds)), F.lit(0))
+
+
+def map_rows(df: DataFrame, run, schema: str, rows: int = 500) -> DataFrame:
+    """mapInArrow with small pandas frames: ``run`` gets an iterator of them and yields frames of ``schema``.
+
+    An Arrow batch of long texts is cut into slices of ``rows`` rows before it becomes Python
+    strings, so a worker holds the strings of one slice only. Whole numbers stay whole where
+    some are null.
+    """
+
+    def apply(batches):
+        import pandas as pd
+        import pyarrow as pa
+
+        whole = {pa.int64(): pd.Int64Dtype(), pa.int32(): pd.Int32Dtype()}
+
+        def slices():
+            for batch in batches:
+                for at in range(0, batch.num_rows, rows):
+                    yield batch.slice(at, rows).to_pandas(types_mapper=whole.get)
+
+        for made in run(slices()):
+            yield pa.RecordBatch.from_pandas(made[names], schema=arrow, preserve_index=False)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    kinds = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    names, arrow = kinds.names, to_arrow_schema(kinds)
+    return df.mapInArrow(apply, kinds)

@@ -67,7 +67,7 @@ def _number_copies(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     single = flagged.where("_again is null").drop("_again").withColumn("copy", F.lit(0).cast("bigint"))
     # Equal records are interchangeable, so a copy is named by its digest and its number among equal digests;
     # those numbers are dealt per partition of the input and need no ordering of a whole key.
-    many = flagged.where("_again").drop("_again").withColumn("_part", F.spark_partition_id())
+    many = durable(flagged.where("_again").drop("_again").withColumn("_part", F.spark_partition_id()))
     own = Window.partitionBy(*keys, "digest", "_part").orderBy(order)
     many = many.withColumn("_own", F.row_number().over(own))
     sizes = many.groupBy(*keys, "digest", "_part").agg(F.count(F.lit(1)).alias("_size"))

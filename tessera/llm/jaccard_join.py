@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import broadcast_if_small, durable, partitions, whole_text
+from tessera.llm.common import broadcast_if_small, durable, map_rows, partitions, whole_text
 from tessera.llm.components import components
 from tessera.llm.toxicity import WordHashes
 
@@ -45,12 +45,10 @@ _WORD = re.compile(r"\w+")
 
 
 def runs_for(threshold: float, recall: float = TARGET_RECALL) -> int:
-    """Walks needed: a pair at the threshold survives one walk, however deep, with the fixed point of s = 1 - (1 - threshold s)^BRANCHES."""
+    """Walks needed: a pair at the threshold comes through a level with s = 1 - (1 - threshold s)^BRANCHES."""
     s = 1.0
-    for _ in range(1000):
+    for _ in range(LEVELS):
         s = 1 - (1 - threshold * s) ** BRANCHES
-    if s <= 0:
-        raise ValueError("the threshold is too low for this many branches")
     return 1 if s >= recall else math.ceil(math.log(1 - recall) / math.log(1 - s))
 
 
@@ -125,7 +123,7 @@ def signatures(docs: DataFrame, n: int, runs: int, id_col: str, text_col: str) -
 
     rows = docs.select(F.monotonically_increasing_id().alias("row_no"), F.col(id_col).cast("bigint").alias("id"), F.xxhash64(whole_text(text_col)).alias("text_hash"), whole_text(text_col).alias("text"))
     keys = ", ".join(f"keys{k + 1} array<bigint>" for k in range(LEVELS))
-    return rows.mapInPandas(apply, f"row_no bigint, id bigint, text_hash bigint, set_key binary, n_set int, prints binary, {keys}")
+    return map_rows(rows, apply, f"row_no bigint, id bigint, text_hash bigint, set_key binary, n_set int, prints binary, {keys}")
 
 
 def leaves(sets: DataFrame, block: int) -> DataFrame:

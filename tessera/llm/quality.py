@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import whole_text
+from tessera.llm.common import map_rows, whole_text
 from tessera.llm.toxicity import calibrate, labelled_sample
 
 MAX_LABELLED = 3_000
@@ -254,5 +254,6 @@ def quality(docs: DataFrame, labels: DataFrame, learn: Column, threshold: float
             yield pd.DataFrame({id_col: pdf["_id"], "score": shared.value.scores(list(pdf["_text"]))})
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
-    scored = docs.select(F.col(id_col).alias("_id"), whole_text(text_col).alias("_text")).mapInPandas(apply, f"`{id_col}` {kind}, score double")
+    scored = docs.select(F.col(id_col).alias("_id"), whole_text(text_col).alias("_text"))
+    scored = map_rows(scored, apply, f"`{id_col}` {kind}, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import whole_text
+from tessera.llm.common import map_rows, whole_text
 
 #: Documents that the first tier is drawn from, at most about.
 SAMPLE_DOCS = 2_000
@@ -136,5 +136,5 @@ def token_counts(docs: DataFrame, tokenizer_file: str, limit: int, id_col: str =
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     text = whole_text(text_col)
     picked = docs.select(F.col(id_col).alias("_id"), F.octet_length(text).cast("bigint").alias("_bytes"), text.alias("_text"))
-    counted = picked.mapInPandas(apply, f"`{id_col}` {kind}, n_bytes bigint, n_tokens bigint")
+    counted = map_rows(picked, apply, f"`{id_col}` {kind}, n_bytes bigint, n_tokens bigint")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)

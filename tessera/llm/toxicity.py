@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import durable, whole_text
+from tessera.llm.common import durable, map_rows, whole_text
 
 BITS = 20
 #: Labelled rows that the model is fitted on, at most.
@@ -30,7 +30,7 @@ ALPHA, BETA, L1, L2 = 1.0, 1.0, 8.0, 1.0
 #: Parts of the sample that are scored by models of the other parts, to calibrate the probabilities.
 CALIBRATION_PARTS = 3
 #: Words that a worker remembers the hashes of.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 150_000
 _WORD = re.compile(r"\w+")
 
 
@@ -80,7 +80,9 @@ def fit_ftrl(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, epoch
                 sigma = (np.sqrt(n[a] + g * g) - np.sqrt(n[a])) / alpha
                 z[a] += g - sigma * v
                 n[a] += g * g
-    out = weights(np.arange(n_coords))
+    out = np.zeros(n_coords)
+    seen = np.flatnonzero(n)
+    out[seen] = weights(seen)
     out[-1] = weights(bias, 0.0)[0]
     return out
 
@@ -139,13 +141,13 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "t
 
     def learn_weights(batches):
         pdf = pd.concat(list(batches) or [pd.DataFrame({"id": [], "label": [], "coords": []})]).sort_values(["id", "coords"])
-        rows = [np.frombuffer(b, "<i4").astype(np.int64) for b in pdf["coords"]]
+        rows = [np.frombuffer(b, "<i4") for b in pdf["coords"]]
         w = fit_calibrated(rows, pdf["label"].to_numpy(float))
         at = np.flatnonzero(w)
         at = at if len(w) - 1 in at else np.append(at, len(w) - 1)
         yield pd.DataFrame({"coordinate": at, "weight": w[at]})
 
-    coords = sample.mapInPandas(extract, "id long, label int, coords binary")
+    coords = map_rows(sample, extract, "id long, label int, coords binary")
     return coords.repartition(1).mapInPandas(learn_weights, "coordinate long, weight double").toPandas()
 
 
@@ -171,7 +173,7 @@ def score(docs: DataFrame, model: pd.DataFrame, id_col: str = "doc_id", text_col
 
     picked = docs.select(*keep, whole_text(text_col).alias("_scored_text"))
     schema = docs.select(*keep, F.lit(0.0).alias("score")).schema
-    return picked.mapInPandas(apply, schema)
+    return map_rows(picked, apply, schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, learn: Column, threshold: float = 0.7, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED) -> DataFrame:
