@@ -88,6 +88,20 @@ def robustness_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return studies.robustness(spark, history(spark, sf_dir), MOVES, 0, _factor, 40, cases, 240)
 
 
+@query()
+def market_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return studies.market_scenarios(spark, history(spark, sf_dir), MOVES, 0, _factor, 20)
+
+
+@query()
+def predictive_advantage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running sum of what varying transitions gain in log score over constant ones."""
+    from pyspark.sql import Window
+
+    upto = Window.orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    return tvtp_walk_forward(spark, sf_dir).select("t", F.sum(F.col("macro") - F.col("constant")).over(upto).alias("advantage"))
+
+
 @query()
 def glidepath_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     sets = [scenarios.returns_of(scenarios.regime_paths(spark, scenarios.pooled_history(history(spark, sf_dir), len(MOVES)), 60, 180, MOVES, 0, s)) for s in ("train", "test")]

@@ -465,10 +465,32 @@ def smoothed_volatility(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {t.SHIPPED_LEVELS},
 r AS (SELECT fund, date, level / 50000 AS x FROM levels),
 z AS (SELECT *, avg(x) OVER p AS m, stddev_pop(x) OVER p AS s, count(*) OVER p AS n FROM r WINDOW p AS (PARTITION BY fund ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-SELECT fund, date, round((x - m) / s, 4) AS z FROM z WHERE n >= 24 AND s > 0""")
+SELECT fund, date, round((x - m) / s, 4) + 0 AS z FROM z WHERE n >= 24 AND s > 0""")
 def past_standardised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values on the scale of their own past only."""
     past = panel.series(["fund"], "date").rowsBetween(Window.unboundedPreceding, -1)
     rows = t.shipped_levels(spark, sf_dir).withColumn("x", F.col("level") / 50000)
     rows = rows.withColumn("m", F.avg("x").over(past)).withColumn("s", F.stddev_pop("x").over(past)).withColumn("n", F.count("x").over(past))
     return rows.where("n >= 24 and s > 0").select("fund", "date", F.round((F.col("x") - F.col("m")) / F.col("s"), 4).alias("z"))
+
+
+@query(f"""WITH {_ALPHA} SELECT admin, fund, round(alpha - 1.96 * tracking_error / sqrt(months / 12.0::DOUBLE), 5) AS low, round(alpha, 5) AS alpha,
+round(alpha + 1.96 * tracking_error / sqrt(months / 12.0::DOUBLE), 5) AS high, CAST(rank() OVER (PARTITION BY fund ORDER BY round(alpha, 5) DESC, admin) AS INT) AS place FROM alphas""")
+def alpha_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges of 1.96 standard errors around each alpha, best first within a fund."""
+    made = peers.alpha(t.orders_months(spark, sf_dir))
+    wide = 1.96 * F.col("standard_error")
+    made = made.select("admin", "fund", F.round(F.col("alpha") - wide, 5).alias("low"), F.round("alpha", 5).alias("alpha"), F.round(F.col("alpha") + wide, 5).alias("high"))
+    return made.withColumn("place", F.rank().over(Window.partitionBy("fund").orderBy(F.desc("alpha"), "admin")))
+
+
+@query(f"""WITH {t.ORDERS_MONTHS}, a AS (SELECT fund, admin, month, r FROM months WHERE admin < 2), b AS (SELECT fund, admin, month, r FROM months WHERE admin BETWEEN 1 AND 2)
+SELECT coalesce(a.fund, b.fund) AS fund, coalesce(a.month, b.month) AS month, count(*) AS n, round(sum(coalesce(a.r, 0) - coalesce(b.r, 0)), 6) AS gap
+FROM a FULL JOIN b ON a.fund = b.fund AND a.admin = b.admin AND a.month = b.month GROUP BY 1, 2""")
+def aligned_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Difference of two tables on their keys, a key that one lacks counting as 0 there."""
+    months, keys = t.orders_months(spark, sf_dir).select("fund", "admin", "month", "r"), ["fund", "admin", "month"]
+    a, b = months.where("admin < 2").withColumnRenamed("r", "x"), months.where("admin between 1 and 2").withColumnRenamed("r", "y")
+    joined = a.join(b, keys, "full")
+    gap = F.sum(F.coalesce("x", F.lit(0.0)) - F.coalesce("y", F.lit(0.0)))
+    return joined.groupBy("fund", "month").agg(F.count(F.lit(1)).alias("n"), F.round(gap, 6).alias("gap"))

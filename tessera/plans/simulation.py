@@ -410,3 +410,40 @@ def softmax_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def counter_uniforms(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = spark.range(200).select(F.col("id").alias("p"), F.explode(F.sequence(F.lit(0), F.lit(49))).alias("t")).select(uniform("check", F.col("p"), F.col("t")).alias("u"))
     return u.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("u"), 9).alias("mean"), F.round(F.min("u"), 9).alias("low"), F.round(F.max("u"), 9).alias("high"))
+
+
+_LAYERED = f"""{_HISTORY}, {_walk(100, 180)},
+paid AS (SELECT unnest(range(180)) AS t, unnest({_array(_OWN)}) AS own, unnest({_array(_EMPLOYER)}) AS employer),
+port AS (SELECT p, t, CASE WHEN 50 + t // 12 <= 55 THEN ret[3] ELSE ret[4] END AS r FROM drawn),
+grown AS (SELECT p, t, exp(sum(ln(1 + r)) OVER (PARTITION BY p ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS g FROM port),
+layer AS (SELECT p, sum(own * g) / {_FACTOR} AS own, sum(employer * g) / {_FACTOR} AS employer, {_BOND / _FACTOR!r}::DOUBLE AS bond FROM grown JOIN paid ON paid.t = grown.t GROUP BY p),
+full_ AS (SELECT *, {_FLAT.format(x="(own + employer + bond)")} AS flat, own + employer + bond + {_FLAT.format(x="(own + employer + bond)")} AS total FROM layer)"""
+
+
+def _layered(spark, sf_dir):
+    return pension.layered(scenarios.returns_of(paths(spark, sf_dir, 100, 180)), "H", _FACTOR, _CAREER, names=(pension.DEFAULT,))
+
+
+@query(f"""WITH RECURSIVE {_LAYERED},
+long AS (SELECT unnest(['1 own', '2 with employer', '3 with bond', '4 total']) AS layer, unnest([own, own + employer, own + employer + bond, total]) AS v FROM full_)
+SELECT layer, round(quantile_cont(v, 0.05), 5) AS p5, round(median(v), 5) AS median, round(quantile_cont(v, 0.95), 5) AS p95, round(median(v / {_LAST!r}::DOUBLE), 6) AS replacement, avg(CAST(v / {_LAST!r}::DOUBLE >= 0.3 AS DOUBLE)) AS reach
+FROM long GROUP BY layer""")
+def layer_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = pension.layer_table(_layered(spark, sf_dir), 0.3).drop("strategy")
+    return rounded(table, 5, "p5", "median", "p95").withColumn("replacement", F.round("replacement", 6))
+
+
+@query(f"""WITH RECURSIVE {_LAYERED}, m AS (SELECT median(total) AS median FROM full_)
+SELECT 25.0::DOUBLE AS salary, round(median, 5) AS median, p AS path_id, round(total, 5) AS total, round(own, 5) AS own, round(employer, 5) AS employer, round(bond, 5) AS bond, round(flat, 5) AS flat
+FROM full_, m ORDER BY abs(total - median), p LIMIT 1""")
+def income_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The layers of the path next to the median, so that they add up."""
+    made = pension.income_table(_layered(spark, sf_dir).withColumn("salary", F.lit(25.0)), ["salary"]).drop("last_salary")
+    return rounded(made, 5, "median", "total", "own", "employer", "bond", "flat")
+
+
+@query(f"""WITH {_LIFE.split("cases AS")[0].rstrip().rstrip(",")}
+SELECT sex, age, CAST(year AS INT) AS year, round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, q0 * coalesce(list_product([1 - (0.02 - i * 0.0005) FOR i IN range(1, least(16, year - 2020) + 1)]), 1) * pow(1 - (0.02 - 16 * 0.0005), greatest(0, year - 2020 - 16)))), 9) AS q
+FROM rates, (SELECT unnest(range(2020, 2061, 10)) AS year)""")
+def mortality_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(actuarial.rate_matrix(actuarial.gompertz_table(spark), 2020, 2060).where("year % 10 = 0"), 9, "q")

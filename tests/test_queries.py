@@ -15,7 +15,7 @@ def test_matches_sql(spark, sf_dir, name):
 
 
 # Studies whose invariants are tested in test_models.py on small inputs run here no more than once.
-SLOW = {"robustness_grid", "population_summary", "gender_gap", "pension_bootstrap", "glidepath_search"}
+SLOW = {"robustness_grid", "population_summary", "gender_gap", "pension_bootstrap", "glidepath_search", "market_scenarios"}
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - SLOW))
