@@ -125,3 +125,41 @@ def _hits(worded: DataFrame, items: DataFrame, shorts: list[int], min_score: int
     same = F.zip_with(F.slice("words", at + 1, length), F.slice("item_words", skip + 1, length), lambda a, b: a == b)
     met = met.withColumn("run", _best_run(same)).where(F.col("run.score") >= F.least(F.lit(min_score), F.size("item_words")))
     return met.select("doc", "item", "n_equal", "shift", F.col("run.score").alias("score"), F.col("run.matched").alias("matched"), F.col("run.length").alias("overlap"), F.size("item_words").alias("item_tokens"))
+
+
+def contaminated_sql(docs: str = "documents", benchmark: str = "benchmark") -> str:
+    """The same rows as DuckDB SQL: seeds as joined words, and the best run by running minima of prefix sums."""
+    longest = max(m[-1] for m in MASKS) + 1
+    masks = [*MASKS, *[tuple(range(n)) for n in range(MIN_TOKENS, longest)]]
+    tokens_of = "list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')"
+
+    def seeds(source: str, keep: str) -> str:
+        parts = []
+        for k, mask in enumerate(masks):
+            key = " || ' ' || ".join(f"ws[p + {o}]" for o in mask)
+            short = f" AND EXISTS (SELECT 1 FROM items WHERE len(ws) = {len(mask)})" if k >= len(MASKS) else ""
+            parts.append(f"SELECT {keep}, p, {k} AS mask, {key} AS key FROM {source} WHERE p + {mask[-1]} <= len(ws){short}")
+        return " UNION ALL ".join(parts)
+
+    return f"""
+WITH texts AS (SELECT DISTINCT doc_id, {tokens_of} AS ws FROM {docs}),
+items AS (SELECT min(item_id) AS item, count(*) AS n_equal, ws FROM (SELECT item_id, {tokens_of} AS ws FROM {benchmark}) WHERE len(ws) >= {MIN_TOKENS} GROUP BY ws),
+at_d AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS p FROM texts),
+at_i AS (SELECT item, ws, unnest(range(1, len(ws) + 1)) AS p FROM items),
+seed_d AS ({seeds("at_d", "doc_id, ws")}),
+seed_i AS ({seeds("at_i", "item")}),
+met AS (SELECT DISTINCT d.doc_id, d.ws, i.item, d.p - i.p AS shift FROM seed_d d JOIN seed_i i ON d.mask = i.mask AND d.key = i.key),
+cells AS (
+  SELECT doc_id, m.ws AS ws, i.item, n_equal, shift, len(i.ws) AS item_tokens, k, CASE WHEN m.ws[k + shift] = i.ws[k] THEN 1 ELSE -{MISMATCH} END AS s
+  FROM met m JOIN items i ON m.item = i.item, LATERAL (SELECT unnest(range(greatest(1, 1 - shift), least(len(i.ws), len(m.ws) - shift) + 1)) AS k) x),
+sums AS (SELECT *, sum(s) OVER (PARTITION BY doc_id, ws, item, shift ORDER BY k) AS total, row_number() OVER (PARTITION BY doc_id, ws, item, shift ORDER BY k) AS n FROM cells),
+lows AS (SELECT *, least(0, coalesce(min(total) OVER (PARTITION BY doc_id, ws, item, shift ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS low FROM sums),
+runs AS (
+  SELECT *, total - low AS run, n - coalesce(max(CASE WHEN total <= low THEN n END) OVER (PARTITION BY doc_id, ws, item, shift ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS length FROM lows),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, ws, item, shift ORDER BY run DESC, k) AS place FROM runs),
+scored AS (
+  SELECT doc_id, item, n_equal, shift, item_tokens, CAST(run AS INT) AS score, CAST((run + {MISMATCH} * length) / {1 + MISMATCH} AS INT) AS matched, CAST(length AS INT) AS overlap
+  FROM best WHERE place = 1 AND run >= least({MIN_SCORE}, item_tokens)),
+top AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item ORDER BY score DESC, matched DESC, shift, overlap DESC) AS place FROM scored)
+SELECT doc_id, item AS item_id, n_equal AS n_equal_items, score, matched, overlap, CAST(item_tokens AS INT) AS item_tokens, CAST(shift AS INT) AS doc_token FROM top WHERE place = 1
+"""

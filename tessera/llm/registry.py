@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import fold_of, table
-from tessera.llm.decontamination import contaminated
+from tessera.llm.decontamination import contaminated, contaminated_sql
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.fixity import audit, damaged, warc_record
 from tessera.llm.jaccard_join import jaccard_join
@@ -173,4 +173,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op3_secret_scan": scan_sql(), "op6_fixity_audit": OP6_SQL, "op10_mix_sources": mix_sql("documents")}
+    return {"op1_exact_dedup": OP1_SQL, "op3_secret_scan": scan_sql(), "op4_decontamination": contaminated_sql(), "op6_fixity_audit": OP6_SQL, "op10_mix_sources": mix_sql("documents")}
