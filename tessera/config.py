@@ -36,16 +36,31 @@ class Reactive:
     lag: int = 1
 
 
+# Most growth assets by age in the published chart, ages 18 to 75.
+GROWTH_CURVE = (
+    0.90, 0.90, 0.90, 0.90, 0.90, 0.90, 0.90, 0.90, 0.90, 0.90, 0.90,
+    0.90, 0.90, 0.90, 0.90, 0.90, 0.90, 0.90, 0.90, 0.90, 0.90,
+    0.89, 0.87, 0.86, 0.85, 0.83, 0.81, 0.80, 0.78, 0.76, 0.74, 0.71,
+    0.69, 0.66, 0.64, 0.61, 0.58, 0.55, 0.52, 0.50, 0.47, 0.43,
+    0.39, 0.36, 0.32, 0.29, 0.29, 0.29, 0.29, 0.29, 0.29, 0.29,
+    0.30, 0.31, 0.31, 0.32, 0.32, 0.32,
+)
+
+# Fixed values of the law: year, month and rate from then on.
+EMPLOYER_RATES = (
+    (2025, 8, 0.001), (2027, 8, 0.0025), (2028, 8, 0.010), (2029, 8, 0.017), (2030, 8, 0.024), (2031, 8, 0.031), (2032, 8, 0.038), (2033, 8, 0.045),
+    (2045, 9, 0.0465), (2046, 9, 0.048), (2047, 9, 0.0495), (2048, 9, 0.051), (2049, 9, 0.0525), (2050, 9, 0.054), (2051, 9, 0.0555), (2052, 9, 0.057), (2053, 9, 0.0585), (2054, 9, 0.06),
+)
+BOND_RATES = (
+    (2026, 8, 0.009), (2027, 8, 0.015),
+    (2045, 9, 0.0135), (2046, 9, 0.012), (2047, 9, 0.0105), (2048, 9, 0.009), (2049, 9, 0.0075), (2050, 9, 0.006), (2051, 9, 0.0045), (2052, 9, 0.003), (2053, 9, 0.0015), (2054, 9, 0.0),
+)
+
+
 @dataclass(frozen=True)
 class Glidepath:
     first_age: int = 18
-    #: Most growth assets by age, from the first age on: 21 ages at 90 %, then as listed.
-    curve: tuple = (0.90,) * 21 + (
-        0.89, 0.87, 0.86, 0.85, 0.83, 0.81, 0.80, 0.78, 0.76, 0.74, 0.71,
-        0.69, 0.66, 0.64, 0.61, 0.58, 0.55, 0.52, 0.50, 0.47, 0.43,
-        0.39, 0.36, 0.32, 0.29, 0.29, 0.29, 0.29, 0.29, 0.29, 0.29,
-        0.30, 0.31, 0.31, 0.32, 0.32, 0.32,
-    )
+    curve: tuple = GROWTH_CURVE
     cap: float = 0.95
     fund_growth: tuple = (0.824, 0.612, 0.421, 0.213, 0.082)
     extrapolate: bool = True
@@ -55,13 +70,16 @@ def month_no(year: int, month: int) -> int:
     return year * 12 + month - 1
 
 
+def by_month(calendar) -> tuple:
+    """(month number, rate) steps of a calendar."""
+    return tuple((month_no(year, month), rate) for year, month, rate in calendar)
+
+
 @dataclass(frozen=True)
 class Reform:
-    #: (month number, rate) steps of the employer's contribution and of the protected-return bond.
-    employer: tuple = tuple((month_no(y, 8), r) for y, r in ((2025, 0.001), (2027, 0.0025), (2028, 0.010), (2029, 0.017), (2030, 0.024), (2031, 0.031), (2032, 0.038), (2033, 0.045))) + tuple(
-        (month_no(2045 + k, 9), 0.045 + 0.0015 * (k + 1)) for k in range(10)
-    )
-    bond: tuple = ((month_no(2026, 8), 0.009), (month_no(2027, 8), 0.015)) + tuple((month_no(2045 + k, 9), round(0.015 - 0.0015 * (k + 1), 4)) for k in range(10))
+    #: Steps of the employer's contribution and of the protected-return bond.
+    employer: tuple = by_month(EMPLOYER_RATES)
+    bond: tuple = by_month(BOND_RATES)
     bond_rate: float = 0.0252
     unit: float = 39_703.50
     flat: float = 250_275.0
@@ -87,6 +105,7 @@ class Population:
     flat_up_to: float = 0.90
 
 
+# Market views, band widths, fees by administrator.
 MARKETS = {"history": None, "consensus": {"growth": 0.044, "protected": 0.0252}, "no premium": {"growth": 0.0252, "protected": 0.0252}}
 BANDS = (0.010, 0.015, 0.020, 0.024, 0.029, 0.040)
 FEES = {"UNO": 0.0046, "MODELO": 0.0058, "PLANVITAL": 0.0116, "HABITAT": 0.0127, "CAPITAL": 0.0144, "CUPRUM": 0.0144, "PROVIDA": 0.0145}

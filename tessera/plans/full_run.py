@@ -1,8 +1,8 @@
 """From raw files to all reports: ``python -m tessera RAW OUT``.
 
 RAW holds vcf[A-E]*.csv (unit values in blocks), uf.csv (date, level), members.csv
-(date, admin, n) or afiliados_edad_afp.xlsx, mortality.csv (sex, age, q0, aa with ';' inside)
-or tablas_mortalidad_cmf.xlsx, and, if there are macro regimes to fit, macro.csv
+(date, admin, n) or members.xlsx, mortality.csv (sex, age, q0, aa with ';' inside)
+or mortality.xlsx, and, if there are macro regimes to fit, macro.csv
 (date, indicator, value). OUT gets a CSV for each table and results.json.
 """
 
@@ -50,12 +50,12 @@ def load(spark: SparkSession, raw: str):
     """Panel of unit values, deflator, members and mortality table."""
     values = block_text.read_unit_values(spark, f"{raw}/vcf*.csv")
     deflator = tables.read_deflator(spark, f"{raw}/uf.csv")
-    if _exists(f"{raw}/afiliados_edad_afp.xlsx"):
-        members = tables.members_from_cells(tables.read_xlsx(spark, f"{raw}/afiliados_edad_afp.xlsx"))
+    if _exists(f"{raw}/members.xlsx"):
+        members = tables.members_from_cells(tables.read_xlsx(spark, f"{raw}/members.xlsx"))
     else:
         members = spark.read.schema("date date, admin string, n double").option("header", True).csv(f"{raw}/members.csv").withColumn("admin", canonical_name(F.col("admin")))
-    if _exists(f"{raw}/tablas_mortalidad_cmf.xlsx"):
-        mortality = tables.mortality_from_cells(tables.read_xlsx(spark, f"{raw}/tablas_mortalidad_cmf.xlsx"), {"Vejez-Hombres": "H", "Vejez-Mujeres": "M"})
+    if _exists(f"{raw}/mortality.xlsx"):
+        mortality = tables.mortality_from_cells(tables.read_xlsx(spark, f"{raw}/mortality.xlsx"), {"Vejez-Hombres": "H", "Vejez-Mujeres": "M"})
     else:
         rows = spark.read.schema("sex string, age int, q0 double, aa string").option("header", True).csv(f"{raw}/mortality.csv")
         mortality = rows.withColumn("aa", F.transform(F.split("aa", ";"), lambda x: x.cast("double")))
