@@ -1,7 +1,9 @@
 """Distribution summaries: percentiles, tails, quintiles, histograms, certainty equivalents.
 
-Percentiles are exact and interpolate linearly. Spark's exact percentile counts distinct
-values before it merges, so its state is bounded by those.
+Percentiles are exact and interpolate linearly. Groups of simulated paths or of panel rows
+are small and use Spark's aggregate, one pass that holds a group's distinct values in a
+task. Groups of table rows have no bound; for them there is ``exact_percentiles``, which
+operators use where ``large`` is set.
 """
 
 from __future__ import annotations
@@ -16,9 +18,14 @@ def percentile_columns(value: str, levels: dict[str, float] = LEVELS) -> list[Co
     return [F.percentile(value, F.lit(p)).alias(name) for name, p in levels.items()]
 
 
-def summary(rows: DataFrame, keys: list[str], value: str, goal: float | None = None) -> DataFrame:
+def summary(rows: DataFrame, keys: list[str], value: str, goal: float | None = None, large: bool = False) -> DataFrame:
     """Percentiles, mean, count, mean of the lowest 5 % (values up to p5), share that reaches the goal."""
-    base = rows.groupBy(*keys).agg(*percentile_columns(value), F.avg(value).alias("mean"), F.count(value).alias("n"))
+    mean = [F.avg(value).alias("mean"), F.count(value).alias("n")]
+    if large:
+        pairs = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+        base = exact_percentiles(rows, keys, value, LEVELS).drop("n").alias("a").join(rows.groupBy(*keys).agg(*mean).alias("b"), pairs).select("a.*", "mean", "n")
+    else:
+        base = rows.groupBy(*keys).agg(*percentile_columns(value), *mean)
     cut = base.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("p5").alias("_cut"))
     same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
     tail = rows.join(cut, same).where(F.col(value) <= F.col("_cut")).groupBy(*keys).agg(F.avg(value).alias("cvar5"))
@@ -29,9 +36,11 @@ def summary(rows: DataFrame, keys: list[str], value: str, goal: float | None = N
     return joined.alias("a").join(reach.alias("b"), [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys], "left").select("a.*", "reach")
 
 
-def quintiles(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+def quintiles(rows: DataFrame, keys: list[str], value: str, large: bool = False) -> DataFrame:
     """Adds quintile 1..5 within the keys: edges are interpolated quantiles, closed on the right."""
-    edges = rows.groupBy(*keys).agg(F.percentile(value, F.array(*[F.lit(p) for p in (0.2, 0.4, 0.6, 0.8)])).alias("_edges"))
+    cuts = {f"_e{k}": k / 5 for k in range(1, 5)}
+    found = exact_percentiles(rows, keys, value, cuts) if large else rows.groupBy(*keys).agg(*percentile_columns(value, cuts))
+    edges = found.select(*keys, F.array(*cuts).alias("_edges"))
     out = F.lit(5)
     for k in (4, 3, 2, 1):
         out = F.when(F.col(value) <= F.col("_edges")[k - 1], k).otherwise(out)
@@ -44,9 +53,11 @@ def percentile_curve(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.percentile(value, levels).alias("_curve")).select(*keys, F.posexplode("_curve").alias("_k", "value")).select(*keys, (F.col("_k") + 1).alias("percent"), "value")
 
 
-def melted_percentiles(rows: DataFrame, keys: list[str], metrics: list[str], levels: dict[str, float]) -> DataFrame:
+def melted_percentiles(rows: DataFrame, keys: list[str], metrics: list[str], levels: dict[str, float], large: bool = False) -> DataFrame:
     """(keys, metric, levels...) of every metric column."""
     long = rows.unpivot(keys, metrics, "metric", "value")
+    if large:
+        return exact_percentiles(long, [*keys, "metric"], "value", levels).drop("n")
     return long.groupBy(*keys, "metric").agg(*percentile_columns("value", levels))
 
 
@@ -108,3 +119,41 @@ def diebold_mariano(rows: DataFrame, order: str, diff: str, lags: int = 6) -> Da
     for k in range(1, lags + 1):
         total = total + F.col(f"_s{k}") * (2 * (1 - k / (lags + 1)))
     return sums.select("n", "mean", (total / F.col("n")).alias("variance")).withColumn("t", F.col("mean") / F.sqrt(F.col("variance") / F.col("n")))
+
+
+def exact_percentiles(rows: DataFrame, keys: list[str], value: str, levels: dict[str, float], accuracy: int = 10_000) -> DataFrame:
+    """(keys, n, level names...): exact interpolated percentiles of groups of any size.
+
+    The aggregate function keeps all distinct values of a group in one task. Here a sketch
+    first brackets every level; then the rows under each bracket are only counted, and only
+    the distinct values inside it, about 4 / accuracy of the group, are ranked. Three
+    aggregations, none of which holds a group. Null values don't count; keys may be null.
+    """
+    names, wanted = list(levels), [levels[n] for n in levels]
+    slack = 2.0 / accuracy
+    ends = lambda side: F.array(*[F.lit(min(1.0, max(0.0, p + side * slack))) for p in wanted])
+    known = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    sketch = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("_v", ends(-1), accuracy).alias("_low"), F.percentile_approx("_v", ends(1), accuracy).alias("_high"))
+    # A bracket must hold the ranks on both sides of its level: it is open at the ends, and for groups
+    # so small that its slack is less than some rows, which are ranked whole.
+    low = F.transform("_low", lambda x, i: F.when((F.col("n") <= 4 * accuracy) | F.get(F.array(*[F.lit(p - slack <= 0) for p in wanted]), i), F.lit(float("-inf"))).otherwise(x))
+    high = F.transform("_high", lambda x, i: F.when((F.col("n") <= 4 * accuracy) | F.get(F.array(*[F.lit(p + slack >= 1) for p in wanted]), i), F.lit(float("inf"))).otherwise(x))
+    sketch = sketch.withColumns({"_low": low, "_high": high})
+    renamed = sketch.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "n", "_low", "_high")
+    same = None
+    for i, k in enumerate(keys):
+        one = F.col(k).eqNullSafe(F.col(f"_k{i}"))
+        same = one if same is None else same & one
+    joined = known.join(renamed, same) if keys else known.crossJoin(renamed)
+    # Cells of each level: its values, each with its count, and one cell (null) for all that lie under it.
+    cell = lambda i: F.struct(F.lit(i).alias("level"), F.when(F.col("_v") >= F.col("_low")[i], F.col("_v")).alias("x"), (F.col("_v") <= F.col("_high")[i]).alias("in"))
+    cells = joined.select(*keys, "n", F.inline(F.array(*[cell(i) for i in range(len(names))]))).where("in")
+    counted = cells.groupBy(*keys, "n", "level", "x").agg(F.count(F.lit(1)).alias("c"))
+    upto = Window.partitionBy(*keys, "level").orderBy(F.col("x").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counted.withColumn("to", F.sum("c").over(upto))
+    at = F.get(F.array(*map(F.lit, wanted)), F.col("level")) * (F.col("n") - 1)
+    holds = lambda k: F.min(F.when((F.col("to") > k) & F.col("x").isNotNull(), F.col("x")))
+    found = ranked.groupBy(*keys, "n", "level").agg(holds(F.floor(at)).alias("a"), holds(F.ceil(at)).alias("b"))
+    part = at - F.floor(at)
+    found = found.withColumn("p", F.col("a") + part * (F.col("b") - F.col("a")))
+    return found.groupBy(*keys, "n").agg(*[F.max(F.when(F.col("level") == i, F.col("p"))).alias(n) for i, n in enumerate(names)])

@@ -311,7 +311,7 @@ SELECT strategy, round(q[1], 4) AS p5, round(q[2], 4) AS p25, round(q[3], 4) AS
        (SELECT round(avg(o_totalprice), 4) FROM orders WHERE o_orderpriority = strategy AND o_totalprice <= q[1]) AS cvar5 FROM base""")
 def percentile_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("strategy"), "o_totalprice")
-    made = stats.summary(orders, ["strategy"], "o_totalprice", goal=200000.0)
+    made = stats.summary(orders, ["strategy"], "o_totalprice", goal=200000.0, large=True)
     return rounded(made, 4, "p5", "p25", "p50", "p75", "p95", "mean", "cvar5").withColumn("reach", F.round("reach", 6))
 
 
@@ -320,7 +320,7 @@ cut AS (SELECT c_mktsegment AS segment, c_acctbal, CASE WHEN c_acctbal <= e[1] T
 SELECT segment, quintile, count(*) AS n, round(median(c_acctbal), 6) AS median FROM cut GROUP BY 1, 2""")
 def quintiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("segment"), "c_acctbal")
-    cut = stats.quintiles(rows, ["segment"], "c_acctbal")
+    cut = stats.quintiles(rows, ["segment"], "c_acctbal", large=True)
     return cut.groupBy("segment", "quintile").agg(F.count(F.lit(1)).alias("n"), F.round(F.percentile("c_acctbal", F.lit(0.5)), 6).alias("median"))
 
 
@@ -336,7 +336,7 @@ SELECT flag, metric, round(quantile_cont(value, 0.05), 6) AS p5, round(quantile_
 def melt_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     metrics = ["l_quantity", "l_extendedprice", "l_discount"]
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("flag"), *metrics)
-    return rounded(stats.melted_percentiles(rows, ["flag"], metrics, {"p5": 0.05, "p50": 0.5, "p95": 0.95}), 6, "p5", "p50", "p95")
+    return rounded(stats.melted_percentiles(rows, ["flag"], metrics, {"p5": 0.05, "p50": 0.5, "p95": 0.95}, large=True), 6, "p5", "p50", "p95")
 
 
 @query("""SELECT event_type, CAST(least(CASE WHEN value = 90 THEN 89 ELSE floor(value - 0.0::DOUBLE) END, 89) AS INT) AS bin, count(*) AS n

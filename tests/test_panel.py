@@ -126,3 +126,13 @@ def test_certainty_equivalent_falls_with_risk_aversion(spark):
 def test_histogram_edges(spark):
     df = spark.createDataFrame([(-4.5,), (4.5,), (0.0,), (5.0,), (None,)], "x double")
     assert {r["bin"]: r["n"] for r in stats.histogram(df, [], "x", -4.5, 4.5, 90).collect()} == {0: 1, 89: 1, 45: 1}
+
+
+@LOOSE
+@given(values=st.lists(st.one_of(st.none(), st.integers(-3, 3).map(float), st.floats(-9, 9)), min_size=1, max_size=90), accuracy=st.sampled_from([8, 20, 10_000]))
+def test_bracketed_percentiles_are_exact(spark, values, accuracy):
+    df = spark.createDataFrame([("a" if i % 3 else None, v) for i, v in enumerate(values)], "k string, x double")
+    levels = {"p0": 0.0, "p5": 0.05, "p50": 0.5, "p95": 0.95, "p100": 1.0}
+    own = {r["k"]: r for r in stats.exact_percentiles(df, ["k"], "x", levels, accuracy=accuracy).collect()}
+    for r in df.where("x is not null").groupBy("k").agg(*stats.percentile_columns("x", levels)).collect():
+        assert all(math.isclose(own[r["k"]][n], r[n], rel_tol=1e-12, abs_tol=1e-12) for n in levels)
