@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import decontamination, jaccard_join, perfect_hash, quality, registry, secrets, substring_dedup, token_counts, toxicity
 from tessera.llm.exact_dedup import build_index, group_digests, probe, row_digests
+from tests.harness import assert_same, connection
 
 BIG = "/root/testdata/sf0.01"
 
@@ -118,7 +120,8 @@ def test_every_substitution_pattern_is_hit():
         assert all(any(not w & set(hit) for w in starts) for hit in itertools.combinations(range(length), subs))
 
 
-def test_contamination_matches_brute_force(spark):
+def planted_overlaps():
+    """Items, and documents of which a third hold a part of one, with up to two words replaced."""
     rng = random.Random(5)
     word = lambda: rng.choice("abcdefghij") + rng.choice("klmnopqr") + rng.choice("stuvw")
     items = [(k, " ".join(word() for _ in range(rng.randrange(5, 40)))) for k in range(25)]
@@ -132,6 +135,11 @@ def test_contamination_matches_brute_force(spark):
                 part[rng.randrange(len(part))] = word()
             text[len(text) // 2 : len(text) // 2] = part
         docs.append((i, " ".join(text)))
+    return docs, items
+
+
+def test_contamination_matches_brute_force_and_sql(spark):
+    docs, items = planted_overlaps()
 
     def best(a, b):
         top = 0
@@ -143,7 +151,10 @@ def test_contamination_matches_brute_force(spark):
         return top
 
     want = {(i, k): s for i, t in docs for k, b in items if (s := best(t.split(), b.split())) >= min(decontamination.MIN_SCORE, len(b.split()))}
-    made = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    found = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    con = connection("/nowhere", documents=pd.DataFrame(docs, columns=["doc_id", "text"]), benchmark=pd.DataFrame(items, columns=["item_id", "text"]))
+    assert_same(found, decontamination.contaminated_sql(), con)
+    made = found.collect()
     got = {(r["doc_id"], r["item_id"]): r["score"] for r in made}
     sure = {k: s for k, s in want.items() if s >= 12}
     assert set(got) <= set(want) and set(sure) <= set(got) and all(got[k] == want[k] for k in got) and len(got) > 25
