@@ -126,28 +126,41 @@ def signatures(docs: DataFrame, n: int, runs: int, id_col: str, text_col: str) -
     return map_rows(rows, apply, f"row_no bigint, id bigint, text_hash bigint, set_key binary, n_set int, prints binary, {keys}")
 
 
+def _apart(key: str):
+    """The key as Spark doesn't know it, so that a checkpointed side is shuffled with the other one.
+
+    Only where both sides of a join come straight from a shuffle can Spark split a key with very many rows.
+    """
+    return F.col(key).bitwiseXOR(F.lit(0)).alias(key)
+
+
 def leaves(sets: DataFrame, block: int) -> DataFrame:
-    """(row_no, leaf, in_leaf): the leaves with at least two sets that each set reaches."""
-    members = sets.select("row_no", F.explode(F.arrays_zip(F.sequence(F.lit(0), F.size("keys1") - 1).alias("edge"), F.col("keys1").alias("key"))).alias("at"), *[f"keys{k}" for k in range(2, LEVELS + 1)])
-    members = members.select("row_no", F.col("at.edge").alias("edge"), F.col("at.key").alias("node"), *[f"keys{k}" for k in range(2, LEVELS + 1)])
+    """(row_no, leaf, in_leaf): the leaves with at least two sets that each set reaches.
+
+    What is dealt by node is three numbers per set and edge. The keys of a next level are
+    fetched only for the sets of nodes that have to be split.
+    """
+    members = sets.select("row_no", F.posexplode("keys1").alias("edge", "node"))
     out = None
     for level in range(1, LEVELS + 1):
-        sizes = members.groupBy("node").agg(F.count(F.lit(1)).alias("in_leaf")).where("in_leaf > 1")
-        known = members.join(sizes, "node")
+        sizes = durable(members.groupBy("node").agg(F.count(F.lit(1)).alias("in_leaf")).where("in_leaf > 1"))
+        known = members.join(sizes.select(_apart("node"), "in_leaf"), "node")
         ended = known if level == LEVELS else known.where(F.col("in_leaf") <= block)
         part = ended.select("row_no", F.col("node").alias("leaf"), "in_leaf")
         if level < LEVELS:
             large = durable(known.where(F.col("in_leaf") > block))
             if large.isEmpty():
                 return part if out is None else out.unionByName(part)
-            own = F.slice(f"keys{level + 1}", F.col("edge") * BRANCHES + 1, BRANCHES)
+            keyed = large.join(sets.select("row_no", F.col(f"keys{level + 1}").alias("_keys")), "row_no")
+            own = F.slice("_keys", F.col("edge") * BRANCHES + 1, BRANCHES)
             edges = F.sequence(F.col("edge") * BRANCHES, F.col("edge") * BRANCHES + BRANCHES - 1)
-            child = large.withColumn("to", F.explode(F.arrays_zip(edges.alias("edge"), own.alias("key"))))
+            child = keyed.select("row_no", "node", F.explode(F.arrays_zip(edges.alias("edge"), own.alias("key"))).alias("to"))
             held = child.groupBy("node", F.col("to.key").alias("key")).agg(F.count(F.lit(1)).alias("held"))
-            whole = held.groupBy("node").agg(F.max("held").alias("held"))
-            whole = durable(large.groupBy("node").agg(F.first("in_leaf").alias("in_node")).join(whole, "node").where("held * 2 > in_node").select("node"))
+            most = held.groupBy("node").agg(F.max("held").alias("held"))
+            whole = sizes.join(most, "node").where("held * 2 > in_leaf").select("node")
+            whole = durable(whole).select(_apart("node"))
             part = part.unionByName(large.join(whole, "node", "left_semi").select("row_no", F.col("node").alias("leaf"), "in_leaf"))
-            members = child.join(whole, "node", "left_anti").select("row_no", F.col("to.edge").alias("edge"), F.col("to.key").alias("node"), *[f"keys{k}" for k in range(level + 2, LEVELS + 1)])
+            members = child.join(whole, "node", "left_anti").select("row_no", F.col("to.edge").alias("edge"), F.col("to.key").alias("node"))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -276,5 +289,5 @@ def jaccard_join(docs: DataFrame, n: int = N_GRAM, threshold: float = THRESHOLD,
     rows = worded.select("row_no", "id", "text_hash", "set_key").join(per_group, "set_key").drop("set_key")
     rows = rows.unionByName(wordless.select("row_no", "id", "text_hash", F.col("row_no").alias("class_row"), F.lit(0).cast("bigint").alias("n_links"), F.lit(0).cast("bigint").alias("n_set_links")))
     rows = durable(rows)
-    least = rows.groupBy("class_row").agg(F.min("id").alias("class_id"))
-    return rows.join(least, "class_row").select(F.col("id").alias(id_col), "class_id", "n_links", "n_set_links", "text_hash", "row_no", "class_row")
+    least = durable(rows.groupBy("class_row").agg(F.min("id").alias("class_id")))
+    return rows.join(least.select(_apart("class_row"), "class_id"), "class_row").select(F.col("id").alias(id_col), "class_id", "n_links", "n_set_links", "text_hash", "row_no", "class_row")
