@@ -34,8 +34,8 @@ def raw(spark, tmp_path_factory):
 
 
 def test_full_run(spark, raw, tmp_path):
-    sizes = full_run.Sizes(paths=12, months=480, starts=2, layered_paths=8, grid_paths=6, people=30, people_scenarios=4, gap_people=12, replicas=2, garch_replicas=1, replica_paths=4, window=12, since="2018-01-01")
-    made = full_run.run(spark, raw, str(tmp_path / "out"), sizes, Career())
+    sizes = full_run.Sizes(paths=12, months=360, starts=2, layered_paths=8, grid_paths=6, people=30, people_scenarios=4, gap_people=12, replicas=2, garch_replicas=1, replica_paths=4, window=12, since="2018-01-01")
+    made = full_run.run(spark, raw, str(tmp_path / "out"), sizes, Career(start_age=55, growth_until=60))
     bundle = json.loads((tmp_path / "out/results.json").read_text())
     assert bundle["facts"]["first_month"] == "2018-02-28" and bundle["facts"]["last_month"] == "2021-04-30"
     assert {r["strategy"] for r in bundle["strategies_H"]} >= {"by law", "lifecycle", "reactive", "fund A"} and len(bundle["strategies_M"]) == 8
