@@ -433,12 +433,14 @@ def layer_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(table, 5, "p5", "median", "p95").withColumn("replacement", F.round("replacement", 6))
 
 
-@query(f"""WITH RECURSIVE {_LAYERED}, m AS (SELECT median(total) AS median FROM full_)
+# An odd number of paths: with an even one, the two middle rows are equally far from the median.
+@query(f"""WITH RECURSIVE {_LAYERED}, m AS (SELECT median(total) AS median FROM full_ WHERE p < 99)
 SELECT 25.0::DOUBLE AS salary, round(median, 5) AS median, p AS path_id, round(total, 5) AS total, round(own, 5) AS own, round(employer, 5) AS employer, round(bond, 5) AS bond, round(flat, 5) AS flat
-FROM full_, m ORDER BY abs(total - median), p LIMIT 1""")
+FROM full_, m WHERE p < 99 ORDER BY abs(total - median), p LIMIT 1""")
 def income_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The layers of the path next to the median, so that they add up."""
-    made = pension.income_table(_layered(spark, sf_dir).withColumn("salary", F.lit(25.0)), ["salary"]).drop("last_salary")
+    rows = _layered(spark, sf_dir).where("path_id < 99").withColumn("salary", F.lit(25.0))
+    made = pension.income_table(rows, ["salary"]).drop("last_salary")
     return rounded(made, 5, "median", "total", "own", "employer", "bond", "flat")
 
 
