@@ -1,11 +1,17 @@
-"""Operator 7: substring deduplication by sliding spans of sentences.
+"""Operator 7: substring deduplication by sliding spans of sentences, and of words.
 
 A text is cut into sentences at stops and line ends, and sentences of more than
 ``MAX_WORDS`` words into pieces of that many. From every sentence on, the shortest run of
 at least ``MIN_SENTENCES`` sentences and ``MIN_WORDS`` words is hashed, and so is the
 shortest such run that ends with it, on lower-case words. Runs are joined over the whole
 corpus by a 128-bit hash; every occurrence but the first (least id, then place) is removed.
-So a passage of more than 50 words is always found: it has at least three pieces.
+
+A passage that begins or ends inside sentences may hold no such run. So windows of
+``WINDOW`` words are spans too, wherever they begin: those whose hash is the least of any
+``AMONG`` windows in a row. Which ones those are inside a passage depends on the passage
+alone, so one of ``WINDOW + AMONG - 1`` words (51) or more is always found. The windows
+that are found follow one another without a gap; words of it that may stay are fewer than
+``AMONG`` at either end.
 
 Shape at scale: a span is 40 bytes, and each is shuffled once, to count its hash. What is
 kept of that are the repeated hashes alone, with the place of their first occurrence. The
@@ -26,6 +32,12 @@ from pyspark.sql import functions as F
 from tessera.llm.common import broadcast_if_small, durable, map_rows, whole_text
 
 MIN_SENTENCES, MIN_WORDS, MAX_WORDS = 3, 20, 20
+#: Words of a window, and of how many windows in a row the least is taken; AMONG < WINDOW.
+WINDOW, AMONG = 32, 20
+#: Words whose hashes a worker keeps.
+KNOWN_WORDS = 500_000
+#: Odd factors of the hashes of windows, with their inverses modulo 2^64.
+_FACTORS = [(b, pow(b, -1, 2**64)) for b in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
 #: Spans that a worker hands over at a time.
 ROWS_OUT = 200_000
 _END = re.compile(r"[.!?]+\s+|\s*\n\s*")
@@ -66,13 +78,68 @@ def runs(word_counts: list[int]) -> list[tuple[int, int]]:
     return sorted(forward | {(int(a), int(b)) for a, b in zip(first, starts, strict=True) if a >= 0})
 
 
+def _over(values: np.ndarray, best) -> np.ndarray:
+    """``best`` of every AMONG values in a row."""
+    size = 1
+    while 2 * size <= AMONG:
+        values, size = best(values[:-size], values[size:]), 2 * size
+    return best(values[: len(values) - (AMONG - size)], values[AMONG - size :]) if size < AMONG else values
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+def windows(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts, each as (words, 2) hashes: text, first word and both hashes of the windows that are spans.
+
+    Hashes are sums of the words' hashes times powers of a factor, rolled over the texts laid
+    end to end. A row of windows that leaves its text is not looked at.
+    """
+    sizes = np.array([len(w) for w in words], np.int64)
+    n = int(sizes.sum()) - WINDOW + 1
+    if n < AMONG:
+        return (*[np.empty(0, np.int64)] * 2, *[np.empty(0, np.uint64)] * 2)
+    laid = np.concatenate(words)
+    hashes = []
+    for side, (factor, inverse) in enumerate(_FACTORS):
+        upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(laid[:, side] * _powers(factor, len(laid)), dtype=np.uint64)])
+        h = (upto[WINDOW:] - upto[:-WINDOW]) * _powers(inverse, n)
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        hashes.append(h ^ (h >> np.uint64(32)))
+    ends, doc = np.cumsum(sizes), np.repeat(np.arange(len(sizes)), sizes)[:n]
+    least = _over(hashes[0], np.minimum)
+    whole = np.arange(len(least)) + WINDOW + AMONG - 1 <= ends[doc[: len(least)]]
+    around = np.zeros(AMONG - 1, np.uint64)
+    most = _over(np.concatenate([around, np.where(whole, least, 0), around]), np.maximum)
+    at = np.flatnonzero((most == hashes[0]) & (most > 0))
+    return doc[at], at - (ends - sizes)[doc[at]], hashes[0][at], hashes[1][at]
+
+
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text_hash, h1, h2, start, stop) of every run of every document; places in code points."""
+    """(id, text_hash, h1, h2, start, stop) of every run and window of every document; places in code points."""
 
     def apply(batches):
         import xxhash
 
+        class Known(dict):
+            def __missing__(self, word):
+                self[word] = made = xxhash.xxh3_128_digest(word)
+                return made
+
+        known = Known()
+
+        def windowed(pdf, texts, places, words):
+            doc, first, h1, h2 = windows(words)
+            start = [places[d][k] for d, k in zip(doc.tolist(), first.tolist(), strict=True)]
+            stop = [places[d][k + WINDOW] for d, k in zip(doc.tolist(), first.tolist(), strict=True)]
+            at = np.array(texts, np.int64)[doc]
+            return pd.DataFrame({"id": pdf["id"].to_numpy()[at], "text_hash": pdf["text_hash"].to_numpy()[at], "h1": h1.view(np.int64), "h2": h2.view(np.int64), "start": start, "stop": stop})
+
         for pdf in batches:
+            texts, places, words, held = [], [], [], 0
             keep = {k: [] for k in ("doc", "start", "stop")}
             hashes = []
 
@@ -92,8 +159,21 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 if len(hashes) >= ROWS_OUT:
                     yield out()
                     keep, hashes = {k: [] for k in keep}, []
+                n = sum(len(w) for _, _, w in cut)
+                if n >= WINDOW + AMONG - 1:
+                    texts.append(i)
+                    places.append([*(m.start() for m in _WORD.finditer(text)), len(text)])
+                    words.append(np.frombuffer(b"".join([known[w] for _, _, ws in cut for w in ws]), "<u8").reshape(-1, 2))
+                    held += n
+                if held >= ROWS_OUT:
+                    yield windowed(pdf, texts, places, words)
+                    texts, places, words, held = [], [], [], 0
+                    if len(known) > KNOWN_WORDS:
+                        known.clear()
             if hashes:
                 yield out()
+            if held:
+                yield windowed(pdf, texts, places, words)
 
     rows = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(2**63)).cast("bigint")).alias("id"), F.xxhash64(whole_text(text_col)).alias("text_hash"), whole_text(text_col).alias("text"))
     return map_rows(rows, apply, SPAN)
@@ -148,9 +228,10 @@ def _cut(rows: DataFrame, id_col: str) -> DataFrame:
 def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document that loses text: id, n_chars, removed, removed_chars and kept_text.
 
-    Sentences that any later occurrence of a span covers are cut out. Rows of equal id and
-    text are one document for this purpose and all get the same result. Null and empty
-    texts, and texts of fewer than MIN_SENTENCES sentences or MIN_WORDS words, lose nothing.
+    What any later occurrence of a span covers is cut out. Rows of equal id and text are one
+    document for this purpose and all get the same result. Null and empty texts, and texts
+    of fewer than MIN_WORDS words, or of fewer than MIN_SENTENCES sentences and
+    WINDOW + AMONG - 1 words, lose nothing.
     A null id counts as the least. An empty table gives no rows. Other columns are ignored.
     """
     return _cut(_rows(docs, id_col, text_col).join(_small(durable(repeated_spans(docs, id_col, text_col))), ["id", "text_hash"]), id_col)

@@ -201,6 +201,40 @@ def test_later_passages_are_removed_whole(spark):
             assert text.split("\n")[0] in left and text.split("\n")[2] in left
 
 
+def test_passages_inside_sentences_are_found(spark):
+    """Passages of 51 words and more, entered at any word of a sentence, with other words joined to both ends."""
+    rng = random.Random(4)
+    words = lambda n: [f"w{rng.randrange(10**12)}" for _ in range(n)]
+    docs, want = [], {}
+    for stops in ((), (17, 36), (25,), (3, 48)):
+        for n in (51, 55, 120):
+            passage = words(n)
+            for s in stops:
+                passage[s] += "."
+            for _ in range(3):
+                docs.append((len(docs), " ".join(words(rng.randrange(1, 60)) + passage + words(rng.randrange(1, 60)))))
+                want[docs[-1][0]] = passage
+    texts = dict(docs)
+    for r in substring_dedup.without_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+        passage, left = want[r["doc_id"]], r["kept_text"].split()
+        stay = [w in left for w in passage]
+        assert [w for w in left if w not in passage] == [w for w in texts[r["doc_id"]].split() if w not in passage]
+        if r["doc_id"] % 3 == 0:
+            assert all(stay)
+        else:
+            cut = [i for i, s in enumerate(stay) if not s]
+            assert cut and cut[0] < substring_dedup.AMONG and len(passage) - cut[-1] <= substring_dedup.AMONG
+            assert len(cut) == cut[-1] - cut[0] + 1
+
+
+def test_windows_do_not_depend_on_the_texts_beside():
+    rng = np.random.default_rng(1)
+    texts = [rng.integers(0, 2**64, (n, 2), dtype=np.uint64) for n in (60, 51, 200, 50, 51)]
+    together = list(zip(*(x.tolist() for x in substring_dedup.windows(texts)), strict=True))
+    apart = [(k, *x) for k, t in enumerate(texts) for _, *x in zip(*(x.tolist() for x in substring_dedup.windows([t])), strict=True)]
+    assert together == apart and {k for k, *_ in together} == {0, 1, 2, 4}
+
+
 def test_token_counts_are_the_librarys(spark):
     from tokenizers import Tokenizer
 
