@@ -16,7 +16,7 @@ from tessera.llm.jaccard_join import jaccard_join
 from tessera.llm.mixing import mix
 from tessera.llm.quality import quality
 from tessera.llm.secrets import scan, scan_sql, secret_digests
-from tessera.llm.substring_dedup import edits
+from tessera.llm.substring_dedup import without_repeats
 from tessera.llm.token_counts import token_counts, tokenizer_path
 from tessera.llm.toxicity import toxicity
 
@@ -85,8 +85,8 @@ FROM placed WHERE fate < 3
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document that loses text, what it loses and a digest of what it keeps."""
-    kept = edits(table(spark, sf_dir, "documents"))
+    """Every document, what it loses and a digest of what it keeps."""
+    kept = without_repeats(table(spark, sf_dir, "documents"))
     places = F.array_join(F.transform("removed", lambda r: F.concat_ws(":", r["start"], r["stop"])), ",")
     return kept.select("doc_id", "n_chars", F.size("removed").cast("bigint").alias("n_removed"), "removed_chars", places.alias("removed_spans"), F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 

@@ -235,6 +235,13 @@ def test_windows_do_not_depend_on_the_texts_beside():
     assert together == apart and {k for k, *_ in together} == {0, 1, 2, 4}
 
 
+def test_the_query_of_repeats_has_every_document(spark, sf_dir):
+    made = registry.op7_substring_dedup(spark, sf_dir).toPandas()
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").toPandas()
+    assert sorted(made.doc_id) == sorted(docs.doc_id)
+    assert (made.n_removed == 0).any() and (made.n_removed > 0).any()
+
+
 def test_token_counts_are_the_librarys(spark):
     from tokenizers import Tokenizer
 
