@@ -5,7 +5,9 @@ over them: a leaf is the SHA-256 of a record with its offset range, an inner nod
 its ``FANOUT`` children in order with the range they cover. A replica's records are put at
 the places of the primary's list and hashed into a tree of the same shape. Only the roots
 are compared at first; where nodes differ, the audit goes down to their children, level by
-level, and ends at the records that are altered or missing.
+level, and ends at the records that are altered or missing. Records that only the replica
+has are in no tree; the join that puts the others at their places tells them apart. The
+order of a replica's own records is not compared.
 
 Shape at scale: record bytes are hashed where they are read. What moves is a digest per
 record, and 1/FANOUT of that per level. Places and offsets are prefix sums over range
@@ -117,14 +119,15 @@ def mismatches(primary: list[DataFrame], replica: list[DataFrame], fanout: int =
     return wrong
 
 
-def audit(primary: DataFrame, replica: DataFrame, keys: list[str], record_col: str = "record", fanout: int = FANOUT) -> DataFrame:
-    """One row per record of the primary that the replica has wrong or lacks.
+def audit(primary: DataFrame, replica: DataFrame, keys: list[str], record_col: str = "record", fanout: int = FANOUT, added: bool = False) -> DataFrame:
+    """One row per record of the primary that the replica has wrong or lacks, and with ``added`` per record that only the replica has.
 
     Columns: the keys, copy, pos, offset, length, replica_length and state (altered,
-    resized or missing). Records of the replica that the primary lacks are not of the
-    archive and are ignored. Null records count as empty; null keys are keys like others
+    resized or missing). Records of the replica that the primary lacks, further copies of
+    one that it has among them, are ignored unless ``added`` is true: then their state is
+    added, and they have no pos, offset and length. Null records count as empty; null keys are keys like others
     and come first; rows of equal keys are copies, numbered by digest; an empty primary
-    gives no rows, an empty replica lacks everything. Other columns are ignored.
+    gives no others than added rows, an empty replica lacks everything. Other columns are ignored.
     """
     listed = record_list(primary, keys, record_col)
     body = F.coalesce(F.col(record_col), F.lit("")).cast("binary")
@@ -132,13 +135,18 @@ def audit(primary: DataFrame, replica: DataFrame, keys: list[str], record_col: s
     held = _number_copies(held.withColumn("_row", F.monotonically_increasing_id()), keys, "_row").drop("_row").withColumnRenamed("digest", "replica_digest")
     names = [*keys, "copy"]
     on = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in names]
-    both = durable(listed.alias("a").join(held.alias("b"), on, "left").select("a.*", "replica_length", F.coalesce("replica_digest", F.lit(MISSING)).alias("replica_digest")))
+    named = [F.coalesce(f"a.{k}", f"b.{k}").alias(k) for k in names]
+    joined = listed.alias("a").join(held.alias("b"), on, "full" if added else "left")
+    every = durable(joined.select(*named, "pos", "offset", "length", "digest", "replica_length", F.coalesce("replica_digest", F.lit(MISSING)).alias("replica_digest")))
+    both = every.where("pos is not null")
     stop = F.col("offset") + F.col("length")
     mine = tree(both.select("pos", F.col("offset").alias("start"), stop.alias("stop"), "digest"), fanout)
     theirs = tree(both.select("pos", F.col("offset").alias("start"), stop.alias("stop"), F.col("replica_digest").alias("digest")), fanout)
     wrong = mismatches(mine, theirs, fanout)
     state = F.when(F.col("replica_digest") == MISSING, "missing").when(F.col("replica_length") != F.col("length"), "resized").otherwise("altered")
-    return both.join(wrong.withColumnRenamed("idx", "pos"), "pos", "left_semi").select(*keys, "copy", "pos", "offset", "length", "replica_length", state.alias("state"))
+    shown = [*keys, "copy", "pos", "offset", "length", "replica_length"]
+    found = both.join(wrong.withColumnRenamed("idx", "pos"), "pos", "left_semi").select(*shown, state.alias("state"))
+    return found.unionByName(every.where("pos is null").select(*shown, F.lit("added").alias("state"))) if added else found
 
 
 def damaged(records: DataFrame, keys: list[str], record_col: str = "record") -> DataFrame:

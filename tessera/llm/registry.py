@@ -59,7 +59,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages as a WARC archive, audited against a replica with the damage that ``damaged`` does."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", warc_record(F.col("url"), F.col("html")).alias("record"))
-    return audit(pages, damaged(pages, ["page_id", "url"]), ["page_id", "url"]).drop("copy")
+    return audit(pages, damaged(pages, ["page_id", "url"]), ["page_id", "url"], added=True).drop("copy")
 
 
 OP6_SQL = r"""

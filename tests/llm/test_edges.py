@@ -96,6 +96,16 @@ def test_audit_edges(spark):
     assert sorted((r["k"], r["state"]) for r in audit(base, changed, ["k"]).collect()) == [(1, "altered"), (2, "resized")]
 
 
+def test_audit_reports_what_only_the_replica_has(spark):
+    schema = "k long, record string"
+    base = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b"), (3, "c"), (None, "n")], schema)
+    more = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (2, "b"), (3, "x"), (9, "new"), (None, "n"), (None, "n")], schema)
+    got = audit(base, more, ["k"], added=True).collect()
+    assert sorted((r["k"] or 0, r["copy"], r["pos"] is None, r["replica_length"], r["state"]) for r in got) == [(0, 1, True, 1, "added"), (1, 1, True, 1, "added"), (3, 0, False, 1, "altered"), (9, 0, True, 3, "added")]
+    assert audit(base, base, ["k"], added=True).count() == 0
+    assert [r["state"] for r in audit(base.limit(0), base, ["k"], added=True).collect()] == ["added"] * 5
+
+
 @pytest.mark.parametrize("k", range(4))
 def test_stages_keep_the_columns(spark, odd, sf_dir, k):
     name, stage = corpus_pipeline.STAGES[k]
