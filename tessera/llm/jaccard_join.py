@@ -1,54 +1,79 @@
 """Operator 9: n-gram Jaccard join by chosen paths.
 
 Each document is the set of its word n-grams. After Christiani and Pagh (2017), a set
-walks down a tree: at a node it is sent to the children named by ``BRANCHES`` of its
-own n-grams, each the least under a hash of that node, so that two sets of similarity
-J meet in a child with probability J each. A node with at most ``block`` sets is a
-leaf. A node that its children would not split, as most of its sets are near copies of
-each other, is a leaf too, as is every node at the last level: such a leaf is compared
-in blocks of two chunks, so no task ever holds more than two chunks of it. Within a
-leaf or block all pairs are compared exactly, by products of 0/1 matrices. Whole walks
-are repeated until the expected recall at the threshold reaches the target.
-
-A pair that meets in several leaves is counted in the least of them only. Pairs are
-never written out: a block returns, for each of its sets, how many links it has there
-and the least set that it is linked with through the block; those edges, fewer than the
-sets, give the classes. Equal sets are merged first and stand for all their documents.
-
-Shape at scale: texts are read once. What moves is, per set, its tree keys (28 numbers)
-and, only for sets that share a leaf with another, the n-grams as 32-bit fingerprints,
-once per leaf or block. A pair's similarity is computed on the fingerprints; a chance
-agreement of two different n-grams of a pair has a probability of about n^2 / 2^32.
+walks down a tree: at a node it is sent to the children named by some of its own n-grams,
+each the least under a hash of that node, so that two sets of similarity J meet in a child
+with probability J each. A node with at most ``block`` sets is a leaf. Walks go as deep as
+nodes are large; with as many branches as ``branches_for`` gives, the odds that a pair
+comes through don't fall below a fixed point, however deep the tree is. Whole walks are
+repeated until the expected recall at the threshold reaches the target.
+
+In a leaf all sets are compared by sketches, the least ``SKETCH`` fingerprints of each (as
+Christiani, Pagh and Sivertsen 2018 do with other sketches); what may be linked there forms
+a cluster. Equal clusters of several leaves are one. Fingerprints are fetched for the sets
+of clusters alone, and a cluster is compared exactly, by products of 0/1 matrices.
+
+A node that its children would not split, as a fourth or more of it are near copies of each
+other, is a hot node: that core leaves the walk. Half of its similarity is proven without
+pairs: Jaccard distance is a metric, so sets within half the allowed distance of one and the
+same set, here that of the n-grams most sets of the node have, are all linked (a ball). Only
+sets outside the ball are compared with the rest of their hot node, chunk by chunk, so no
+task ever holds more than two chunks.
+
+A pair that meets in several clusters is counted in the least of them only. Pairs are never
+written out: a block returns, for each of its sets, how many links it has there and the
+least set that it is linked with through the block; those edges, fewer than the sets, give
+the classes. Equal sets are merged first and stand for all their documents.
+
+Shape at scale: texts are read once. What moves is, per set, its tree keys (28 numbers), a
+sketch of 96 bytes per shared leaf, and the fingerprints once and once more per cluster. The
+plan is the same at every size. A pair's similarity is computed on 32-bit fingerprints; a
+chance agreement of two different n-grams of a pair has a probability of about n^2 / 2^32.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import broadcast_if_small, durable, map_rows, partitions, whole_text
+from tessera.llm.common import durable, map_rows, partitions, whole_text
 from tessera.llm.components import components
 from tessera.llm.toxicity import WordHashes
 
 N_GRAM, THRESHOLD = 5, 0.8
-BRANCHES, LEVELS = 2, 3
+#: Levels of the trees whose keys are made with the fingerprints; deeper ones are made where they are needed.
+LEVELS = 3
 TARGET_RECALL = 0.99
 BLOCK = 512
+#: Fingerprints of a sketch, and the share of them that two sets of similarity 0.8 have in common at
+#: least (8 of 24 or fewer where 19 are expected at least: odds under 1 in 100,000).
+SKETCH, SKETCH_SHARE = 24, 0.375
+#: Sets of a hot node that are asked for its common n-grams, about; the shares of a set's sketch that must
+#: be common for it to be in the core, or near it; the least share of the node that a core must be.
+ASKED, CORE_SHARE, NEAR_SHARE, LEAST_CORE = 48, 0.7, 0.25, 0.25
+#: From this level on nodes are compared whole, if a walk should ever come so far.
+DEEPEST = 40
 #: Cells of a 0/1 matrix that a worker builds at a time.
 SLAB_CELLS = 4_000_000
 _WORD = re.compile(r"\w+")
 
 
+def branches_for(threshold: float) -> int:
+    """Branches with which walks of pairs at the threshold don't die out."""
+    return max(2, math.ceil(1.6 / threshold))
+
+
 def runs_for(threshold: float, recall: float = TARGET_RECALL) -> int:
-    """Walks needed: a pair at the threshold comes through a level with s = 1 - (1 - threshold s)^BRANCHES."""
-    s = 1.0
-    for _ in range(LEVELS):
-        s = 1 - (1 - threshold * s) ** BRANCHES
+    """Walks needed: a pair at the threshold comes through any number of levels with s = 1 - (1 - threshold s)^branches."""
+    s, branches = 1.0, branches_for(threshold)
+    for _ in range(DEEPEST):
+        s = 1 - (1 - threshold * s) ** branches
     return 1 if s >= recall else math.ceil(math.log(1 - recall) / math.log(1 - s))
 
 
@@ -66,21 +91,19 @@ def fingerprints(text: str, n: int, hashes: WordHashes) -> np.ndarray:
     return np.unique((x >> np.uint64(32)).astype(np.uint32))
 
 
-def _nodes(runs: int) -> tuple[np.ndarray, list[int]]:
-    """A multiplier for each edge of the trees, level by level, and the number of edges of each level."""
-    counts = [runs * BRANCHES ** (level + 1) for level in range(LEVELS)]
-    random = np.random.default_rng(20170601)
-    return random.integers(0, 2**63, sum(counts), dtype=np.uint64) * np.uint64(2) + np.uint64(1), counts
-
-
 def _scramble(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
-def path_keys(prints: np.ndarray, multipliers: np.ndarray, counts: list[int]) -> np.ndarray:
-    """The names of the nodes that a set reaches, level by level; a child's name follows its parent's."""
+def _multipliers(level: int, edges: np.ndarray) -> np.ndarray:
+    """An odd factor for each edge that leads to the level."""
+    return _scramble(edges.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(level)) | np.uint64(1)
+
+
+def _least(prints: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
+    """Of each hash of the n-grams, the least."""
     chosen = np.full(len(multipliers), np.uint64(0xFFFFFFFFFFFFFFFF))
     wide = prints.astype(np.uint64) + np.uint64(1)
     step = max(1, SLAB_CELLS // (8 * len(multipliers)))
@@ -89,20 +112,28 @@ def path_keys(prints: np.ndarray, multipliers: np.ndarray, counts: list[int]) ->
         x ^= x >> np.uint64(29)
         x *= np.uint64(0x9E3779B97F4A7C15)
         np.minimum(chosen, x.min(axis=1), out=chosen)
-    names = np.empty(len(chosen), np.uint64)
-    start = before = 0
-    for level, count in enumerate(counts):
-        edge = np.arange(count, dtype=np.uint64) + np.uint64(start + 1)
-        parent = np.zeros(count, np.uint64) if level == 0 else np.repeat(names[before:start], BRANCHES)
-        names[start : start + count] = _scramble(parent ^ _scramble(chosen[start : start + count] + edge * np.uint64(0xD6E8FEB86659FD93)))
-        before, start = start, start + count
-    return names.view(np.int64)
+    return chosen
+
+
+def _names(level: int, edges: np.ndarray, parents: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    own = _scramble(chosen + (edges.astype(np.uint64) + np.uint64(level << 40)) * np.uint64(0xD6E8FEB86659FD93))
+    return _scramble(parents ^ own)
 
 
-def signatures(docs: DataFrame, n: int, runs: int, id_col: str, text_col: str) -> DataFrame:
+def path_keys(prints: np.ndarray, runs: int, branches: int) -> list[np.ndarray]:
+    """The names of the nodes that a set reaches, level by level; a child's name follows its parent's."""
+    edges = [np.arange(runs * branches ** (level + 1)) for level in range(LEVELS)]
+    chosen = _least(prints, np.concatenate([_multipliers(level, e) for level, e in enumerate(edges)]))
+    out, at, names = [], 0, np.zeros(runs, np.uint64)
+    for level, e in enumerate(edges):
+        names = _names(level, e, np.repeat(names, branches), chosen[at : at + len(e)])
+        at += len(e)
+        out.append(names.view(np.int64))
+    return out
+
+
+def signatures(docs: DataFrame, n: int, runs: int, branches: int, id_col: str, text_col: str) -> DataFrame:
     """(row_no, id, text_hash, set_key, n_set, prints, keys1..keys3) of each document; keys are null for a text without words."""
-    multipliers, counts = _nodes(runs)
-    cuts = np.cumsum([0, *counts])
 
     def apply(batches):
         import xxhash
@@ -113,12 +144,12 @@ def signatures(docs: DataFrame, n: int, runs: int, id_col: str, text_col: str) -
             for text in pdf["text"]:
                 prints = fingerprints(text, n, hashes)
                 raw = prints.astype("<u4").tobytes()
-                keys = path_keys(prints, multipliers, counts) if len(prints) else None
+                keys = path_keys(prints, runs, branches) if len(prints) else [None] * LEVELS
                 out["set_key"].append(xxhash.xxh3_128_digest(raw))
                 out["n_set"].append(len(prints))
                 out["prints"].append(raw)
                 for k in range(LEVELS):
-                    out[f"keys{k + 1}"].append(None if keys is None else keys[cuts[k] : cuts[k + 1]])
+                    out[f"keys{k + 1}"].append(keys[k])
             yield pd.DataFrame(out)
 
     rows = docs.select(F.monotonically_increasing_id().alias("row_no"), F.col(id_col).cast("bigint").alias("id"), F.xxhash64(whole_text(text_col)).alias("text_hash"), whole_text(text_col).alias("text"))
@@ -134,35 +165,96 @@ def _apart(key: str):
     return F.col(key).bitwiseXOR(F.lit(0)).alias(key)
 
 
-def leaves(sets: DataFrame, block: int) -> DataFrame:
-    """(row_no, leaf, in_leaf): the leaves with at least two sets that each set reaches.
+def _children(large: DataFrame, sets: DataFrame, prints: DataFrame, level: int, branches: int) -> DataFrame:
+    """(row_no, node, edge, key): the nodes of the next level that the sets of large nodes go to."""
+    if level < LEVELS:
+        keyed = large.join(sets.select("row_no", F.col(f"keys{level + 1}").alias("_keys")), "row_no")
+        own = F.slice("_keys", (F.col("edge") * branches + 1).cast("int"), branches)
+        edges = F.sequence(F.col("edge") * branches, F.col("edge") * branches + branches - 1)
+        to = F.explode(F.arrays_zip(edges.alias("edge"), own.alias("key")))
+        return keyed.select("row_no", "node", to.alias("to")).select("row_no", "node", "to.edge", "to.key")
+
+    def deeper(batches):
+        for pdf in batches:
+            edge = np.repeat(pdf["edge"].to_numpy(np.int64) * branches, branches) + np.tile(np.arange(branches), len(pdf))
+            factors = _multipliers(level, edge).reshape(-1, branches)
+            chosen = [_least(np.frombuffer(b, "<u4"), f) for b, f in zip(pdf["prints"], factors, strict=True)]
+            node = np.repeat(pdf["node"].to_numpy(np.int64), branches)
+            key = _names(level, edge, node.view(np.uint64), np.concatenate(chosen)) if len(pdf) else np.empty(0, np.uint64)
+            yield pd.DataFrame({"row_no": np.repeat(pdf["row_no"].to_numpy(), branches), "node": node, "edge": edge, "key": key.view(np.int64)})
+
+    return map_rows(large.select("row_no", "node", "edge").join(prints, "row_no"), deeper, "row_no bigint, node bigint, edge bigint, key bigint")
+
+
+def _asked(size: str):
+    """About ASKED rows of a node of so many, by a hash of the row and the node."""
+    return F.pmod(F.xxhash64("row_no", "node"), F.col(size)) < ASKED
 
-    What is dealt by node is three numbers per set and edge. The keys of a next level are
-    fetched only for the sets of nodes that have to be split.
+
+def _common(rows: DataFrame, column: str, least: int) -> DataFrame:
+    """(node, common): the numbers that more than half of a node's rows have in ``column``; the least of them only, if ``least``."""
+
+    def vote(key, pdf):
+        held, times = np.unique(np.concatenate([np.frombuffer(b, "<u4") for b in pdf[column]]), return_counts=True)
+        most = held[times * 2 > len(pdf)]
+        return pd.DataFrame({"node": [key[0]], "common": [(most[:least] if least else most).astype("<u4").tobytes()]})
+
+    return rows.groupBy("node").applyInPandas(vote, "node bigint, common binary")
+
+
+def _shared(batches, column: str, out: list[str]):
+    """The columns ``out``, the numbers that ``column`` and ``common`` share, and the lengths of both."""
+    for pdf in batches:
+        common = {b: np.frombuffer(b, "<u4") for b in set(pdf["common"])}
+        own = [np.frombuffer(b, "<u4") for b in pdf[column]]
+        shared = [len(np.intersect1d(x, common[b], assume_unique=True)) for x, b in zip(own, pdf["common"], strict=True)]
+        yield pdf[out].assign(shared=shared, own=[len(x) for x in own], n_common=[len(common[b]) for b in pdf["common"]])
+
+
+def _cores(large: DataFrame, whole: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(row_no, node, core, n_core) of the nodes that don't split: whether a set is much like what most sets of the node have."""
+    inside = large.join(whole.select(_apart("node")), "node", "left_semi")
+    sketched = inside.select("row_no", "node", "in_leaf").join(sketches.select("row_no", "sketch"), "row_no")
+    common = durable(_common(sketched.where(_asked("in_leaf")), "sketch", SKETCH))
+    shared = map_rows(sketched.join(common.select(_apart("node"), "common"), "node"), lambda b: _shared(b, "sketch", ["row_no", "node", "in_leaf"]), "row_no bigint, node bigint, in_leaf bigint, shared int, own int, n_common int")
+    zoned = durable(shared.select("row_no", "node", "in_leaf", (F.col("shared") >= F.col("own") * CORE_SHARE).alias("core"), (F.col("shared") >= F.col("own") * NEAR_SHARE).alias("near")))
+    enough = zoned.groupBy("node").agg(F.sum(F.col("core").cast("bigint")).alias("n_core"), F.first("in_leaf").alias("n")).where(F.col("n_core") > F.col("n") * LEAST_CORE).select("node")
+    return zoned.join(durable(enough).select(_apart("node")), "node", "left_semi")
+
+
+def leaves(sets: DataFrame, prints: DataFrame, sketches: DataFrame, block: int, branches: int) -> tuple[DataFrame, DataFrame | None]:
+    """Leaves with at least two sets, as (row_no, leaf), and hot nodes, as (row_no, leaf, in_leaf); None where there are none.
+
+    What is dealt by node is three numbers per set and edge. The core of a hot node leaves the walk
+    there; sets that are near it are in the hot node and walk on, so that all pairs can meet.
     """
-    members = sets.select("row_no", F.posexplode("keys1").alias("edge", "node"))
-    out = None
-    for level in range(1, LEVELS + 1):
+    members = sets.select("row_no", F.posexplode("keys1").alias("edge", "node")).withColumn("edge", F.col("edge").cast("bigint"))
+    small, hot, level = [], [], 1
+    while True:
         sizes = durable(members.groupBy("node").agg(F.count(F.lit(1)).alias("in_leaf")).where("in_leaf > 1"))
         known = members.join(sizes.select(_apart("node"), "in_leaf"), "node")
-        ended = known if level == LEVELS else known.where(F.col("in_leaf") <= block)
-        part = ended.select("row_no", F.col("node").alias("leaf"), "in_leaf")
-        if level < LEVELS:
-            large = durable(known.where(F.col("in_leaf") > block))
-            if large.isEmpty():
-                return part if out is None else out.unionByName(part)
-            keyed = large.join(sets.select("row_no", F.col(f"keys{level + 1}").alias("_keys")), "row_no")
-            own = F.slice("_keys", F.col("edge") * BRANCHES + 1, BRANCHES)
-            edges = F.sequence(F.col("edge") * BRANCHES, F.col("edge") * BRANCHES + BRANCHES - 1)
-            child = keyed.select("row_no", "node", F.explode(F.arrays_zip(edges.alias("edge"), own.alias("key"))).alias("to"))
-            held = child.groupBy("node", F.col("to.key").alias("key")).agg(F.count(F.lit(1)).alias("held"))
-            most = held.groupBy("node").agg(F.max("held").alias("held"))
-            whole = sizes.join(most, "node").where("held * 2 > in_leaf").select("node")
-            whole = durable(whole).select(_apart("node"))
-            part = part.unionByName(large.join(whole, "node", "left_semi").select("row_no", F.col("node").alias("leaf"), "in_leaf"))
-            members = child.join(whole, "node", "left_anti").select("row_no", F.col("to.edge").alias("edge"), F.col("to.key").alias("node"))
-        out = part if out is None else out.unionByName(part)
-    return out
+        small.append(known.where(F.col("in_leaf") <= block).select("row_no", F.col("node").alias("leaf")))
+        large = durable(known.where(F.col("in_leaf") > block))
+        if large.isEmpty():
+            break
+        if level >= DEEPEST:
+            hot.append(large.select("row_no", F.col("node").alias("leaf")))
+            break
+        child = durable(_children(large, sets, prints, level, branches))
+        held = child.groupBy("node", "key").agg(F.count(F.lit(1)).alias("held"))
+        most = held.groupBy("node").agg(F.max("held").alias("held"))
+        whole = durable(sizes.join(most, "node").where("held * 2 > in_leaf").select("node"))
+        if not whole.isEmpty():
+            zoned = durable(_cores(large, whole, sketches))
+            hot.append(zoned.where("core or near").select("row_no", F.col("node").alias("leaf")))
+            child = child.join(zoned.where("core").select(_apart("row_no"), "node"), ["row_no", "node"], "left_anti")
+        members = child.select("row_no", "edge", F.col("key").alias("node"))
+        level += 1
+    if not hot:
+        return reduce(DataFrame.unionByName, small), None
+    hot = durable(reduce(DataFrame.unionByName, hot))
+    sizes = durable(hot.groupBy("leaf").agg(F.count(F.lit(1)).alias("in_leaf")))
+    return reduce(DataFrame.unionByName, small), durable(hot.join(sizes.select(_apart("leaf"), "in_leaf"), "leaf"))
 
 
 def _intersections(prints: list[np.ndarray]) -> np.ndarray:
@@ -189,59 +281,131 @@ def _intersections(prints: list[np.ndarray]) -> np.ndarray:
     return inter
 
 
-def compare_block(leaf: int, low: int, high: int, chunk: np.ndarray, rows: np.ndarray, weights: np.ndarray, all_leaves: list, prints: list[np.ndarray], threshold: float):
-    """(row_no, root, links, set_links) of the sets that have links counted in this leaf or block."""
+def _roots(linked: np.ndarray) -> np.ndarray:
+    """The least member of the component of each row of a symmetric 0/1 matrix."""
+    n = len(linked)
+    root = np.arange(n)
+    while True:
+        least = np.where(linked, root[None, :], n).min(axis=1)
+        new = np.minimum(root, least)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
+def _groups(batches, keys: list[str]):
+    """Rows with equal keys, which come one after another; a group may go on in the next batch. Yields lists of groups."""
+    held: list[pd.DataFrame] = []
+    for pdf in batches:
+        if held:
+            pdf = pd.concat([*held, pdf], ignore_index=True)
+        if not len(pdf):
+            continue
+        key = pdf[keys].to_numpy()
+        edges = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1), len(pdf)]
+        yield [pdf.iloc[a:b] for a, b in zip(edges[:-2], edges[1:-1], strict=True) if b - a > 1]
+        held = [pdf.iloc[edges[-2] :]]
+    if held and len(held[0]) > 1:
+        yield held
+
+
+def _clusters(batches, threshold: float):
+    """(cluster, row_no): the sets of each leaf that may be linked, by their sketches; a cluster is named by its sets."""
+    import xxhash
+
+    for leaves_ in _groups(batches, ["leaf"]):
+        names, members = [], []
+        for pdf in leaves_:
+            sketch = [np.frombuffer(b, "<u4") for b in pdf["sketch"]]
+            size, kept = pdf["n_set"].to_numpy(np.float64), np.array([len(x) for x in sketch])
+            may = _intersections(sketch) >= SKETCH_SHARE * np.minimum(kept[:, None], kept[None, :])
+            may &= np.minimum(size[:, None], size[None, :]) >= threshold * np.maximum(size[:, None], size[None, :]) - 1e-9
+            np.fill_diagonal(may, False)
+            if not may.any():
+                continue
+            root, rows = _roots(may), pdf["row_no"].to_numpy(np.int64)
+            for r in np.unique(root[may.any(axis=1)]):
+                own = np.sort(rows[root == r])
+                names += [xxhash.xxh64_intdigest(own.tobytes()) - 2**63] * len(own)
+                members.append(own)
+        yield pd.DataFrame({"cluster": np.array(names, np.int64), "row_no": np.concatenate(members) if members else np.empty(0, np.int64)})
+
+
+def compare_block(name: int, low: int, high: int, chunk: np.ndarray, rows: np.ndarray, weights: np.ndarray, ball: np.ndarray, all_names: list, prints: list[np.ndarray], threshold: float):
+    """(row_no, root, links, set_links) of the sets that have links counted in this cluster or block.
+
+    Sets of one ball (0: none) are known to be linked and are not counted here.
+    """
     n = len(rows)
     size = np.array([len(p) for p in prints], np.float64)
     linked = _intersections(prints) * (1 + threshold) >= threshold * (size[:, None] + size[None, :]) - 1e-9
     np.fill_diagonal(linked, False)
+    linked &= (ball[:, None] != ball[None, :]) | (ball[:, None] == 0)
     if low != high:
         linked &= chunk[:, None] != chunk[None, :]
-    owner = np.repeat(np.arange(n), [len(x) for x in all_leaves])
-    names = np.concatenate(all_leaves)
-    before = names < leaf
+    owner = np.repeat(np.arange(n), [len(x) for x in all_names])
+    names = np.concatenate(all_names)
+    before = names < name
     owner, names = owner[before], names[before]
     order = np.argsort(names, kind="stable")
     for group in np.split(owner[order], np.flatnonzero(np.diff(names[order])) + 1):
         if len(group) > 1:
             linked[np.ix_(group, group)] = False
-    root = np.arange(n)
-    while True:
-        least = np.where(linked, root[None, :], n).min(axis=1)
-        new = np.minimum(root, least)
-        new = new[new]
-        if (new == root).all():
-            break
-        root = new
+    root = _roots(linked)
     got = np.flatnonzero(linked.any(axis=1))
     return rows[got], rows[root[got]], (linked[got] @ weights).astype(np.int64), linked[got].sum(axis=1)
 
 
 def _compare_sorted(batches, threshold: float):
-    """Compare blocks that come one after another, sorted; a block may go on in the next batch."""
-    held: list[pd.DataFrame] = []
+    """Compare clusters and blocks that come one after another, sorted."""
+    for blocks in _groups(batches, ["name", "low", "high"]):
+        found = [
+            compare_block(
+                *(int(pdf[c].iloc[0]) for c in ("name", "low", "high")), pdf["chunk"].to_numpy(), pdf["row_no"].to_numpy(), pdf["weight"].to_numpy(np.float64), pdf["ball"].to_numpy(np.int64),
+                [np.asarray(x, np.int64) for x in pdf["all_names"]], [np.frombuffer(b, "<u4") for b in pdf["prints"]], threshold,
+            )
+            for pdf in blocks
+        ]
+        cols = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.empty(0, np.int64)] * 4
+        yield pd.DataFrame(dict(zip(("row_no", "root", "links", "set_links"), cols, strict=True)))
 
-    def run(pdf):
-        leaf, low, high = (int(pdf[c].iloc[0]) for c in ("leaf", "low", "high"))
-        return compare_block(
-            leaf, low, high, pdf["chunk"].to_numpy(), pdf["row_no"].to_numpy(), pdf["weight"].to_numpy(np.float64),
-            [np.asarray(x, np.int64) for x in pdf["all_leaves"]], [np.frombuffer(b, "<u4") for b in pdf["prints"]], threshold,
-        )
 
-    def out(found):
-        cols = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.empty(0, np.int64)] * 4
-        return pd.DataFrame(dict(zip(("row_no", "root", "links", "set_links"), cols, strict=True)))
+def balls(needed: DataFrame, threshold: float) -> DataFrame:
+    """(row_no, leaf, ball, inside, near): of the sets of each hot node, which are within half the allowed distance of what most have.
+
+    ``ball`` is named by that common set, ``inside`` says whether a set is in it, and ``near`` whether it can be linked with any that is.
+    """
+    inside = needed.where("size(hot) > 0").select("row_no", "prints", F.inline("hot")).withColumnRenamed("leaf", "node")
+    common = durable(_common(inside.where(_asked("in_leaf")), "prints", 0))
+    met = inside.select("row_no", "node", "prints").join(common.select(_apart("node"), "common"), "node")
+    met = met.withColumn("ball", F.xxhash64("common"))
+    shared = map_rows(met, lambda b: _shared(b, "prints", ["row_no", "node", "ball"]), "row_no bigint, node bigint, ball bigint, shared int, own int, n_common int", rows=200)
+    distance = 1 - F.col("shared") / (F.col("own") + F.col("n_common") - F.col("shared"))
+    allowed = 1 - threshold
+    return shared.select("row_no", F.col("node").alias("leaf"), "ball", (distance <= allowed / 2 + 1e-12).alias("inside"), (distance <= allowed * 1.5 + 1e-9).alias("near"))
 
-    for pdf in batches:
-        if held:
-            pdf = pd.concat([*held, pdf], ignore_index=True)
-        key = pdf[["leaf", "low", "high"]].to_numpy()
-        cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
-        edges = [0, *cuts, len(pdf)]
-        yield out([run(pdf.iloc[a:b]) for a, b in zip(edges[:-2], edges[1:-1], strict=True) if b - a > 1])
-        held = [pdf.iloc[edges[-2] :]]
-    if held and len(held[0]) > 1:
-        yield out([run(held[0])])
+
+def _hot_blocks(zoned: DataFrame, block: int) -> DataFrame:
+    """(row_no, name, low, high, chunk) of the blocks of hot nodes: all that is outside the ball against itself and against what is inside.
+
+    Sets too far from the ball to be linked with any inside are only compared among those outside.
+    """
+    zone = F.when(F.col("inside"), 0).when(F.col("near"), 1).otherwise(2)
+    zoned = zoned.select("row_no", "leaf", zone.alias("zone"))
+    counts = zoned.groupBy("leaf").pivot("zone", [0, 1, 2]).count().na.fill(0)
+    chunks = lambda z: F.ceil(F.col(f"`{z}`") / F.lit(float(block))).cast("int")
+    sizes = durable(counts.select("leaf", *[chunks(z).alias(f"chunks{z}") for z in range(3)]))
+    placed = zoned.join(sizes.select(_apart("leaf"), "chunks0", "chunks1", "chunks2"), "leaf")
+    # Chunks are numbered zone by zone: near ones first, then far ones, then those inside.
+    first = F.when(F.col("zone") == 1, 0).when(F.col("zone") == 2, F.col("chunks1")).otherwise(F.col("chunks1") + F.col("chunks2"))
+    own = F.when(F.col("zone") == 0, F.col("chunks0")).when(F.col("zone") == 1, F.col("chunks1")).otherwise(F.col("chunks2"))
+    placed = placed.withColumn("chunk", first + F.pmod(F.xxhash64("row_no", "leaf"), own).cast("int"))
+    none = F.array().cast("array<int>")
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(none)
+    others = F.when(F.col("zone") == 0, upto(F.col("chunks1"))).when(F.col("zone") == 2, upto(F.col("chunks1") + F.col("chunks2"))).otherwise(upto(F.col("chunks0") + F.col("chunks1") + F.col("chunks2")))
+    placed = placed.withColumn("other", F.explode(others))
+    return placed.select("row_no", F.col("leaf").alias("name"), F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk")
 
 
 def jaccard_join(docs: DataFrame, n: int = N_GRAM, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", recall: float = TARGET_RECALL, block: int = BLOCK) -> DataFrame:
@@ -256,27 +420,45 @@ def jaccard_join(docs: DataFrame, n: int = N_GRAM, threshold: float = THRESHOLD,
     Equal rows are documents of their own that are linked. An empty table gives no rows.
     Other columns are ignored.
     """
-    spark = docs.sparkSession
-    signed = durable(signatures(docs, n, runs_for(threshold, recall), id_col, text_col))
+    spark, branches = docs.sparkSession, branches_for(threshold)
+    signed = durable(signatures(docs, n, runs_for(threshold, recall), branches, id_col, text_col))
     wordless = signed.where("n_set = 0").select("row_no", "id", "text_hash")
     worded = signed.where("n_set > 0")
+    prints = worded.select("row_no", "prints")
     groups = durable(worded.groupBy("set_key").agg(F.min("row_no").alias("rep"), F.count(F.lit(1)).alias("weight")))
-    sets = worded.join(groups.select(F.col("rep").alias("row_no"), "weight"), "row_no")
-    reached = durable(leaves(sets.select("row_no", *[f"keys{k + 1}" for k in range(LEVELS)]), block))
-    # In each leaf a set is compared with the whole leaf, or with each chunk of it.
-    chunks = F.ceil(F.col("in_leaf") / F.lit(float(block))).cast("int")
-    chunk = F.pmod(F.xxhash64("row_no", "leaf"), F.col("chunks")).cast("int")
-    mine = reached.withColumn("chunks", chunks).withColumn("chunk", chunk)
-    per_set = durable(
-        mine.groupBy("row_no").agg(F.array_sort(F.collect_list("leaf")).alias("all_leaves"), F.collect_list(F.struct("leaf", "chunks", "chunk")).alias("at"))
-    )
-    placed = per_set.join(groups.select(F.col("rep").alias("row_no"), "weight"), "row_no")
-    placed = worded.select("row_no", "prints").join(broadcast_if_small(placed, per_set.count(), 200_000), "row_no")
-    dealt = placed.select("row_no", "weight", "all_leaves", "prints", F.inline("at"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = dealt.select("leaf", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "row_no", "weight", "all_leaves", "prints")
-    dealt = dealt.repartition(partitions(spark), "leaf", "low", "high").sortWithinPartitions("leaf", "low", "high", "row_no")
-    found = durable(dealt.mapInPandas(lambda batches: _compare_sorted(batches, threshold), "row_no bigint, root bigint, links bigint, set_links bigint"))
+    weights = groups.select(F.col("rep").alias("row_no"), "weight")
+    sketch = F.substring("prints", 1, 4 * SKETCH).alias("sketch")
+    sets = worded.select("row_no", "n_set", sketch, *[f"keys{k + 1}" for k in range(LEVELS)]).join(weights.select("row_no"), "row_no", "left_semi")
+    reached, hot = leaves(sets, prints, worded.select("row_no", sketch), block, branches)
+    sketched = reached.join(worded.select("row_no", "n_set", sketch), "row_no")
+    sketched = sketched.repartition(partitions(spark), "leaf").sortWithinPartitions("leaf")
+    clusters = sketched.select("leaf", "row_no", "n_set", "sketch").mapInPandas(lambda b: _clusters(b, threshold), "cluster bigint, row_no bigint").distinct()
+    to = F.lit(None).cast("struct<leaf:bigint,in_leaf:bigint>")
+    at = clusters.select("row_no", F.col("cluster").alias("name"), to.alias("hot"))
+    if hot is not None:
+        at = at.unionByName(hot.select("row_no", F.col("leaf").alias("name"), F.struct("leaf", "in_leaf").alias("hot")))
+    per_set = at.groupBy("row_no").agg(F.array_sort(F.collect_list("name")).alias("all_names"), F.collect_list("hot").alias("hot"))
+    needed = durable(per_set.join(weights, "row_no").join(prints, "row_no"))
+    small = needed.select("row_no", F.explode(F.array_except("all_names", F.transform("hot", lambda h: h["leaf"]))).alias("name"))
+    blocks = small.select("row_no", "name", *[F.lit(0).alias(c) for c in ("low", "high", "chunk")])
+    sure = None
+    if hot is None:
+        content = needed.withColumn("ball", F.lit(0).cast("bigint"))
+    else:
+        zoned = durable(balls(needed, threshold))
+        # A set is in one ball; in hot nodes of other balls it counts as outside.
+        home = durable(zoned.where("inside").groupBy("row_no").agg(F.min("ball").alias("home")))
+        zoned = zoned.join(home, "row_no", "left").withColumn("near", F.col("near") | F.col("inside")).withColumn("inside", F.col("inside") & (F.col("home") == F.col("ball")))
+        blocks = blocks.unionByName(_hot_blocks(durable(zoned.drop("home")), block))
+        content = needed.join(home.withColumnRenamed("home", "ball"), "row_no", "left").withColumn("ball", F.coalesce("ball", F.lit(0).cast("bigint")))
+        held = home.join(weights, "row_no")
+        totals = durable(held.groupBy("home").agg(F.min("row_no").alias("root"), F.sum("weight").alias("in_ball"), F.count(F.lit(1)).alias("sets")))
+        sure = held.join(totals.select(_apart("home"), "root", "in_ball", "sets"), "home").where("sets > 1")
+        sure = sure.select("row_no", "root", (F.col("in_ball") - F.col("weight")).alias("links"), (F.col("sets") - 1).alias("set_links"))
+    dealt = durable(blocks).join(content.select("row_no", "weight", "ball", "all_names", "prints"), "row_no")
+    dealt = dealt.repartition(partitions(spark), "name", "low", "high").sortWithinPartitions("name", "low", "high", "row_no")
+    found = dealt.mapInPandas(lambda batches: _compare_sorted(batches, threshold), "row_no bigint, root bigint, links bigint, set_links bigint")
+    found = durable(found if sure is None else found.unionByName(sure))
     classes = components(found.where("row_no <> root").select(F.col("row_no").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("row_no").agg(F.sum("links").alias("links"), F.sum("set_links").alias("set_links"))
     known = links.join(classes.withColumnRenamed("node", "row_no"), "row_no")

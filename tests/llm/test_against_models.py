@@ -107,8 +107,30 @@ def test_jaccard_join_finds_all_links(spark, block):
         assert sum(got[i] == want[i] for i in want) >= 0.97 * len(want)
 
 
+def test_a_hot_group_and_a_passage_that_many_share(spark):
+    """A large family of near copies, one of looser copies, and texts that have only a passage in common."""
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    docs = []
+    for size, most in ((220, 4), (90, 14)):
+        base = [word() for _ in range(200)]
+        for _ in range(size):
+            text = base[:]
+            for _ in range(rng.randrange(most + 1)):
+                text[rng.randrange(len(text))] = word()
+            docs.append((len(docs), " ".join(text)))
+    passage = [word() for _ in range(60)]
+    docs += [(len(docs) + k, " ".join([word() for _ in range(50)] + passage)) for k in range(120)]
+    made = jaccard_join.jaccard_join(spark.createDataFrame(docs, "doc_id long, text string"), block=16).collect()
+    got, want = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in made}, brute_force(docs)
+    assert all(got[i][1] <= want[i][1] for i in want)
+    assert sum(n for _, n in got.values()) >= 0.99 * sum(n for _, n in want.values())
+    assert all(got[i] == want[i] for i in range(220)) and all(got[i] == (i, 0) for i in range(310, 430))
+
+
 def test_walks_needed():
-    assert [jaccard_join.runs_for(t) for t in (0.95, 0.8, 0.4)] == [1, 2, 12]
+    assert [jaccard_join.branches_for(t) for t in (0.95, 0.8, 0.4)] == [2, 2, 4]
+    assert [jaccard_join.runs_for(t) for t in (0.95, 0.8, 0.4)] == [1, 2, 4]
 
 
 def test_every_substitution_pattern_is_hit():
