@@ -3,8 +3,9 @@
 The history is an index of shards. A shard holds a minimal perfect hash over its
 distinct SHA-256 digests; each slot holds the full digest, the locator of the row
 that stays (its id and row number) and the size of its group. A lookup computes the
-slot and compares all 32 bytes: a match is a repeat of the history, anything else
-is a nonmember. Nonmembers are grouped by themselves and join the next generation.
+slot and compares all 32 bytes: a match is a repeat of the history and is answered by its
+slot, anything else is a nonmember. Nonmembers are grouped by themselves, apart from the
+history, and are answered by an index of their own groups.
 
 Shape at scale: a row is 56 bytes once its text has been digested, and texts never
 move. Digests are spread evenly over the shards, so building is even. Rows of one
@@ -15,7 +16,7 @@ shard with more rows than its share is copied and its rows are dealt over the co
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +27,6 @@ from tessera.llm.perfect_hash import MinimalPerfectHash, as_words
 SHARD_KEYS = 65_536
 ROW = "digest binary, row_id bigint, row_no bigint"
 INDEX = "shard int, n bigint, hash binary, digests binary, keep_ids binary, keep_nos binary, sizes binary, id_nulls binary"
-WINNERS = "digest binary, keep_id bigint, keep_no bigint, group_size bigint"
 
 
 def row_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -50,48 +50,28 @@ def _shard(shards: int):
     return F.pmod(F.xxhash64("digest"), F.lit(shards)).cast("int")
 
 
-def _pack(shard: int, pdf: pd.DataFrame) -> pd.DataFrame:
-    words = as_words(pdf["digest"])
-    mph = MinimalPerfectHash.build(words)
-    order = np.argsort(mph.slots(words))
-    column = lambda name: pdf[name].fillna(0).to_numpy(np.int64)[order].astype("<i8").tobytes()
-    return pd.DataFrame(
-        [
-            {
-                "shard": shard,
-                "n": len(pdf),
-                "hash": mph.pack(),
-                "digests": words[order].tobytes(),
-                "keep_ids": column("keep_id"),
-                "keep_nos": column("keep_no"),
-                "sizes": column("group_size"),
-                "id_nulls": pdf["keep_id"].isna().to_numpy()[order].astype(np.uint8).tobytes(),
-            }
-        ]
-    )
+def _whole(column: pa.ChunkedArray) -> np.ndarray:
+    """64-bit integers, which pandas would make floats where some are null; null counts as 0."""
+    return column.fill_null(0).to_numpy().astype(np.int64)
 
 
-def build_index(winners: DataFrame, shards: int) -> DataFrame:
-    """A row per shard that holds the perfect hash and the slots of its digests."""
+def _digest_words(column: pa.ChunkedArray) -> np.ndarray:
+    return as_words(column.to_pylist())
 
-    def build(key, pdf):
-        return _pack(int(key[0]), pdf)
 
-    return winners.withColumn("shard", _shard(shards)).groupBy("shard").applyInPandas(build, INDEX)
+def build_index(winners: DataFrame, shards: int) -> DataFrame:
+    """A row per shard that holds the perfect hash and the slots of its digests."""
 
+    def build(key, rows):
+        words = _digest_words(rows["digest"])
+        mph = MinimalPerfectHash.build(words)
+        order = np.argsort(mph.slots(words))
+        column = lambda name: _whole(rows[name])[order].astype("<i8").tobytes()
+        nulls = rows["keep_id"].is_null().to_numpy()[order].astype(np.uint8).tobytes()
+        slots = {"hash": mph.pack(), "digests": words[order].tobytes(), "keep_ids": column("keep_id"), "keep_nos": column("keep_no"), "sizes": column("group_size"), "id_nulls": nulls}
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([len(words)], pa.int64())} | {k: pa.array([v], pa.binary()) for k, v in slots.items()})
 
-def _look_up(index: pd.DataFrame, words: np.ndarray):
-    """For each key: whether its digest is in the shard, and the slot it was compared with."""
-    if not len(index) or not len(words):
-        return np.zeros(len(words), bool), np.zeros(len(words), np.int64), None
-    row = index.iloc[0]
-    kept = np.frombuffer(row["digests"], "<u8").reshape(-1, 4)
-    slot = MinimalPerfectHash.unpack(row["hash"]).slots(words)
-    at = np.maximum(slot, 0)
-    same = (slot >= 0) & (kept[at] == words).all(axis=1)
-    slots = {k: np.frombuffer(row[k], "<i8") for k in ("keep_ids", "keep_nos", "sizes")}
-    slots["id_nulls"] = np.frombuffer(row["id_nulls"], np.uint8) == 1
-    return same, at, slots
+    return winners.withColumn("shard", _shard(shards)).groupBy("shard").applyInArrow(build, INDEX)
 
 
 def probe(rows: DataFrame, index: DataFrame, shards: int) -> DataFrame:
@@ -110,39 +90,42 @@ def probe(rows: DataFrame, index: DataFrame, shards: int) -> DataFrame:
     spread = index.join(plan, "shard").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
 
     def look(key, left, right):
-        same, at, slots = _look_up(right, as_words(left["digest"]))
-        out = left[["digest", "row_id", "row_no"]].copy()
-        if slots is None:
-            return out.assign(keep_id=pd.NA, keep_no=pd.NA, group_size=pd.NA).astype({c: "Int64" for c in ("row_id", "keep_id", "keep_no", "group_size")})
-        for name, kept in (("keep_id", "keep_ids"), ("keep_no", "keep_nos"), ("group_size", "sizes")):
-            out[name] = pd.array(slots[kept][at], dtype="Int64")
-            out.loc[~same, name] = pd.NA
-        out.loc[slots["id_nulls"][at], "keep_id"] = pd.NA
-        return out.astype({"row_id": "Int64"})
+        words = _digest_words(left["digest"])
+        same, at, slots, nulls = np.zeros(len(words), bool), np.zeros(len(words), np.int64), {}, np.zeros(1, bool)
+        if len(right) and len(words):
+            held = {c: right[c][0].as_py() for c in ("hash", "digests", "keep_ids", "keep_nos", "sizes", "id_nulls")}
+            kept = np.frombuffer(held["digests"], "<u8").reshape(-1, 4)
+            slot = MinimalPerfectHash.unpack(held["hash"]).slots(words)
+            at = np.maximum(slot, 0)
+            same = (slot >= 0) & (kept[at] == words).all(axis=1)
+            slots = {c: np.frombuffer(held[c], "<i8")[at] for c in ("keep_ids", "keep_nos", "sizes")}
+            nulls = (np.frombuffer(held["id_nulls"], np.uint8) == 1)[at]
+        none = np.zeros(len(words), np.int64)
+        found = lambda c, missing: pa.array(slots.get(c, none), pa.int64(), mask=missing)
+        out = left.select(["digest", "row_id", "row_no"])
+        out = out.append_column("keep_id", found("keep_ids", ~same | nulls))
+        return out.append_column("keep_no", found("keep_nos", ~same)).append_column("group_size", found("sizes", ~same))
 
     return (
         dealt.drop("copies")
         .groupBy("shard", "copy")
         .cogroup(spread.drop("copies").groupBy("shard", "copy"))
-        .applyInPandas(look, f"{ROW}, keep_id bigint, keep_no bigint, group_size bigint")
+        .applyInArrow(look, f"{ROW}, keep_id bigint, keep_no bigint, group_size bigint")
     )
 
 
-def next_generation(history: DataFrame, index: DataFrame, incoming: DataFrame, shards: int) -> DataFrame:
-    """Winners of the history and of a batch together, as (digest, keep_id, keep_no, group_size).
+def absorb(history: DataFrame, index: DataFrame, incoming: DataFrame, shards: int) -> tuple[DataFrame, DataFrame]:
+    """The history with the counts of a batch's repeats added, and the groups of the batch's nonmembers.
 
-    ``incoming`` has one row per distinct digest of the batch. Members add their counts
-    to the slot they match; nonmembers stand as groups of their own.
+    ``incoming`` has one row per distinct digest of the batch. A repeat adds its count to the
+    slot it matches, whose winner stays; nonmembers stand as groups of their own.
     """
-    keys = incoming.select("digest", F.col("keep_id").alias("row_id"), F.col("keep_no").alias("row_no"), F.col("group_size").alias("n_in"))
-    found = probe(keys.drop("n_in"), index, shards).select("digest", F.col("keep_no").isNotNull().alias("member"))
-    batch = incoming.join(found, "digest")
-    fresh = batch.where(~F.col("member")).drop("member")
-    repeats = batch.where("member").drop("member")
-    best = F.max(F.struct("keep_id", "keep_no"))
-    merged = history.unionByName(repeats).groupBy("digest").agg(best.alias("best"), F.sum("group_size").alias("group_size"))
-    merged = merged.select("digest", F.col("best.keep_id").alias("keep_id"), F.col("best.keep_no").alias("keep_no"), "group_size")
-    return merged.unionByName(fresh)
+    keys = incoming.select("digest", F.col("keep_id").alias("row_id"), F.col("keep_no").alias("row_no"))
+    found = probe(keys, index, shards).select("digest", F.col("keep_no").isNotNull().alias("member"))
+    batch = durable(incoming.join(found, "digest"))
+    more = batch.where("member").select("digest", F.col("group_size").alias("more"))
+    grown = history.join(more, "digest", "left").withColumn("group_size", F.col("group_size") + F.coalesce("more", F.lit(0))).drop("more")
+    return grown, batch.where("not member").drop("member")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", history_share: float = 0.5) -> DataFrame:
@@ -163,8 +146,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shards = max(partitions(spark), -(-n // SHARD_KEYS))
     history = durable(group_digests(rows.where(old)))
     incoming = durable(group_digests(rows.where(~old)))
-    winners = durable(next_generation(history, build_index(history, shards), incoming, shards))
-    found = probe(rows, build_index(winners, shards), shards)
+    grown, fresh = absorb(history, build_index(history, shards), incoming, shards)
+    looked_up = durable(probe(rows, build_index(grown, shards), shards))
+    nonmembers = looked_up.where("keep_no is null").select("digest", "row_id", "row_no")
+    found = looked_up.where("keep_no is not null").unionByName(probe(nonmembers, build_index(fresh, shards), shards))
     return found.select(
         F.col("row_id").alias(id_col),
         "keep_id",

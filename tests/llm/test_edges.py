@@ -84,6 +84,20 @@ def test_values_of_odd_rows(spark, odd):
     assert set(spans.values()) == {""}
 
 
+def test_large_ids_beside_null_ids(spark):
+    """Ids that no double holds, with null ids in the same group and in other groups of the same shard."""
+    large = [2**53 + 1, 2**60 + 1, 2**60 - 1, -(2**62) - 1]
+    rows = [(i, "same", "en", "s", 4) for i in large] + [(None, "same", "en", "s", 4), (None, "alone", "en", "s", 5), (2**53 + 3, "other", "en", "s", 5), (2**53 + 5, "other", "en", "s", 5), (None, "other", "en", "s", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    key = lambda r: str(tuple(r))
+    got = sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup(docs).collect()), key=key)
+    want = [(i, 2**60 + 1, 5, i == 2**60 + 1) for i in [*large, None]] + [(None, None, 1, True)] + [(i, 2**53 + 5, 3, i == 2**53 + 5) for i in (2**53 + 3, 2**53 + 5, None)]
+    assert got == sorted(want, key=key)
+    stage = dict(corpus_pipeline.STAGES)["exact dedup"]
+    kept = {(r["doc_id"], r["text"]) for r in stage(spark, docs, None).collect()}
+    assert kept == {(2**60 + 1, "same"), (None, "alone"), (2**53 + 5, "other")}
+
+
 def test_audit_edges(spark):
     schema = "k long, record string, pos long, copy string, digest string"
     rows = [(1, "a", 0, "x", "y"), (1, "a", 0, "x", "y"), (1, "b", 0, "x", "y"), (None, None, 0, "x", "y"), (2, "", 0, "x", "y")]
