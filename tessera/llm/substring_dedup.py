@@ -4,7 +4,7 @@ A text is cut into sentences at stops and line ends, and sentences of more than
 ``MAX_WORDS`` words into pieces of that many. From every sentence on, the shortest run of
 at least ``MIN_SENTENCES`` sentences and ``MIN_WORDS`` words is hashed, and so is the
 shortest such run that ends with it, on lower-case words. Runs are joined over the whole
-corpus by a 128-bit hash; every occurrence but the first (least id, then place) is removed.
+corpus by a hash of 96 bits; every occurrence but the first (least id, then place) is removed.
 
 A passage that begins or ends inside sentences may hold no such run. So windows of
 ``WINDOW`` words are spans too, wherever they begin: those whose hash is the least of any
@@ -13,11 +13,11 @@ alone, so one of ``WINDOW + AMONG - 1`` words (51) or more is always found. The
 that are found follow one another without a gap; words of it that may stay are fewer than
 ``AMONG`` at either end.
 
-Shape at scale: a span is 40 bytes, and each is shuffled once, to count its hash. What is
-kept of that are the repeated hashes alone, with the place of their first occurrence. The
-spans are made a second time and joined with those by a sort-merge join, whose skewed parts
-Spark splits, as a very frequent passage has very many occurrences. What is then gathered
-per document is bounded by its own length.
+Shape at scale: a span is 32 bytes, and each is made and shuffled once, to the other spans of
+its hash, where all but the first are kept. Hashes that are frequent in a sample of documents
+are dealt over ``SALTS`` groups each, whose firsts then meet once more; the sample decides
+where rows go and not what is found. What is gathered per document is bounded by its own
+length. The texts are shuffled once, to what they lose. The plan is the same at every size.
 """
 
 from __future__ import annotations
@@ -26,10 +26,10 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import broadcast_if_small, durable, map_rows, whole_text
+from tessera.llm.common import durable, map_rows, whole_text
 
 MIN_SENTENCES, MIN_WORDS, MAX_WORDS = 3, 20, 20
 #: Words of a window, and of how many windows in a row the least is taken; AMONG < WINDOW.
@@ -38,11 +38,13 @@ WINDOW, AMONG = 32, 20
 KNOWN_WORDS = 500_000
 #: Odd factors of the hashes of windows, with their inverses modulo 2^64.
 _FACTORS = [(b, pow(b, -1, 2**64)) for b in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
+#: Documents that are asked for frequent hashes, about; how often a hash is among them to be dealt out; the groups it is dealt to.
+ASKED, FREQUENT, SALTS = 2_000, 4, 64
 #: Spans that a worker hands over at a time.
 ROWS_OUT = 200_000
 _END = re.compile(r"[.!?]+\s+|\s*\n\s*")
 _WORD = re.compile(r"\S+")
-SPAN = "id bigint, text_hash bigint, h1 bigint, h2 bigint, start int, stop int"
+SPAN = "id bigint, text_hash int, h1 bigint, h2 int, start int, stop int"
 
 
 def sentences(text: str) -> list[tuple[int, int, list[str]]]:
@@ -119,7 +121,10 @@ def windows(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text_hash, h1, h2, start, stop) of every run and window of every document; places in code points."""
+    """(id, text_hash, h1, h2, start, stop) of every run and window of every document; places in code points.
+
+    text_hash (32 bits) only has to tell texts apart whose ids are equal.
+    """
 
     def apply(batches):
         import xxhash
@@ -136,7 +141,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             start = [places[d][k] for d, k in zip(doc.tolist(), first.tolist(), strict=True)]
             stop = [places[d][k + WINDOW] for d, k in zip(doc.tolist(), first.tolist(), strict=True)]
             at = np.array(texts, np.int64)[doc]
-            return pd.DataFrame({"id": pdf["id"].to_numpy()[at], "text_hash": pdf["text_hash"].to_numpy()[at], "h1": h1.view(np.int64), "h2": h2.view(np.int64), "start": start, "stop": stop})
+            return pd.DataFrame({"id": pdf["id"].to_numpy()[at], "text_hash": pdf["text_hash"].to_numpy()[at], "h1": h1.view(np.int64), "h2": h2.astype(np.uint32).view(np.int32), "start": start, "stop": stop})
 
         for pdf in batches:
             texts, places, words, held = [], [], [], 0
@@ -145,8 +150,8 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
             def out():
                 at = np.array(keep["doc"], np.int64)
-                words = np.frombuffer(b"".join(hashes), "<i8").reshape(-1, 2)
-                return pd.DataFrame({"id": pdf["id"].to_numpy()[at], "text_hash": pdf["text_hash"].to_numpy()[at], "h1": words[:, 0], "h2": words[:, 1], "start": keep["start"], "stop": keep["stop"]})
+                words = np.frombuffer(b"".join(hashes), "<i4").reshape(-1, 4)
+                return pd.DataFrame({"id": pdf["id"].to_numpy()[at], "text_hash": pdf["text_hash"].to_numpy()[at], "h1": words[:, :2].copy().view("<i8").ravel(), "h2": words[:, 2], "start": keep["start"], "stop": keep["stop"]})
 
             for i, text in enumerate(pdf["text"]):
                 cut = sentences(text)
@@ -175,70 +180,68 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             if held:
                 yield windowed(pdf, texts, places, words)
 
-    rows = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(2**63)).cast("bigint")).alias("id"), F.xxhash64(whole_text(text_col)).alias("text_hash"), whole_text(text_col).alias("text"))
-    return map_rows(rows, apply, SPAN)
+    return map_rows(_rows(docs, id_col, text_col).select("id", "text_hash", F.col("_text").alias("text")), apply, SPAN)
 
 
-def _merged(places: Column) -> Column:
-    """Overlapping or touching (start, stop) as few as they can be."""
-
-    def step(done, x):
-        last = F.element_at(done, -1)
-        joined = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["stop"], x["stop"]).alias("stop"))))
-        return F.when((F.size(done) > 0) & (x["start"] <= F.get(done, F.size(done) - 1)["stop"]), joined).otherwise(F.concat(done, F.array(x)))
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    id_ = F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(2**63)).cast("bigint"))
+    return docs.select(F.col(id_col).alias("_id"), id_.alias("id"), F.hash(whole_text(text_col)).alias("text_hash"), whole_text(text_col).alias("_text"))
 
-    empty = F.array().cast("array<struct<start:int,stop:int>>")
-    return F.aggregate(F.array_sort(places), empty, step)
 
+def frequent_hashes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(h1, h2) of the spans that are frequent among about ASKED documents; at most some ten thousand."""
+    asked = docs.sample(min(1.0, ASKED / max(1, docs.count())), seed=11)
+    counted = spans(asked, id_col, text_col).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"))
+    return durable(counted.where(F.col("n") >= FREQUENT).select("h1", "h2"))
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text_hash, removed): the merged (start, stop) of each document that are not the first of their kind."""
-    place = F.struct("id", "text_hash", "start")
-    counted = spans(docs, id_col, text_col).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
-    repeated = durable(counted.where("n > 1").drop("n"))
-    later = spans(docs, id_col, text_col).join(repeated, ["h1", "h2"]).where(place != F.col("first"))
-    return later.groupBy("id", "text_hash").agg(_merged(F.collect_set(F.struct("start", "stop"))).alias("removed"))
 
+def later_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text_hash, start, stop) of every span that is not the first of its hash, by id, text and place."""
+    frequent = F.broadcast(frequent_hashes(docs, id_col, text_col).withColumn("dealt", F.lit(True)))
+    every = spans(docs, id_col, text_col).join(frequent, ["h1", "h2"], "left")
+    salt = F.when(F.col("dealt"), F.pmod(F.xxhash64("id", "text_hash"), F.lit(SALTS)) + 1).otherwise(0).cast("int")
+    every = every.select("h1", "h2", salt.alias("salt"), "id", "text_hash", "start", "stop")
+    # Rank, as equal rows have equal places and are one document. Both uses read the same shuffle: a filter
+    # that Spark could push below the window would make it two.
+    order = F.rank().over(Window.partitionBy("h1", "h2", "salt").orderBy("id", "text_hash", "start"))
+    ranked = every.withColumn("place", order)
+    found = ranked.where("place > 1").select("id", "text_hash", "start", "stop")
+    leads = F.greatest(F.col("place"), F.when(F.col("salt") == 0, 2).otherwise(1)) == 1
+    first = F.rank().over(Window.partitionBy("h1", "h2").orderBy("id", "text_hash", "start"))
+    leading = ranked.where(leads).select("h1", "h2", "id", "text_hash", "start", "stop").distinct().withColumn("place", first)
+    return found.unionByName(leading.where("place > 1").select("id", "text_hash", "start", "stop"))
 
-def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    id_ = F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(2**63)).cast("bigint"))
-    return docs.select(F.col(id_col).alias("_id"), id_.alias("id"), F.xxhash64(whole_text(text_col)).alias("text_hash"), whole_text(text_col).alias("_text"))
 
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text_hash, removed): the merged (start, stop) of each document that are not the first of their kind."""
+    document = ["id", "text_hash"]
+    inside = Window.partitionBy(*document).orderBy("start", "stop")
+    reach = F.max("stop").over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    opened = later_spans(docs, id_col, text_col).withColumn("opens", F.when(F.col("start") <= reach, 0).otherwise(1))
+    numbered = opened.withColumn("piece", F.sum("opens").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = numbered.groupBy(*document, "piece").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    return merged.groupBy(*document).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("removed"))
 
-def _small(found: DataFrame) -> DataFrame:
-    """A broadcast of so many places at most as the bound allows rows; beyond that a join by shuffle."""
-    places = found.agg(F.coalesce(F.sum(F.size("removed")), F.lit(0))).first()[0]
-    return broadcast_if_small(found, places)
 
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: id, n_chars, removed, removed_chars and kept_text.
 
-def _cut(rows: DataFrame, id_col: str) -> DataFrame:
+    What any later occurrence of a span covers is cut out. Rows of equal id and text are one
+    document for this purpose and all get the same result. Null and empty texts, and texts
+    of fewer than MIN_WORDS words, or of fewer than MIN_SENTENCES sentences and
+    WINDOW + AMONG - 1 words, lose nothing and keep their whole text, as do texts without repeats.
+    A null id counts as the least. An empty table gives no rows. Other columns are ignored.
+    """
+    rows = _rows(docs, id_col, text_col).join(repeated_spans(docs, id_col, text_col), ["id", "text_hash"], "left")
+    removed = F.coalesce("removed", F.array().cast("array<struct<start:int,stop:int>>"))
     length = F.length("_text")
     edges = F.concat(F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("stop"))), F.col("removed"))
     nexts = F.concat(F.transform("removed", lambda r: r["start"]), F.array(length))
     pieces = F.zip_with(edges, nexts, lambda e, n: F.substring(F.col("_text"), e["stop"] + 1, n - e["stop"]))
-    return rows.select(
+    return rows.withColumn("removed", removed).select(
         F.col("_id").alias(id_col),
         length.cast("bigint").alias("n_chars"),
         "removed",
         F.aggregate("removed", F.lit(0).cast("bigint"), lambda s, r: s + r["stop"] - r["start"]).alias("removed_chars"),
         F.when(F.size("removed") > 0, F.array_join(pieces, "")).otherwise(F.col("_text")).alias("kept_text"),
     )
-
-
-def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document that loses text: id, n_chars, removed, removed_chars and kept_text.
-
-    What any later occurrence of a span covers is cut out. Rows of equal id and text are one
-    document for this purpose and all get the same result. Null and empty texts, and texts
-    of fewer than MIN_WORDS words, or of fewer than MIN_SENTENCES sentences and
-    WINDOW + AMONG - 1 words, lose nothing.
-    A null id counts as the least. An empty table gives no rows. Other columns are ignored.
-    """
-    return _cut(_rows(docs, id_col, text_col).join(_small(durable(repeated_spans(docs, id_col, text_col))), ["id", "text_hash"]), id_col)
-
-
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The columns of ``edits`` for every document; those that lose nothing keep their whole text."""
-    rows = _rows(docs, id_col, text_col).join(_small(durable(repeated_spans(docs, id_col, text_col))), ["id", "text_hash"], "left")
-    none = F.array().cast("array<struct<start:int,stop:int>>")
-    return _cut(rows.withColumn("removed", F.coalesce("removed", none)), id_col)

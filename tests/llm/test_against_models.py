@@ -137,11 +137,40 @@ def test_every_substitution_pattern_is_hit():
     """The promise of the masks: (tokens, substitutions) whose every pattern leaves a seed whole."""
     import itertools
 
-    for length, subs in ((14, 2), (18, 3), (22, 4)):
+    for length, subs in ((11, 1), (12, 1), (13, 1), (14, 2), (18, 3), (22, 4)):
         starts = [{s + o for o in m} for m in decontamination.MASKS for s in range(length - m[-1])]
         assert all(any(not w & set(hit) for w in starts) for hit in itertools.combinations(range(length), subs))
 
 
+@pytest.mark.parametrize("length", [5, 6, 7, 8, 10, 11, 13, 14, 18, 20])
+def test_items_with_substitutions_are_found(spark, length):
+    """All patterns of as many substitutions as an item of this length allows, inside other words."""
+    import itertools
+
+    rng = random.Random(length)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    item = [word() for _ in range(length)]
+    subs = 0 if length < 7 else 1 if length < 14 else 2 if length < 18 else 3
+    docs = []
+    for hit in itertools.combinations(range(length), subs):
+        text = [word() if k in hit else w for k, w in enumerate(item)]
+        docs.append((len(docs), " ".join([word(), word(), *text, word()])))
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    found = {r["doc_id"] for r in decontamination.contaminated(frame, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()}
+    assert found == {i for i, _ in docs}
+    if length < 7:
+        other = [(0, " ".join(item[:-1])), (1, " ".join([*item[:2], word(), *item[3:]]))]
+        assert not decontamination.contaminated(spark.createDataFrame(other, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).count()
+
+
+def test_texts_that_repeat_themselves(spark):
+    """Every token of the text hits every token of the item; alignments are what is kept."""
+    docs = spark.createDataFrame([(1, "ab " * 20_000), (2, "ab cd " * 9_000), (3, "no " * 50)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "ab " * 200), (2, "ab " * 8), (3, "cd ab " * 30)], "item_id long, text string")
+    made = {(r["doc_id"], r["item_id"]): (r["score"], r["doc_token"]) for r in decontamination.contaminated(docs, items).collect()}
+    assert made == {(1, 1): (200, 0), (1, 2): (8, 0), (2, 3): (60, 1)}
+
+
 def planted_overlaps():
     """Items, and documents of which a third hold a part of one, with up to two words replaced."""
     rng = random.Random(5)
@@ -164,22 +193,30 @@ def test_contamination_matches_brute_force_and_sql(spark):
     docs, items = planted_overlaps()
 
     def best(a, b):
+        """The best score of the alignments that are enough, 0 if none is."""
         top = 0
         for shift in range(-len(b) + 1, len(a)):
-            run = 0
+            run = high = same = 0
             for k in range(max(0, -shift), min(len(b), len(a) - shift)):
-                run = max(0, run + 1 if a[shift + k] == b[k] else run - decontamination.MISMATCH)
-                top = max(top, run)
+                equal = a[shift + k] == b[k]
+                same += equal
+                run = max(0, run + 1 if equal else run - decontamination.MISMATCH)
+                high = max(high, run)
+            if high >= decontamination.MIN_SCORE or same >= len(b) - len(b) // decontamination.PER_SUBSTITUTION:
+                top = max(top, high)
         return top
 
-    want = {(i, k): s for i, t in docs for k, b in items if (s := best(t.split(), b.split())) >= min(decontamination.MIN_SCORE, len(b.split()))}
+    want = {(i, k): s for i, t in docs for k, b in items if (s := best(t.split(), b.split()))}
     found = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     con = connection("/nowhere", documents=pd.DataFrame(docs, columns=["doc_id", "text"]), benchmark=pd.DataFrame(items, columns=["item_id", "text"]))
     assert_same(found, decontamination.contaminated_sql(), con)
     made = found.collect()
     got = {(r["doc_id"], r["item_id"]): r["score"] for r in made}
+    # Every score from the least one on: recall is measured from there, and whole from 12 on.
+    long_ = {k: s for k, s in want.items() if s >= decontamination.MIN_SCORE}
     sure = {k: s for k, s in want.items() if s >= 12}
     assert set(got) <= set(want) and set(sure) <= set(got) and all(got[k] == want[k] for k in got) and len(got) > 25
+    assert sum(k in got for k in long_) >= 0.95 * len(long_)
 
 
 def test_whole_items_are_found(spark):
@@ -249,6 +286,59 @@ def test_passages_inside_sentences_are_found(spark):
             assert len(cut) == cut[-1] - cut[0] + 1
 
 
+def repeats_by_brute_force(docs):
+    """Places that documents lose: every shortest run of sentences, from either end, and every window that is the least of 20, by their words."""
+    import xxhash
+
+    first, lost = {}, {i: set() for i, _ in docs}
+    for i, text in sorted(docs):
+        cut = substring_dedup.sentences(text)
+        found = []
+        for a in range(len(cut)):
+            for b in range(a + 2, len(cut)):
+                n = [len(w) for _, _, w in cut[a : b + 1]]
+                if sum(n) >= 20 and (b == a + 2 or sum(n[:-1]) < 20 or sum(n[1:]) < 20):
+                    found.append((("run", *(tuple(w) for _, _, w in cut[a : b + 1])), cut[a][0], cut[b][1]))
+        words = text.lower().split()
+        hashes = [np.frombuffer(xxhash.xxh3_128_digest(w), "<u8") for w in words]
+        at = [*(m.start() for m in re.finditer(r"\S+", text)), len(text)]
+        scores = []
+        for k in range(len(words) - 31):
+            h = sum(int(x[0]) * pow(0x9E3779B97F4A7C15, j, 2**64) for j, x in enumerate(hashes[k : k + 32])) % 2**64
+            h = (h ^ (h >> 32)) * 0xD6E8FEB86659FD93 % 2**64
+            scores.append(h ^ (h >> 32))
+        least = {k for r in range(len(scores) - 19) for k in range(r, r + 20) if scores[k] == min(scores[r : r + 20])}
+        found += [(("window", *words[k : k + 32]), at[k], at[k + 32]) for k in least]
+        for key, a, b in sorted(found, key=lambda x: x[1]):
+            if first.setdefault(key, (i, a)) != (i, a):
+                lost[i].update(range(a, b))
+    return lost
+
+
+def test_repeats_match_brute_force(spark, monkeypatch):
+    """Few words, so that sentences, runs and windows repeat in all ways; frequent hashes are dealt out and not."""
+    rng = random.Random(12)
+    stock = [" ".join(rng.choice("a bb ccc dd Ee f".split()) + str(rng.randrange(4)) for _ in range(rng.randrange(1, 30))) + rng.choice([". ", "! ", "\n", " "]) for _ in range(16)]
+    docs = [(i, "".join(rng.choice(stock) for _ in range(rng.randrange(0, 14)))) for i in range(90)]
+    want = repeats_by_brute_force(docs)
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert 20 < sum(map(bool, want.values())) < 90
+    for frequent in (2, 10**6):
+        monkeypatch.setattr(substring_dedup, "FREQUENT", frequent)
+        made = {r["doc_id"]: r for r in substring_dedup.without_repeats(frame).collect()}
+        for i, text in docs:
+            assert {k for s in made[i]["removed"] for k in range(s["start"], s["stop"])} == want[i], i
+            assert made[i]["kept_text"] == "".join(c for k, c in enumerate(text) if k not in want[i])
+
+
+def test_a_text_with_very_many_repeats(spark):
+    """50,000 repeated pieces of one text that don't touch are merged in linear time."""
+    line = " ".join(f"w{k}" for k in range(24)).replace("w7", "w7.").replace("w15", "w15.") + ".\n"
+    other = "".join(f"{line}x{k} y{k} z{k} {k}.\n" for k in range(5_000))
+    made = {r["doc_id"]: (len(r["removed"]), r["removed_chars"]) for r in substring_dedup.without_repeats(spark.createDataFrame([(1, line), (2, other)], "doc_id long, text string")).collect()}
+    assert made[1] == (0, 0) and made[2][0] >= 5_000
+
+
 def test_windows_do_not_depend_on_the_texts_beside():
     rng = np.random.default_rng(1)
     texts = [rng.integers(0, 2**64, (n, 2), dtype=np.uint64) for n in (60, 51, 200, 50, 51)]
@@ -359,6 +449,26 @@ def test_random_strings_part_from_identifiers():
     assert np.mean([score(s) >= secrets.LEAST_SCORE for s in plain]) < 0.005
 
 
+def test_keys_behind_long_names_are_found(spark):
+    """A random string has a span of its own, in whatever path or name it stands, and beside a base span."""
+    keys = [s for s in secrets.random_strings(9000)[6000:] if len(s) >= 28 and not re.search(f"{secrets.HEX}|AKIA", s) and re.search("[a-z]", s) and re.search("[A-Z]", s)][:60]
+    before = ["", "account/settings/reset/", "service/account/settings/password/reset/confirm/", "the_long_name_of_a_function_of_mine_with_the_key_", "0123456789abcdef0123"]
+    docs = [(i * len(keys) + j, f"see {b}{k} there", len("see " + b)) for i, b in enumerate(before) for j, k in enumerate(keys)]
+    found = {r["doc_id"]: r["markov"] for r in secrets.scan(spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string")).collect()}
+    for i in range(len(before)):
+        hits = sum(any(s["start"] < at + 24 and s["end"] > at + 4 and s["match"] == t[s["start"] : s["end"]] for s in found[d]) for d, t, at in docs if d // len(keys) == i)
+        assert hits >= 0.95 * len(keys), before[i]
+
+
+def test_very_many_matches_and_very_long_runs(spark):
+    """50,000 matches in one text, and a run of 200,000 characters, take seconds."""
+    many = " ".join(f"{k:016x}" for k in range(50_000))
+    long_ = "ab/cd-" * 33_000 + "xQ7dPz9LmK2vR8tYw3Hn5Bc1"
+    made = {r["doc_id"]: r for r in secrets.scan(spark.createDataFrame([(1, many), (2, long_)], "doc_id long, text string")).collect()}
+    assert [(s["start"], s["end"]) for s in made[1]["base"]] == [(17 * k, 17 * k + 16) for k in range(50_000)]
+    assert len(made[2]["markov"]) == 1 and made[2]["markov"][0]["end"] == len(long_)
+
+
 def test_native_operators_have_no_python_in_their_plans(spark, sf_dir):
     for name in ("op3_secret_scan", "op4_decontamination"):
         plan = registry.queries()[name](spark, sf_dir)._jdf.queryExecution().toString()
