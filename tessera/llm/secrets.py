@@ -1,14 +1,17 @@
 """Operator 3: secret scans with patterns and character Markov models, in SQL functions only.
 
-Three fixed patterns give the base spans. The method adds spans: runs of at least
-``MIN_RUN`` characters of the alphabet of keys that no base span touches, whose
-characters follow one another as in random strings rather than as in ordinary
-identifiers. Both are first-order Markov models with add-one smoothing, fitted on
-labelled samples; a run's score is the sum of log-likelihood ratios of its pairs of
-characters, held as whole thousandths so that any engine adds them up alike.
-
-Positions are code points. They come from cutting the text at the pattern and adding up
-the lengths of pieces and matches, all inside the scan; no row leaves its partition.
+Three fixed patterns give the base spans. The method adds spans: base matches are blanked,
+kind by kind, and in what is left every run of at least ``MIN_RUN`` characters of the
+alphabet of keys is scored. Its characters may follow one another as in random strings or as
+in ordinary identifiers; both are first-order Markov models with add-one smoothing, fitted on
+labelled samples, and the score of a stretch is the sum of log-likelihood ratios of its pairs
+of characters, held as whole thousandths so that any engine adds them up alike. Of each run
+the stretch of ``MIN_RUN`` characters or more with the highest score counts, so a key is found
+behind a path or a long name too.
+
+Positions are code points. They come from cutting the text at the pattern and adding up the
+lengths of pieces and matches, all inside the scan; no row leaves its partition. Work grows
+with the length of a text and, for n matches, with n: they are added up ``CHUNK`` at a time.
 """
 
 from __future__ import annotations
@@ -32,8 +35,10 @@ KINDS = ("assign", "access", "hex", "markov")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 MIN_RUN = 20
 RUN = r"[A-Za-z0-9+/_=-]{%d,}" % MIN_RUN
-#: A run is reported from this score on: odds of e^12 for random, in thousandths.
+#: A stretch is reported from this score on: odds of e^12 for random, in thousandths.
 LEAST_SCORE = 12_000
+#: Matches of a text that are added up at a time.
+CHUNK = 256
 #: Random strings and identifiers that the models are fitted on.
 SAMPLES = 6_000
 
@@ -121,30 +126,98 @@ def markov_ratios() -> list[int]:
     return fit_ratios(random_strings(), ordinary_identifiers())
 
 
-def _spans(text: Column, rank: int, pattern: str, keep=None) -> Column:
-    """(start, rank, end, match) of the leftmost matches that don't overlap, as far as ``keep`` holds for them."""
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, and stands once in the plan, also where Spark moves a filter below."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _cut(text: Column, pattern: str) -> Column:
+    """The leftmost matches that don't overlap, each with the piece of text before it."""
+
+    def pairs(t):
+        pieces, matches = F.split(t, pattern, -1), F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
+        paired = _let(matches, lambda ms: F.zip_with(F.slice(pieces, F.lit(1), F.size(ms)), ms, lambda p, m: F.struct(p.alias("piece"), m.alias("match"))))
+        return F.when(t.rlike(pattern), paired).otherwise(_no_pairs())
+
+    return _let(text, pairs)
+
+
+def _no_pairs() -> Column:
+    return F.array().cast("array<struct<piece:string,match:string>>")
+
+
+def _width(pair: Column) -> Column:
+    return F.length(pair["piece"]) + F.length(pair["match"])
+
+
+def _spans(cut: str, rank: int, keep=None) -> Column:
+    """(start, rank, end, match) of the matches in a column made by ``_cut``, as far as ``keep`` holds for them.
+
+    An array that grows by one is copied each time, so it is a chunk's array that grows, from the chunk's own start.
+    """
     empty = F.array().cast("array<struct<start:int,rank:int,end:int,match:string>>")
-    pieces, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    zero = F.struct(F.lit(0).alias("at"), empty.alias("done"))
 
     def step(state, pair):
-        start = state["at"] + F.length(pair["piece"])
-        end = start + F.length(pair["match"])
+        start, end = state["at"] + F.length(pair["piece"]), state["at"] + _width(pair)
         span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), pair["match"].alias("match"))
         return F.struct(end.alias("at"), F.concat(state["done"], F.array(span)).alias("done"))
 
-    pairs = F.zip_with(F.slice(pieces, F.lit(1), F.size(matches)), matches, lambda p, m: F.struct(p.alias("piece"), m.alias("match")))
-    found = F.aggregate(pairs, zero, step, lambda s: s["done"])
-    if keep is not None:
-        found = F.filter(found, keep)
-    return F.when(text.rlike(pattern), found).otherwise(empty)
+    def of_chunks(chunks):
+        totals = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda s, x: s + _width(x)))
+        starts = F.aggregate(totals, F.array(F.lit(0)), lambda s, n: F.concat(s, F.array(F.element_at(s, -1) + n)))
+        placed = F.zip_with(chunks, F.slice(starts, F.lit(1), F.size(chunks)), lambda c, at: F.struct(c.alias("pairs"), at.alias("at")))
+        return F.flatten(F.transform(placed, lambda c: F.aggregate(c["pairs"], F.struct(c["at"].alias("at"), empty.alias("done")), step, lambda s: s["done"])))
 
+    def of_pairs(pairs):
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / CHUNK).cast("int")), lambda c: F.slice(pairs, c * CHUNK + 1, F.lit(CHUNK)))
+        return F.when(F.size(pairs) > 0, _let(chunks, of_chunks)).otherwise(empty)
 
-def _score(match: Column, ratios: list[int]) -> Column:
-    table = F.lit(ratios).cast("array<int>")
-    place = lambda i: F.instr(F.lit(ALPHABET), F.substring(match, i, F.lit(1)))
-    steps = F.sequence(F.lit(1), F.length(match) - 1)
-    return F.aggregate(steps, F.lit(0), lambda s, i: s + F.element_at(table, (place(i) - 1) * len(ALPHABET) + place(i + 1)))
+    found = _let(F.col(cut), of_pairs)
+    return found if keep is None else F.filter(found, keep)
+
+
+def _blanked(text: str, cut: str, keep=None) -> Column:
+    """The text with as many spaces in place of each match of its cut, as far as ``keep`` holds for it."""
+    blank = lambda m: F.repeat(F.lit(" "), F.length(m))
+    filled = lambda x: blank(x["match"]) if keep is None else F.when(keep(x), blank(x["match"])).otherwise(x["match"])
+
+    def fill(t, pairs):
+        done = F.array_join(F.transform(pairs, lambda x: F.concat(x["piece"], filled(x))), "")
+        rest = F.aggregate(pairs, F.lit(1), lambda s, x: s + _width(x))
+        return F.when(F.size(pairs) > 0, F.concat(done, F.substring(t, rest, F.length(t)))).otherwise(t)
+
+    return _let(F.col(text), lambda t: _let(F.col(cut), lambda pairs: fill(t, pairs)))
+
+
+def _stretch(match: Column, ratios: list[int]) -> Column:
+    """(score, first, last) of the best stretch of MIN_RUN or more characters: its score, its first pair and its last.
+
+    Of equal scores the one that ends first, then the one that starts first.
+    """
+    least = MIN_RUN - 1
+    table = F.split(F.lit(",".join(map(str, ratios))), ",").cast("array<int>")
+    codes = F.transform(F.split(match, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
+    pair_of = lambda a, b: F.element_at(table, a * len(ALPHABET) + b + 1)
+    steps_of = lambda cs: F.zip_with(F.slice(cs, F.lit(1), F.size(cs) - 1), F.slice(cs, F.lit(2), F.size(cs) - 1), pair_of)
+    none = -(2**30)
+    zero = F.struct(*[F.lit(v).alias(c) for c, v in (("i", 0), ("near", 0), ("run", none), ("from", 0), ("score", none), ("first", 0), ("last", 0))])
+
+    def walk(s, x):
+        i, near = s["i"] + 1, s["near"] + x["step"] - x["late"]
+        longer = s["run"] + x["step"]
+        extends = (longer >= near) & (s["run"] > none)
+        run = F.when(i < least, F.lit(none)).when(extends, longer).otherwise(near)
+        start = F.when(extends, s["from"]).otherwise(i - least)
+        better = run > s["score"]
+        pick = lambda new, old: F.when(better, new).otherwise(s[old]).alias(old)
+        return F.struct(i.alias("i"), near.alias("near"), run.alias("run"), start.alias("from"), pick(run, "score"), pick(start, "first"), pick(i, "last"))
+
+    def best(steps):
+        late = F.slice(F.concat(F.array_repeat(F.lit(0), least), steps), F.lit(1), F.size(steps))
+        pairs = F.zip_with(steps, late, lambda a, b: F.struct(a.alias("step"), b.alias("late")))
+        return F.aggregate(pairs, zero, walk, lambda s: F.struct(*[s[c].alias(c) for c in ("score", "first", "last")]))
+
+    return _let(codes, lambda cs: _let(steps_of(cs), best))
 
 
 def _joined(spans: Column) -> Column:
@@ -160,15 +233,23 @@ def scan(docs: DataFrame, ratios: list[int] | None = None, least_score: int = LE
     rows. Other columns are ignored.
     """
     ratios = markov_ratios() if ratios is None else ratios
-    text = F.col("_text")
     long_enough = lambda s: F.length(F.regexp_extract(s["match"], ASSIGN, 2)) >= ASSIGN_LEAST
-    found = docs.select(F.col(id_col).alias("_id"), whole_text(text_col).alias("_text")).select(
-        "_id",
-        F.concat(_spans(text, 0, ASSIGN, long_enough), _spans(text, 1, ACCESS), _spans(text, 2, HEX)).alias("base"),
-        _spans(text, 3, RUN).alias("runs"),
-    )
-    apart = lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"]))
-    random = F.filter("runs", lambda r: apart(r) & (_score(r["match"], ratios) >= least_score))
+    found = docs.select(F.col(id_col).alias("_id"), whole_text(text_col).alias("_text"))
+    found = found.select("*", *[_cut(F.col("_text"), p).alias(f"_cut{k}") for k, p in enumerate((ASSIGN, ACCESS, HEX))])
+    found = found.withColumn("base", F.concat(_spans("_cut0", 0, long_enough), _spans("_cut1", 1), _spans("_cut2", 2)))
+    for k, pattern in enumerate((ASSIGN, ACCESS, HEX)):
+        again = F.when(F.size("base") > 0, _cut(F.col("_text"), pattern)).otherwise(_no_pairs())
+        found = found.withColumn("_cut", F.col("_cut0") if k == 0 else again)
+        found = found.withColumn("_text", _blanked("_text", "_cut", None if k else long_enough))
+    found = found.select("_id", "base", _cut(F.col("_text"), RUN).alias("_cut")).select("_id", "base", _spans("_cut", 3).alias("runs"))
+    scored = F.transform("runs", lambda r: F.struct(r.alias("run"), _stretch(r["match"], ratios).alias("best")))
+    random = F.transform(
+        F.filter(scored, lambda x: x["best"]["score"] >= least_score),
+        lambda x: F.struct(
+            (x["run"]["start"] + x["best"]["first"]).alias("start"), x["run"]["rank"].alias("rank"), (x["run"]["start"] + x["best"]["last"] + 1).alias("end"),
+            F.substring(x["run"]["match"], x["best"]["first"] + 1, x["best"]["last"] + 1 - x["best"]["first"]).alias("match"),
+        ),
+    )
     return found.select(F.col("_id").alias(id_col), "base", F.when(F.size("runs") > 0, random).otherwise(F.col("runs")).alias("markov"))
 
 
@@ -188,32 +269,47 @@ def secret_digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def scan_sql(docs: str = "documents") -> str:
-    """The digests as DuckDB SQL, with the fitted ratios as a list."""
+    """The digests as DuckDB SQL, with the fitted ratios as a list; best stretches by running minima of prefix sums."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    parts = []
-    for rank, pattern in enumerate((ASSIGN, ACCESS, HEX, RUN)):
+
+    def spans(rank: int, pattern: str, source: str) -> str:
         value = f"regexp_extract(m, {quote(ASSIGN)}, 2)" if rank == 0 else "NULL"
-        parts.append(f"""
+        return f"""
   SELECT doc_id, {rank} AS rank, m, {value} AS value,
          sum(length(piece) + length(m)) OVER (PARTITION BY row ORDER BY i) AS stop, row
   FROM (SELECT doc_id, row, unnest(regexp_extract_all(text, {quote(pattern)})) AS m,
                unnest(string_split_regex(text, {quote(pattern)})[:-2]) AS piece,
                unnest(range(len(regexp_extract_all(text, {quote(pattern)})))) AS i
-        FROM texts WHERE regexp_matches(text, {quote(pattern)}))""")
+        FROM {source} WHERE regexp_matches(text, {quote(pattern)}))"""
+
+    def blanked(pattern: str, source: str, test: str = "TRUE") -> str:
+        cut = f"string_split_regex(text, {quote(pattern)})"
+        filled = f"list_transform(list_zip({cut}[:-2], regexp_extract_all(text, {quote(pattern)})), lambda x: x[1] || CASE WHEN {test} THEN repeat(' ', length(x[2])) ELSE x[2] END)"
+        return f"SELECT doc_id, row, CASE WHEN regexp_matches(text, {quote(pattern)}) THEN array_to_string({filled}, '') || {cut}[-1] ELSE text END AS text FROM {source}"
+
     place = lambda i: f"instr('{ALPHABET}', substr(m, {i}, 1))"
+    least = MIN_RUN - 1
     return f"""
 WITH texts AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS row FROM {docs}),
 ratios AS (SELECT {markov_ratios()} AS r),
-spans AS ({" UNION ALL ".join(parts)}),
+blank1 AS MATERIALIZED ({blanked(ASSIGN, "texts", f"length(regexp_extract(x[2], {quote(ASSIGN)}, 2)) >= {ASSIGN_LEAST}")}),
+blank2 AS MATERIALIZED ({blanked(ACCESS, "blank1")}),
+blank3 AS MATERIALIZED ({blanked(HEX, "blank2")}),
+spans AS ({" UNION ALL ".join([spans(0, ASSIGN, "texts"), spans(1, ACCESS, "texts"), spans(2, HEX, "texts"), spans(3, RUN, "blank3")])}),
 placed AS (SELECT doc_id, row, rank, m, CAST(stop - length(m) AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop FROM spans
            WHERE rank <> 0 OR length(value) >= {ASSIGN_LEAST}),
-base AS (SELECT * FROM placed WHERE rank < 3),
+steps AS (
+  SELECT doc_id, row, rank, start, unnest(range(0, length(m))) AS k, unnest(list_prepend(0, list_transform(range(1, length(m)), lambda i: r[({place("i")} - 1) * {len(ALPHABET)} + {place("i + 1")}]))) AS step
+  FROM placed, ratios WHERE rank = 3),
+sums AS (SELECT *, sum(step) OVER (PARTITION BY row, start ORDER BY k) AS total FROM steps),
+lows AS (SELECT *, min(total) OVER (PARTITION BY row, start ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND {least} PRECEDING) AS low FROM sums),
+best AS (SELECT *, row_number() OVER (PARTITION BY row, start ORDER BY total - low DESC, k) AS place FROM lows WHERE low IS NOT NULL),
 added AS (
-  SELECT p.* FROM placed p, ratios
-  WHERE rank = 3 AND NOT EXISTS (SELECT 1 FROM base b WHERE b.row = p.row AND b.start < p.stop AND p.start < b.stop)
-    AND list_sum(list_transform(range(1, length(m)), lambda i: r[({place("i")} - 1) * {len(ALPHABET)} + {place("i + 1")}])) >= {LEAST_SCORE}),
+  SELECT b.doc_id, b.row, b.rank, '' AS m, b.start + min(s.k) AS start, b.start + b.k + 1 AS stop
+  FROM best b JOIN sums s ON b.row = s.row AND b.start = s.start AND s.k <= b.k - {least} AND s.total = b.low
+  WHERE b.place = 1 AND b.total - b.low >= {LEAST_SCORE} GROUP BY b.doc_id, b.row, b.rank, b.start, b.k),
 named AS (
-  SELECT *, {list(KINDS)}[rank + 1] || ':' || start || ':' || stop AS name FROM (SELECT * FROM base UNION ALL SELECT * FROM added))
+  SELECT *, {list(KINDS)}[rank + 1] || ':' || start || ':' || stop AS name FROM (SELECT * FROM placed WHERE rank < 3 UNION ALL SELECT * FROM added))
 SELECT t.doc_id,
        count(*) FILTER (WHERE rank = 0) AS n_assign, count(*) FILTER (WHERE rank = 1) AS n_access, count(*) FILTER (WHERE rank = 2) AS n_hex,
        sha256(coalesce(string_agg(name, ',' ORDER BY start, rank) FILTER (WHERE rank < 3), '')) AS base_sha256,

@@ -24,6 +24,8 @@ SECRETS = [
     None,
     "",
     "token=" + "a" * 5000 + "\ntoken = 123456789012",
+    "service/account/settings/password/reset/confirm/xQ7dPz9LmK2vR8tYw3Hn5Bc1/and/more/of/this/path",
+    "Zq8Wv3Nx0Lr5Ty7Ku2Jm9Bd4 0123456789abcdef0123/Zq8Wv3Nx0Lr5Ty7Ku2Jm9Bd4Pz 0123456789abcdeapi_key=abcdefghijklmnop",
 ]
 
 
