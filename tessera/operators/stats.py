@@ -8,6 +8,8 @@ operators use where ``large`` is set.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,7 +46,7 @@ def quintiles(rows: DataFrame, keys: list[str], value: str, large: bool = False)
     out = F.lit(5)
     for k in (4, 3, 2, 1):
         out = F.when(F.col(value) <= F.col("_edges")[k - 1], k).otherwise(out)
-    return rows.join(F.broadcast(edges), keys).withColumn("quintile", out.cast("int")).drop("_edges")
+    return rows.join(edges, keys).withColumn("quintile", out.cast("int")).drop("_edges")
 
 
 def percentile_curve(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -78,13 +80,40 @@ def certainty_equivalent(value: Column, gamma: float) -> Column:
 
 
 def nearest_to_median(rows: DataFrame, keys: list[str], value: str, tie: str, columns: list[str]) -> DataFrame:
-    """The row of each group closest to its median, so that parts of it add up; ties by ``tie``."""
-    median = rows.groupBy(*keys).agg(F.percentile(value, F.lit(0.5)).alias("median"))
-    joined = rows.join(F.broadcast(median), keys)
-    picked = F.min_by(F.struct(tie, value, *columns), F.struct(F.abs(F.col(value) - F.col("median")), F.col(tie)))
+    """The row of each group closest to its median, so that parts of it add up; ties (to nine decimals) by ``tie``."""
+    median = exact_percentiles(rows, keys, value, {"median": 0.5}).select(*[F.col(k).alias(f"_{k}") for k in keys], "median")
+    joined = rows.join(median, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]) if keys else rows.crossJoin(median)
+    picked = F.min_by(F.struct(tie, value, *columns), F.struct(F.round(F.abs(F.col(value) - F.col("median")), 9), F.col(tie)))
     return joined.groupBy(*keys).agg(F.first("median").alias("median"), picked.alias("_row")).select(*keys, "median", "_row.*")
 
 
+def covariance_matrix(rows: DataFrame, vector: str, weight: str) -> DataFrame:
+    """(a, b, cov, wcov) of all pairs a <= b of the places (from 1) of a vector: sample covariance, and the weighted one.
+
+    Each batch becomes one matrix of products; what is shuffled is as many numbers a batch as there are pairs.
+    """
+
+    def sums(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x, w = np.stack(pdf["x"].to_numpy()).astype(float), pdf["w"].to_numpy(float)
+            one = np.column_stack([x, np.ones(len(x))])
+            plain, weighted = one.T @ one, (one * w[:, None]).T @ one
+            i, j = np.triu_indices(x.shape[1])
+            yield pd.DataFrame({
+                "a": i + 1, "b": j + 1, "n": len(x), "xy": plain[i, j], "x": plain[i, -1], "y": plain[j, -1],
+                "w": w.sum(), "wxy": weighted[i, j], "wx": weighted[i, -1], "wy": weighted[j, -1],
+            })
+
+    parts = rows.select(F.col(vector).cast("array<double>").alias("x"), F.col(weight).cast("double").alias("w"))
+    parts = parts.mapInPandas(sums, "a int, b int, n long, xy double, x double, y double, w double, wxy double, wx double, wy double")
+    total = parts.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "xy", "x", "y", "w", "wxy", "wx", "wy")])
+    plain = (F.col("xy") - F.col("x") * F.col("y") / F.col("n")) / (F.col("n") - 1)
+    weighted = F.col("wxy") / F.col("w") - F.col("wx") / F.col("w") * F.col("wy") / F.col("w")
+    return total.select("a", "b", plain.alias("cov"), weighted.alias("wcov"))
+
+
 def covariances(rows: DataFrame, columns: list[str], weight: str | None = None) -> DataFrame:
     """(a, b, cov) of each pair: sample covariance, or the weighted one by sums."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
@@ -105,20 +134,21 @@ def fisher_interval(r: Column, n: Column, z: float = 1.645) -> tuple[Column, Col
     return F.tanh(at - half), F.tanh(at + half)
 
 
-def diebold_mariano(rows: DataFrame, order: str, diff: str, lags: int = 6) -> DataFrame:
-    """One row (n, mean, variance, t): test of a mean difference of scores with Newey-West variance.
+def diebold_mariano(rows: DataFrame, order: str, diff: str, lags: int = 6, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, n, mean, variance, t): test of a mean difference of scores with Newey-West variance.
 
-    The series is one model comparison over time, ordered in one partition.
+    Each series is one model comparison over time, ordered in one partition.
     """
-    centred = rows.crossJoin(F.broadcast(rows.agg(F.avg(diff).alias("_mean")))).withColumn("_d", F.col(diff) - F.col("_mean"))
-    w = Window.orderBy(order)
-    lagged = centred.select("_d", "_mean", *[F.lag("_d", k).over(w).alias(f"_l{k}") for k in range(1, lags + 1)])
+    inside = Window.partitionBy(*keys)
+    centred = rows.withColumn("_mean", F.avg(diff).over(inside)).withColumn("_d", F.col(diff) - F.col("_mean"))
+    w = inside.orderBy(order)
+    lagged = centred.select(*keys, "_d", "_mean", *[F.lag("_d", k).over(w).alias(f"_l{k}") for k in range(1, lags + 1)])
     products = [F.sum(F.col("_d") * F.col("_d")).alias("_s0")] + [F.coalesce(F.sum(F.col("_d") * F.col(f"_l{k}")), F.lit(0.0)).alias(f"_s{k}") for k in range(1, lags + 1)]
-    sums = lagged.agg(F.count(F.lit(1)).alias("n"), F.first("_mean").alias("mean"), *products)
+    sums = lagged.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.first("_mean").alias("mean"), *products)
     total = F.col("_s0")
     for k in range(1, lags + 1):
         total = total + F.col(f"_s{k}") * (2 * (1 - k / (lags + 1)))
-    return sums.select("n", "mean", (total / F.col("n")).alias("variance")).withColumn("t", F.col("mean") / F.sqrt(F.col("variance") / F.col("n")))
+    return sums.select(*keys, "n", "mean", (total / F.col("n")).alias("variance")).withColumn("t", F.col("mean") / F.sqrt(F.col("variance") / F.col("n")))
 
 
 def exact_percentiles(rows: DataFrame, keys: list[str], value: str, levels: dict[str, float], accuracy: int = 10_000) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.config import FUNDS, Career
-from tessera.operators import macro_regimes, pension, population, regimes, scenarios, studies, volatility
+from tessera.operators import macro_regimes, pension, population, regimes, scenarios, stats, studies, volatility
 from tessera.plans import tables as t
 from tessera.plans.relational import rounded
 from tessera.plans.simulation import _DENSITY, _HISTORY, MOVES, _u, _walk, history, paths
@@ -163,5 +163,6 @@ def shapley(spark: SparkSession, sf_dir: str) -> DataFrame:
     bit = lambda k: F.shiftright("mask", k).bitwiseAND(1)
     masks = spark.range(8).select(F.col("id").cast("int").alias("mask"))
     x = F.col("o_totalprice") * (1 + bit(0) * 0.1) * (1 - bit(1) * 0.05 * (1 + bit(0))) + bit(2) * 1000
-    values = t.table(spark, sf_dir, "orders").select("o_totalprice").crossJoin(F.broadcast(masks)).groupBy("mask").agg(F.percentile(x, F.lit(0.5)).alias("value"))
+    values = t.table(spark, sf_dir, "orders").select("o_totalprice").crossJoin(F.broadcast(masks)).withColumn("x", x)
+    values = stats.exact_percentiles(values, ["mask"], "x", {"value": 0.5}).drop("n")
     return rounded(population.shapley(values, ["a", "b", "c"]), 6, "share")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import canonical_name, local_number
+from tessera.functions.text import MARKED, PLAIN, canonical_name, local_number
 from tessera.operators import asof, checks, panel, peers, stats
 from tessera.plans import tables as t
 from tessera.plans.tables import table
@@ -134,16 +134,14 @@ def fee_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("admin", "fee", "alpha", "months", "cost_share", "cost_pension", "break_even", "t")
 
 
-@query(f"""WITH {t.FUND_MONTHS},
-wide AS (SELECT month, max(r) FILTER (WHERE fund = 'AUTOMOBILE') AS a, max(r) FILTER (WHERE fund = 'BUILDING') AS b FROM fund_months GROUP BY month)
-SELECT month, round(c, 6) AS c FROM (
-  SELECT month, corr(a, b) OVER w AS c, count(CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN 1 END) OVER w AS n FROM wide
-  WINDOW w AS (ORDER BY month ROWS BETWEEN 35 PRECEDING AND CURRENT ROW)) WHERE n = 36""")
+@query(f"""WITH {t.FUND_MONTHS}, {t.fund_pairs_sql("fund_months", "month")}
+SELECT fund, other, month, round(c, 6) AS c FROM (
+  SELECT fund, other, month, corr(a, b) OVER w AS c, count(CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN 1 END) OVER w AS n FROM pairs
+  WINDOW w AS (PARTITION BY fund, other ORDER BY month ROWS BETWEEN 35 PRECEDING AND CURRENT ROW)) WHERE n = 36""")
 def rolling_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    funds = ["AUTOMOBILE", "BUILDING"]
-    wide = t.fund_months(spark, sf_dir).groupBy("month").pivot("fund", funds).agg(F.max("r")).withColumn("one", F.lit(1))
-    rolled = wide.withColumn("c", panel.rolling_corr(*funds, ["one"], "month", 36)).where("c is not null")
-    return rounded(rolled.select("month", "c"), 6, "c")
+    pairs = t.fund_pairs(t.fund_months(spark, sf_dir), ["month"])
+    rolled = pairs.withColumn("c", panel.rolling_corr("a", "b", ["fund", "other"], "month", 36)).where("c is not null")
+    return rounded(rolled.select("fund", "other", "month", "c"), 6, "c")
 
 
 @query("""WITH click AS (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = 'click' GROUP BY user_id, ts)
@@ -239,17 +237,16 @@ def business_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {t.EVENTS_PANEL},
-deflator AS (SELECT CAST(ts AS DATE) AS date, min(round(1 + value / 1000, 6)) AS level FROM events
-             WHERE event_id % 5 = 0 AND day(ts) % 3 = 0 AND CAST(ts AS DATE) > DATE '2024-01-05' GROUP BY 1),
+deflator AS (SELECT CAST(date_trunc('week', ts) AS DATE) + 3 AS date, min(round(1 + value / 1000, 6)) AS level FROM events GROUP BY 1),
 joined AS (SELECT d.fund, d.admin, d.date, unit_value, level FROM daily d LEFT JOIN deflator f ON d.date = f.date),
 filled AS (
   SELECT * EXCLUDE (level), coalesce(last_value(level IGNORE NULLS) OVER (PARTITION BY fund, admin ORDER BY date ROWS UNBOUNDED PRECEDING),
          first_value(level IGNORE NULLS) OVER (PARTITION BY fund, admin ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS level FROM joined)
 SELECT fund, admin, date, round(unit_value, 6) AS unit_value, level, round(unit_value / level, 6) AS unit_value_real FROM filled""")
 def ffill_bfill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").withColumn("date", F.col("ts").cast("date"))
-    some = (F.col("event_id") % 5 == 0) & (F.dayofmonth("date") % 3 == 0) & (F.col("date") > F.lit("2024-01-05").cast("date"))
-    deflator = events.where(some).select("date", F.round(1 + F.col("value") / 1000, 6).alias("level"))
+    """A deflator published once a week, on Thursdays, from all events of the week."""
+    thursday = F.date_add(F.date_trunc("week", "ts").cast("date"), 3)
+    deflator = table(spark, sf_dir, "events").select(thursday.alias("date"), F.round(1 + F.col("value") / 1000, 6).alias("level"))
     daily = t.events_panel(spark, sf_dir).select("fund", "admin", "date", "unit_value")
     real = panel.deflated(daily, deflator, "unit_value", ["fund", "admin"], "date")
     return rounded(real, 6, "unit_value", "unit_value_real")
@@ -298,11 +295,9 @@ def local_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.withColumn("number", local_number(F.col("cell")))
 
 
-@query("""WITH heads AS (SELECT doc_id, regexp_replace(substr(text, 1, 60), '\\s+', ' ', 'g') AS head FROM documents WHERE lang IN ('fr', 'es'))
-SELECT doc_id, upper(trim(strip_accents(head))) AS name FROM heads""")
+@query(f"""SELECT doc_id, upper(replace(trim(regexp_replace(translate(text, '{MARKED}', '{PLAIN}'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')), 'ß', 'SS')) AS name FROM documents""")
 def text_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where(F.col("lang").isin("fr", "es"))
-    return docs.select("doc_id", canonical_name(F.substring("text", 1, 60)).alias("name"))
+    return table(spark, sf_dir, "documents").select("doc_id", canonical_name(F.col("text")).alias("name"))
 
 
 @query("""WITH base AS (SELECT o_orderpriority AS strategy, quantile_cont(o_totalprice, [0.05, 0.25, 0.5, 0.75, 0.95]) AS q,
@@ -321,7 +316,7 @@ SELECT segment, quintile, count(*) AS n, round(median(c_acctbal), 6) AS median F
 def quintiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("segment"), "c_acctbal")
     cut = stats.quintiles(rows, ["segment"], "c_acctbal", large=True)
-    return cut.groupBy("segment", "quintile").agg(F.count(F.lit(1)).alias("n"), F.round(F.percentile("c_acctbal", F.lit(0.5)), 6).alias("median"))
+    return rounded(stats.exact_percentiles(cut, ["segment", "quintile"], "c_acctbal", {"median": 0.5}), 6, "median")
 
 
 @query("""WITH c AS (SELECT o_orderstatus AS status, quantile_cont(o_totalprice, [x / 100.0 FOR x IN range(1, 100)]) AS q FROM orders GROUP BY 1)
@@ -359,47 +354,43 @@ def certainty_equivalent(spark: SparkSession, sf_dir: str) -> DataFrame:
     pays = table(spark, sf_dir, "orders").select("o_totalprice").crossJoin(F.broadcast(grid))
     pays = pays.withColumn("x", F.col("o_totalprice") / 1000 * (1 - F.col("g0")) + F.col("g1") * 100 + F.col("a1"))
     x = F.col("x")
-    made = pays.groupBy("g0", "a1", "g1").agg(stats.certainty_equivalent(x, 3.0).alias("ce"), F.percentile(x, F.lit(0.5)).alias("median"), stats.certainty_equivalent(x, 1.0).alias("ce_log"))
+    made = pays.groupBy("g0", "a1", "g1").agg(stats.certainty_equivalent(x, 3.0).alias("ce"), stats.certainty_equivalent(x, 1.0).alias("ce_log"))
+    made = made.join(stats.exact_percentiles(pays, ["g0", "a1", "g1"], "x", {"median": 0.5}).drop("n"), ["g0", "a1", "g1"])
     return rounded(made, 6, "ce", "median", "ce_log").orderBy(F.desc("ce"), "g0", "a1", "g1").limit(5)
 
 
 @query("""WITH m AS (SELECT o_orderstatus AS status, median(o_totalprice) AS median FROM orders GROUP BY 1),
-near AS (SELECT status, median, o_orderkey, o_totalprice, o_orderpriority, row_number() OVER (PARTITION BY status ORDER BY abs(o_totalprice - median), o_orderkey) AS k FROM orders JOIN m ON o_orderstatus = status)
+near AS (SELECT status, median, o_orderkey, o_totalprice, o_orderpriority, row_number() OVER (PARTITION BY status ORDER BY round(abs(o_totalprice - median), 9), o_orderkey) AS k FROM orders JOIN m ON o_orderstatus = status)
 SELECT status, round(median, 4) AS median, o_orderkey, o_totalprice, o_orderpriority FROM near WHERE k = 1""")
 def nearest_median_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("status"), "o_orderkey", "o_totalprice", "o_orderpriority")
     return rounded(stats.nearest_to_median(rows, ["status"], "o_totalprice", "o_orderkey", ["o_orderpriority"]), 4, "median")
 
 
-@query(f"""WITH {t.FUND_MONTHS},
-wide AS (SELECT month, max(r) FILTER (WHERE fund = 'AUTOMOBILE') AS a, max(r) FILTER (WHERE fund = 'BUILDING') AS b FROM fund_months GROUP BY month),
-c AS (SELECT corr(a, b) AS r, CAST(count(*) FILTER (WHERE a IS NOT NULL AND b IS NOT NULL) AS BIGINT) AS n FROM wide)
-SELECT round(r, 6) AS r, n, round(tanh(atanh(r) - 1.645 / sqrt(n - 3)), 6) AS low, round(tanh(atanh(r) + 1.645 / sqrt(n - 3)), 6) AS high FROM c""")
+@query(f"""WITH {t.FUND_MONTHS}, {t.fund_pairs_sql("fund_months", "month")},
+c AS (SELECT fund, other, corr(a, b) AS r, CAST(count(*) FILTER (WHERE a IS NOT NULL AND b IS NOT NULL) AS BIGINT) AS n FROM pairs GROUP BY fund, other)
+SELECT fund, other, round(r, 6) AS r, n, round(tanh(atanh(r) - 1.645 / sqrt(n - 3)), 6) AS low, round(tanh(atanh(r) + 1.645 / sqrt(n - 3)), 6) AS high FROM c""")
 def fisher_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    funds = ["AUTOMOBILE", "BUILDING"]
-    wide = t.fund_months(spark, sf_dir).groupBy("month").pivot("fund", funds).agg(F.max("r")).dropna()
-    one = wide.agg(F.corr(*funds).alias("r"), F.count(F.lit(1)).alias("n"))
+    pairs = t.fund_pairs(t.fund_months(spark, sf_dir), ["month"]).dropna()
+    each = pairs.groupBy("fund", "other").agg(F.corr("a", "b").alias("r"), F.count(F.lit(1)).alias("n"))
     low, high = stats.fisher_interval(F.col("r"), F.col("n"))
-    return rounded(one.select("r", "n", low.alias("low"), high.alias("high")), 6, "r", "low", "high")
+    return rounded(each.select("fund", "other", "r", "n", low.alias("low"), high.alias("high")), 6, "r", "low", "high")
 
 
-@query(f"""WITH {t.FUND_MONTHS},
-d AS (SELECT month, max(r) FILTER (WHERE fund = 'AUTOMOBILE') - max(r) FILTER (WHERE fund = 'BUILDING') AS d FROM fund_months GROUP BY month),
-c AS (SELECT month, d - avg(d) OVER () AS c, avg(d) OVER () AS m FROM d WHERE d IS NOT NULL),
-l AS (SELECT c, m, {", ".join(f"lag(c, {k}) OVER (ORDER BY month) AS l{k}" for k in range(1, 7))} FROM c),
-v AS (SELECT count(*) AS n, any_value(m) AS mean, (sum(c * c) + {" + ".join(f"2 * (1 - {k} / 7.0::DOUBLE) * coalesce(sum(c * l{k}), 0)" for k in range(1, 7))}) / count(*) AS variance FROM l)
-SELECT n, round(mean, 8) AS mean, round(variance, 8) AS variance, round(mean / sqrt(variance / n), 4) AS t FROM v""")
+@query(f"""WITH {t.FUND_MONTHS}, {t.fund_pairs_sql("fund_months", "month")},
+c AS (SELECT fund, other, month, a - b - avg(a - b) OVER pair AS c, avg(a - b) OVER pair AS m FROM pairs WHERE a - b IS NOT NULL WINDOW pair AS (PARTITION BY fund, other)),
+l AS (SELECT fund, other, c, m, {", ".join(f"lag(c, {k}) OVER (PARTITION BY fund, other ORDER BY month) AS l{k}" for k in range(1, 7))} FROM c),
+v AS (SELECT fund, other, count(*) AS n, any_value(m) AS mean, (sum(c * c) + {" + ".join(f"2 * (1 - {k} / 7.0::DOUBLE) * coalesce(sum(c * l{k}), 0)" for k in range(1, 7))}) / count(*) AS variance FROM l GROUP BY fund, other)
+SELECT fund, other, n, round(mean, 8) AS mean, round(variance, 8) AS variance, round(mean / sqrt(variance / n), 4) AS t FROM v""")
 def dm_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    funds = ["AUTOMOBILE", "BUILDING"]
-    wide = t.fund_months(spark, sf_dir).groupBy("month").pivot("fund", funds).agg(F.max("r")).dropna()
-    made = stats.diebold_mariano(wide.select("month", (F.col(funds[0]) - F.col(funds[1])).alias("d")), "month", "d")
+    pairs = t.fund_pairs(t.fund_months(spark, sf_dir), ["month"]).dropna()
+    made = stats.diebold_mariano(pairs.select("fund", "other", "month", (F.col("a") - F.col("b")).alias("d")), "month", "d", keys=("fund", "other"))
     return rounded(made, 8, "mean", "variance").withColumn("t", F.round("t", 4))
 
 
-@query("""WITH mean AS (SELECT label, [avg(embedding[i]::DOUBLE) FOR i IN range(1, 65)] AS m FROM (SELECT label, embedding FROM embeddings WHERE false) GROUP BY label)
-SELECT e.vec_id, e.label, round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS dot,
+@query("""SELECT e.vec_id, e.label, round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS dot,
        round(sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])), 6) AS norm
-FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings)) q""".split("\n", 1)[1])
+FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings)) q""")
 def embedding_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").withColumn("x", F.col("embedding").cast("array<double>"))
     first = rows.agg(F.min_by("x", "vec_id").alias("q"))
@@ -408,29 +399,23 @@ def embedding_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("vec_id", "label", F.round(dot("x", "q"), 6).alias("dot"), F.round(F.sqrt(dot("x", "x")), 6).alias("norm"))
 
 
-_DIMS = ["x1", "x2", "x3", "x4"]
-
-
-@query(f"""WITH x AS (SELECT {", ".join(f"CAST(embedding[{k}] AS DOUBLE) AS x{k}" for k in range(1, 5))}, 1 + label AS w FROM embeddings)
-SELECT a, b, round(cov, 6) AS cov, round(wcov, 6) AS wcov FROM ({" UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, covar_samp({a}, {b}) AS cov, sum(w * {a} * {b}) / sum(w) - sum(w * {a}) / sum(w) * sum(w * {b}) / sum(w) AS wcov FROM x" for i, a in enumerate(_DIMS) for b in _DIMS[i:])})""")
+@query("""WITH x AS (SELECT vec_id, CAST(1 + label AS DOUBLE) AS w, CAST(unnest(range(1, len(embedding) + 1)) AS INT) AS k, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)
+SELECT a.k AS a, b.k AS b, round(covar_samp(a.x, b.x), 6) + 0 AS cov, round(sum(a.w * a.x * b.x) / sum(a.w) - sum(a.w * a.x) / sum(a.w) * sum(a.w * b.x) / sum(a.w), 6) + 0 AS wcov
+FROM x a JOIN x b ON a.vec_id = b.vec_id AND a.k <= b.k GROUP BY a.k, b.k""")
 def embedding_cov(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = F.col("embedding")
-    x = table(spark, sf_dir, "embeddings").select(*[e[k].cast("double").alias(f"x{k + 1}") for k in range(4)], (1 + F.col("label")).alias("w"))
-    both = stats.covariances(x, _DIMS).join(stats.covariances(x, _DIMS, "w").withColumnRenamed("cov", "wcov"), ["a", "b"])
-    return rounded(both, 6, "cov", "wcov")
+    rows = table(spark, sf_dir, "embeddings").select("embedding", (1 + F.col("label")).alias("w"))
+    return rounded(stats.covariance_matrix(rows, "embedding", "w"), 6, "cov", "wcov")
 
 
-@query(f"""WITH {t.ORDERS_MONTHS},
-paired AS (SELECT admin, month, max(r) FILTER (WHERE fund = 'AUTOMOBILE') AS a, max(r) FILTER (WHERE fund = 'BUILDING') AS b FROM months GROUP BY 1, 2)
-SELECT admin, count(*) AS n, avg(CAST(a > b AS DOUBLE)) AS wins, avg(CAST(a < b AS DOUBLE)) AS loses, round(median(a) - median(b), 6) AS median_gap
-FROM paired WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY admin""")
+@query(f"""WITH {t.ORDERS_MONTHS}, {t.fund_pairs_sql("months", "admin, month")}
+SELECT admin, fund, other, count(*) AS n, avg(CAST(a > b AS DOUBLE)) AS wins, avg(CAST(a < b AS DOUBLE)) AS loses, round(median(a) - median(b), 6) AS median_gap
+FROM pairs WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY admin, fund, other""")
 def paired_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often one strategy beats another on the same path."""
-    funds = ["AUTOMOBILE", "BUILDING"]
-    wide = t.orders_months(spark, sf_dir).groupBy("admin", "month").pivot("fund", funds).agg(F.max("r")).dropna()
-    a, b = map(F.col, funds)
+    """How often one strategy beats another on the same path, for every two of them."""
+    pairs = t.fund_pairs(t.orders_months(spark, sf_dir), ["admin", "month"]).dropna()
+    a, b = F.col("a"), F.col("b")
     gap = F.percentile(a, F.lit(0.5)) - F.percentile(b, F.lit(0.5))
-    return wide.groupBy("admin").agg(F.count(F.lit(1)).alias("n"), F.avg((a > b).cast("double")).alias("wins"), F.avg((a < b).cast("double")).alias("loses"), F.round(gap, 6).alias("median_gap"))
+    return pairs.groupBy("admin", "fund", "other").agg(F.count(F.lit(1)).alias("n"), F.avg((a > b).cast("double")).alias("wins"), F.avg((a < b).cast("double")).alias("loses"), F.round(gap, 6).alias("median_gap"))
 
 
 @query(f"""WITH {t.FUND_MONTHS},
@@ -484,13 +469,13 @@ def alpha_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.withColumn("place", F.rank().over(Window.partitionBy("fund").orderBy(F.desc("alpha"), "admin")))
 
 
-@query(f"""WITH {t.ORDERS_MONTHS}, a AS (SELECT fund, admin, month, r FROM months WHERE admin < 2), b AS (SELECT fund, admin, month, r FROM months WHERE admin BETWEEN 1 AND 2)
+@query(f"""WITH {t.ORDERS_MONTHS}, a AS (SELECT fund, admin, month, r FROM months WHERE admin <= 2), b AS (SELECT fund, admin, month, r FROM months WHERE admin >= 2)
 SELECT coalesce(a.fund, b.fund) AS fund, coalesce(a.month, b.month) AS month, count(*) AS n, round(sum(coalesce(a.r, 0) - coalesce(b.r, 0)), 6) AS gap
 FROM a FULL JOIN b ON a.fund = b.fund AND a.admin = b.admin AND a.month = b.month GROUP BY 1, 2""")
 def aligned_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Difference of two tables on their keys, a key that one lacks counting as 0 there."""
+    """Difference of two tables on their keys, a key that one lacks counting as 0 there: the lower and the upper administrators, who share one."""
     months, keys = t.orders_months(spark, sf_dir).select("fund", "admin", "month", "r"), ["fund", "admin", "month"]
-    a, b = months.where("admin < 2").withColumnRenamed("r", "x"), months.where("admin between 1 and 2").withColumnRenamed("r", "y")
+    a, b = months.where("admin <= 2").withColumnRenamed("r", "x"), months.where("admin >= 2").withColumnRenamed("r", "y")
     joined = a.join(b, keys, "full")
     gap = F.sum(F.coalesce("x", F.lit(0.0)) - F.coalesce("y", F.lit(0.0)))
     return joined.groupBy("fund", "month").agg(F.count(F.lit(1)).alias("n"), F.round(gap, 6).alias("gap"))

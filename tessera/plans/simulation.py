@@ -109,13 +109,13 @@ _FLAT = "250275.0::DOUBLE / 39703.5 * least(1.0::DOUBLE, greatest(0.0::DOUBLE, (
 @query(f"SELECT c_custkey, round({_FLAT.format(x='c_acctbal / 200')}, 6) AS flat, round(c_acctbal / 200 + {_FLAT.format(x='c_acctbal / 200')}, 6) AS total FROM customer")
 def flat_benefit_taper(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.col("c_acctbal") / 200
-    made = t.table(spark, sf_dir, "customer").select("c_custkey", pension.flat_benefit(base).alias("flat"))
-    return rounded(t.table(spark, sf_dir, "customer").select("c_custkey", base.alias("b")).join(made, "c_custkey").select("c_custkey", "flat", (F.col("b") + F.col("flat")).alias("total")), 6, "flat", "total")
+    flat = pension.flat_benefit(base)
+    return rounded(t.table(spark, sf_dir, "customer").select("c_custkey", flat.alias("flat"), (base + flat).alias("total")), 6, "flat", "total")
 
 
 # ---- paths: a history of 80 months of five funds, with labels by rule -----------------
 
-_SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+_SEGMENTS = t.SEGMENTS
 _HISTORY = (
     t.FUND_MONTHS
     + f""",
@@ -213,15 +213,15 @@ def reverse_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("fund", "month", F.round(panel.reverse_growth("r", ["fund"], "month"), 6).alias("growth"))
 
 
-def _switching(ret: str = "ret") -> str:
+def _switching(ret: str = "ret", age: str = "30 + d.t // 12", paid: str = "1.5") -> str:
     """SQL of the reactive member over drawn(p, t, ret): the state after each month."""
-    law = f"CASE WHEN 30 + d.t // 12 <= 35 THEN d.{ret}[2] ELSE d.{ret}[3] END"
+    law = f"CASE WHEN {age} <= 35 THEN d.{ret}[2] WHEN {age} <= 55 THEN d.{ret}[3] ELSE d.{ret}[4] END"
     return f"""
 member AS (
   SELECT p, -1 AS t, 0.0::DOUBLE AS balance, 0 AS switches, false AS in_e, 0 AS stayed, 0 AS pending, 0 AS wait,
          0.0::DOUBLE AS p1, 0.0::DOUBLE AS p2, 0.0::DOUBLE AS a1, 0.0::DOUBLE AS a2 FROM (SELECT DISTINCT p FROM drawn)
   UNION ALL
-  SELECT p, t, (balance + 1.5) * (1 + r), switches + CAST(due AS INT), in_e, stayed2,
+  SELECT p, t, (balance + paid) * (1 + r), switches + CAST(due AS INT), in_e, stayed2,
          CASE WHEN go THEN 1 WHEN back THEN 2 ELSE pending END, CASE WHEN go OR back THEN 1 ELSE wait END, r, p1, ra, a1
   FROM (SELECT *, pending = 0 AND t >= 2 AND NOT in_e AND (1 + p2) * (1 + p1) * (1 + r) - 1 < -0.06 AS go,
                pending = 0 AND t >= 2 AND in_e AND stayed2 >= 6 AND (1 + a2) * (1 + a1) * (1 + ra) - 1 > 0.05 AS back
@@ -230,7 +230,7 @@ member AS (
                            CASE WHEN pending <> 0 AND wait = 0 THEN pending = 1 ELSE in_e END AS in_e,
                            CASE WHEN pending = 1 AND wait = 0 THEN 0 ELSE stayed END AS stayed,
                            CASE WHEN pending <> 0 AND wait = 0 THEN 0 ELSE pending END AS pending, greatest(wait - 1, 0) AS wait,
-                           p1, p2, a1, a2, {law} AS rb, d.{ret}[5] AS re, d.{ret}[1] AS ra
+                           p1, p2, a1, a2, {paid} AS paid, {law} AS rb, d.{ret}[5] AS re, d.{ret}[1] AS ra
                     FROM member m JOIN drawn d ON d.p = m.p AND d.t = m.t + 1))))"""
 
 
@@ -245,14 +245,21 @@ _CAREER = Career(start_age=50, growth_until=50)
 _FACTOR = 150.0
 
 
+def _port_sql(source: str, age: str, keep: str) -> str:
+    """Monthly returns of the fixed funds, the default and the lifecycle, of rows that have ret and t."""
+    law = f"CASE WHEN {age} <= 35 THEN ret[2] WHEN {age} <= 55 THEN ret[3] ELSE ret[4] END"
+    life = _array(pension.strategies(list(range(111)), "H")[pension.LIFECYCLE])
+    glide = " + ".join(f"life[{age} + 1][{k}] * ret[{k}]" for k in range(1, 6))
+    mixes = {**{f"fund {f}": f"ret[{k}]" for k, f in enumerate(FUNDS, 1)}, pension.DEFAULT: law, pension.LIFECYCLE: glide}
+    return f"glide AS (SELECT {life} AS life), port AS (" + " UNION ALL ".join(f"SELECT {keep}, '{n}' AS strategy, {e} AS r FROM {source}, glide" for n, e in mixes.items()) + ")"
+
+
 def _strategy_sql(paths_: int, months: int) -> str:
-    """Balances of the fixed funds and the default over a career of ``months`` that starts at 50."""
-    law = "CASE WHEN 50 + t // 12 <= 55 THEN ret[3] ELSE ret[4] END"
-    mixes = {**{f"fund {f}": f"ret[{k}]" for k, f in enumerate(FUNDS, 1)}, pension.DEFAULT: law}
-    port = " UNION ALL ".join(f"SELECT p, t, '{n}' AS strategy, {e} AS r FROM drawn" for n, e in mixes.items())
-    return f"""port AS ({port}),
+    """Pensions of all strategies over a career of ``months`` that starts at 50."""
+    return f"""{_port_sql("drawn", "(50 + t // 12)", "p, t")}, {_switching(age="(50 + d.t // 12)")},
 grown AS (SELECT p, t, strategy, exp(sum(ln(1 + r)) OVER (PARTITION BY p, strategy ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS g FROM port),
-pays AS (SELECT p, strategy, sum(1.5 * g) / {_FACTOR} AS pension FROM grown GROUP BY p, strategy)"""
+pays AS (SELECT p, strategy, sum(1.5 * g) / {_FACTOR} AS pension FROM grown GROUP BY p, strategy
+         UNION ALL SELECT p, '{pension.REACTIVE}', balance / {_FACTOR} FROM member WHERE t = {months - 1})"""
 
 
 @query(f"""WITH RECURSIVE {_HISTORY}, {_walk(100, 180)}, {_strategy_sql(100, 180)},
@@ -261,20 +268,22 @@ SELECT strategy, round(q[1], 5) AS p5, round(q[2], 5) AS p25, round(q[3], 5) AS
        round(q[3] / 25, 6) AS replacement, (SELECT round(avg(pension), 5) FROM pays p WHERE p.strategy = s.strategy AND pension <= q[1]) AS cvar5 FROM s""")
 def mc_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = pension.pensions(scenarios.returns_of(paths(spark, sf_dir, 100, 180)), "H", _FACTOR, _CAREER)
-    table = pension.strategy_table(made, 25.0, 0.4).where(~F.col("strategy").isin(pension.LIFECYCLE, pension.REACTIVE))
+    table = pension.strategy_table(made, 25.0, 0.4)
     return rounded(table.drop("n"), 5, "p5", "p25", "median", "p75", "p95", "mean", "cvar5").withColumn("replacement", F.round("replacement", 6))
 
 
 @query(f"""WITH RECURSIVE {_HISTORY},
 n AS (SELECT count(*) AS n FROM history),
-port AS (SELECT i AS t, unnest([{", ".join(f"ret[{k}]" for k in range(1, 6))}]) AS r, unnest({[f"fund {f}" for f in FUNDS]}) AS strategy FROM history),
-grown AS (SELECT strategy, t, exp(sum(ln(1 + r)) OVER (PARTITION BY strategy ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS g FROM port)
-SELECT strategy, round(sum(g * 25 * pow(1.015::DOUBLE, least(65 - (SELECT n FROM n) // 12 + t // 12, 50) - 25) * 0.06), 5) AS balance,
-       round(sum(g * 25 * pow(1.015::DOUBLE, least(65 - (SELECT n FROM n) // 12 + t // 12, 50) - 25) * 0.06) / {_FACTOR}, 6) AS pension, 0 AS switches
-FROM grown GROUP BY strategy""")
+aged AS (SELECT 0 AS p, i AS t, ret, CAST(65 - n // 12 + i // 12 AS INT) AS age FROM history, n),
+drawn AS (SELECT *, 25 * pow(1.015::DOUBLE, least(age, 50) - 25) * 0.06 AS paid FROM aged),
+{_port_sql("drawn", "age", "t, paid")}, {_switching(age="d.age", paid="d.paid")},
+grown AS (SELECT strategy, t, paid, exp(sum(ln(1 + r)) OVER (PARTITION BY strategy ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS g FROM port),
+ended AS (SELECT strategy, sum(g * paid) AS balance, 0 AS switches FROM grown GROUP BY strategy
+          UNION ALL SELECT '{pension.REACTIVE}', balance, switches FROM member, n WHERE t = n - 1)
+SELECT strategy, round(balance, 5) AS balance, round(balance / {_FACTOR}, 6) AS pension, switches FROM ended""")
 def historical_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The one path that history took, for a member who retires at its end."""
-    return _backtest(history(spark, sf_dir)).where(F.col("strategy").startswith("fund"))
+    """The one path that history took, under every strategy, for a member who retires at its end."""
+    return _backtest(history(spark, sf_dir))
 
 
 def _backtest(rows: DataFrame) -> DataFrame:
@@ -433,13 +442,12 @@ def layer_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(table, 5, "p5", "median", "p95").withColumn("replacement", F.round("replacement", 6))
 
 
-# An odd number of paths: with an even one, the two middle rows are equally far from the median.
-@query(f"""WITH RECURSIVE {_LAYERED}, m AS (SELECT median(total) AS median FROM full_ WHERE p < 99)
+@query(f"""WITH RECURSIVE {_LAYERED}, m AS (SELECT median(total) AS median FROM full_)
 SELECT 25.0::DOUBLE AS salary, round(median, 5) AS median, p AS path_id, round(total, 5) AS total, round(own, 5) AS own, round(employer, 5) AS employer, round(bond, 5) AS bond, round(flat, 5) AS flat
-FROM full_, m WHERE p < 99 ORDER BY abs(total - median), p LIMIT 1""")
+FROM full_, m ORDER BY round(abs(total - median), 9), p LIMIT 1""")
 def income_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The layers of the path next to the median, so that they add up."""
-    rows = _layered(spark, sf_dir).where("path_id < 99").withColumn("salary", F.lit(25.0))
+    """The layers of the path next to the median, so that they add up; of two equally near the one with the lower number."""
+    rows = _layered(spark, sf_dir).withColumn("salary", F.lit(25.0))
     made = pension.income_table(rows, ["salary"]).drop("last_salary")
     return rounded(made, 5, "median", "total", "own", "employer", "bond", "flat")
 

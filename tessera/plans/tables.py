@@ -92,3 +92,20 @@ FUND_MONTHS = (
     + """,
 fund_months AS (SELECT fund, month, tanh(round(sum(r * w) / sum(w), 9)) / 10 AS r FROM months GROUP BY fund, month)"""
 )
+
+#: The five segments in the order of funds A to E.
+SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+PAIRS = [(a, b) for i, a in enumerate(SEGMENTS) for b in SEGMENTS[i + 1 :]]
+
+
+def fund_pairs(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, fund, other, a, b): returns of every two funds beside each other, null where one has none."""
+    wide = rows.groupBy(*keys).pivot("fund", list(SEGMENTS)).agg(F.max("r"))
+    pair = lambda a, b: F.struct(F.lit(a).alias("fund"), F.lit(b).alias("other"), F.col(a).alias("a"), F.col(b).alias("b"))
+    return wide.select(*keys, F.inline(F.array(*[pair(a, b) for a, b in PAIRS])))
+
+
+def fund_pairs_sql(source: str, keys: str) -> str:
+    wide = ", ".join(f"max(r) FILTER (WHERE fund = '{s}') AS {s.lower()}" for s in SEGMENTS)
+    cells = " UNION ALL ".join(f"SELECT {keys}, '{a}' AS fund, '{b}' AS other, {a.lower()} AS a, {b.lower()} AS b FROM wide" for a, b in PAIRS)
+    return f"wide AS (SELECT {keys}, {wide} FROM {source} GROUP BY {keys}), pairs AS ({cells})"
