@@ -1,14 +1,15 @@
 """Micro-simulation of a cohort: incomes, densities, spells of work, pensions by person and scenario.
 
 A balance is linear in the contributions: with G the growth from each month to retirement
-(scenarios x months), all balances of a block of people are A G'. G is small (some hundred
-scenarios) and is broadcast; people are rows and their number is free.
+(scenarios x months), all balances of a block of people are A G'. G is broadcast in blocks of
+scenarios of a bounded size; people are rows. The numbers of both are free.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import replace
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -22,7 +23,7 @@ from tessera.operators import pension
 from tessera.operators.scenarios import formal_months
 from tessera.operators.stats import quintiles
 
-#: Most cells of the broadcast growth matrices; beyond it, use fewer scenarios at a time.
+#: Most cells of a growth matrix that is collected and broadcast; more scenarios are taken in blocks.
 MOST_CELLS = 4_000_000
 #: Cells of a block of balances (people x scenarios) made at a time.
 BLOCK_CELLS = 500_000
@@ -52,16 +53,24 @@ def growth_matrix(paths: DataFrame, weights: list[list[float]]) -> np.ndarray:
     """(scenarios, months): growth from each month to the end, in the order of path_id."""
     months = len(weights)
     rows = paths.select("path_id", pension.portfolio(F.col("path"), weights).alias("r")).orderBy("path_id").collect()
-    if len(rows) * months > MOST_CELLS:
-        raise ValueError(f"{len(rows)} scenarios of {months} months are more than {MOST_CELLS} cells")
     grown = 1 + np.array([r["r"] for r in rows], float).reshape(len(rows), months)
     return np.ascontiguousarray(np.cumprod(grown[:, ::-1], axis=1)[:, ::-1])
 
 
-def balances(rows: DataFrame, key: str, contributions: dict[str, str], growth: dict[str, np.ndarray]) -> DataFrame:
+def scenario_blocks(paths: DataFrame, months: int) -> list[tuple[int, DataFrame]]:
+    """(number of the first scenario, its paths) of blocks of at most MOST_CELLS cells, in the order of path_id."""
+    size = max(1, MOST_CELLS // months)
+    ids = sorted(r[0] for r in paths.select("path_id").collect())
+    if len(ids) <= size:
+        return [(0, paths)]
+    return [(at, paths.where(F.col("path_id").between(ids[at], ids[min(at + size, len(ids)) - 1]))) for at in range(0, len(ids), size)]
+
+
+def balances(rows: DataFrame, key: str, contributions: dict[str, str], growth: dict[str, np.ndarray], first: int = 0) -> DataFrame:
     """(key, scenario, strategy, name...): for each array column of contributions its balance under each growth.
 
-    ``contributions`` maps output names to array columns of as many months as the growths have.
+    ``contributions`` maps output names to array columns of as many months as the growths have;
+    scenarios are numbered from ``first``.
     """
     shared = rows.sparkSession.sparkContext.broadcast(growth)
     names = list(contributions)
@@ -74,7 +83,7 @@ def balances(rows: DataFrame, key: str, contributions: dict[str, str], growth: d
                 for at in range(0, len(pdf), step):
                     part = pdf.iloc[at : at + step]
                     made = {n: (np.stack(part[n].to_numpy()).astype(float) @ g.T).ravel() for n in names}
-                    yield pd.DataFrame({key: np.repeat(part[key].to_numpy(), len(g)), "scenario": np.tile(np.arange(len(g)), len(part)), "strategy": strategy} | made)
+                    yield pd.DataFrame({key: np.repeat(part[key].to_numpy(), len(g)), "scenario": np.tile(first + np.arange(len(g)), len(part)), "strategy": strategy} | made)
 
     picked = rows.select(key, *[F.col(c).alias(n) for n, c in contributions.items()])
     return picked.mapInPandas(run, f"{key} {kind}, scenario int, strategy string, " + ", ".join(f"{n} double" for n in names))
@@ -106,8 +115,11 @@ def cohort_pensions(cohort: DataFrame, paths: DataFrame, sex: str, factor: float
     """(person, scenario, strategy, own, employer, bond, flat, total, last_salary, income, worked) of one sex."""
     rows, months = _with_careers(cohort, sex, career, reform, c, retire_at, employer)
     mixes = pension.strategies(months, sex)
-    growth = {name: growth_matrix(paths, mixes[name]) for name in (pension.DEFAULT, pension.LIFECYCLE)}
-    made = balances(rows, "person", {"own": "own_paid", "employer": "employer_paid"}, growth)
+    blocks = []
+    for first, some in scenario_blocks(paths, len(months)):
+        growth = {name: growth_matrix(some, mixes[name]) for name in (pension.DEFAULT, pension.LIFECYCLE)}
+        blocks.append(balances(rows, "person", {"own": "own_paid", "employer": "employer_paid"}, growth, first))
+    made = reduce(DataFrame.unionByName, blocks)
     facts = rows.select("person", "sex", "income", "worked", "last_salary", (F.col("bond_value") / factor).alias("bond"))
     made = made.join(facts, "person").withColumn("own", F.col("own") / factor).withColumn("employer", F.col("employer") / factor)
     base = F.col("own") + F.col("employer") + F.col("bond")

@@ -115,6 +115,15 @@ def test_product_of_matrices_is_accumulation(spark):
     assert made == pytest.approx(plain)
 
 
+def test_scenarios_in_blocks_are_those_of_one(spark, monkeypatch):
+    rows, _ = paths(spark, 7, 120)
+    cohort = population.people(spark, 5, sex="H")
+    run = lambda: {(r["person"], r["scenario"], r["strategy"]): r["total"] for r in population.cohort_pensions(cohort, rows, "H", 150.0, Career(start_age=55)).collect()}
+    whole = run()
+    monkeypatch.setattr(population, "MOST_CELLS", 2 * 120)
+    assert len(population.scenario_blocks(rows, 120)) == 4 and run() == pytest.approx(whole) and len(whole) == 5 * 7 * 2
+
+
 def test_parts_add_up_to_the_whole(spark):
     values = {m: float(np.random.default_rng(m).normal()) for m in range(16)}
     made = population.shapley(spark.createDataFrame(list(values.items()), "mask int, value double"), ["a", "b", "c", "d"]).collect()
