@@ -70,7 +70,9 @@ def measure(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     again = np.zeros(n)
     twin = np.zeros(n)
     if len(at):
-        value = np.where(blank, 0, np.random.default_rng(7).integers(1, 2**40, 256)[data])
+        # Words are equal when sums of their bytes, weighted by the places in the word, are.
+        inside = np.arange(len(data)) - at[np.maximum(np.cumsum(first) - 1, 0)]
+        value = np.where(blank, 0, (np.random.default_rng(7).integers(1, 2**40, 256)[data] * (2 * inside + 1)) & 0xFFFFFFFFFFFF)
         sums = np.add.reduceat(value, at)
         owner = line[at]
         same = (sums[1:] == sums[:-1]) & (owner[1:] == owner[:-1])
@@ -243,9 +245,10 @@ def quality(docs: DataFrame, labels: DataFrame, learn: Column, threshold: float
     """Per document: id, score (0..1, higher: likelier good) and predicted (score >= threshold).
 
     A null text counts as empty, and an empty text is one empty line, which is scored
-    like any other. Repeated rows get equal scores. An empty table gives no rows; without
-    labels of both kinds every score is the share of good labels. Columns other than the
-    id and the text are ignored.
+    like any other. Repeated rows and equal texts get equal scores, and a score equal to
+    the threshold is predicted 1. Texts of any length are scored whole, in memory of some
+    dozen times their own. An empty table gives no rows; without labels of both kinds every
+    score is the share of good labels. Columns other than the id and the text are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, learn, label_col, id_col, text_col, max_labelled))
 

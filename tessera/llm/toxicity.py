@@ -122,12 +122,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, learn: C
     """(id, label, text) of at most max_rows labelled documents, those with the least hash of the id.
 
     Labels that are null or not in the training folds are left out; of several labels
-    of one id the largest counts. Of several documents with one id each is a row.
+    of one id the largest counts. Of several documents with one id one is a row, that
+    with the least hash of its text, so an id that very many documents have is no more
+    than one row of the sample. Rows of equal id and text are one document.
     """
     ids = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & learn).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_label"))
     ids = durable(ids.orderBy(F.xxhash64("_id"), "_id").limit(max_rows))
     texts = docs.select(F.col(id_col).alias("_doc"), whole_text(text_col).alias("_text"))
-    return texts.join(F.broadcast(ids), F.col("_doc") == F.col("_id")).select(F.col("_id").alias("id"), F.col("_label").alias("label"), F.col("_text").alias("text"))
+    found = texts.join(F.broadcast(ids), F.col("_doc") == F.col("_id"))
+    # The aggregation keeps one text of an id before the shuffle.
+    one = found.groupBy("_id").agg(F.min_by(F.struct("_label", "_text"), F.xxhash64("_text")).alias("x"))
+    return one.select(F.col("_id").alias("id"), F.col("x._label").alias("label"), F.col("x._text").alias("text"))
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED) -> pd.DataFrame:
@@ -180,8 +185,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, learn: Column, threshold: float
     """Per document: id, score (higher: likelier toxic) and predicted (score >= threshold).
 
     Null and empty texts get the score of the bias alone. An empty table gives no
-    rows; with no labels every score is 0.5. Repeated rows get equal scores. Columns
-    other than the id and the text are ignored.
+    rows; with no labels every score is 0.5. Repeated rows and equal texts get equal
+    scores, and a score equal to the threshold is predicted 1. Texts of any length are
+    scored whole. Columns other than the id and the text are ignored.
     """
     model = train(docs, labels, learn, label_col, id_col, text_col, max_labelled)
     scored = score(docs, model, id_col, text_col)

@@ -417,6 +417,97 @@ def test_quality_on_held_out_rows(sample):
     assert (~good & held & (y == 0)).sum() >= 0.9 * (held & (y == 0)).sum() and (~good & held & (y == 1)).sum() <= 0.01 * (held & (y == 1)).sum()
 
 
+def test_ftrl_is_that_of_a_plain_version():
+    """Every step by scalars, from the published algorithm; then scores of documents by sums over a dict."""
+    rng = np.random.default_rng(3)
+    rows = [np.unique(rng.integers(0, 60, rng.integers(0, 12))) for _ in range(80)]
+    labels = (np.array([(r < 12).sum() for r in rows]) > 1).astype(float)
+    made = toxicity.fit_ftrl(rows, labels, bits=6, epochs=3, l1=0.5)
+    alpha, beta, l1, l2, bias = toxicity.ALPHA, toxicity.BETA, 0.5, toxicity.L2, 64
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(i):
+        penalty = 0.0 if i == bias else l1
+        if abs(z[i]) <= penalty:
+            return 0.0
+        return -(z[i] - math.copysign(penalty, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    for epoch in range(3):
+        for k in np.random.default_rng(epoch).permutation(np.arange(len(rows))):
+            at = [*map(int, rows[k]), bias]
+            w = {i: weight(i) for i in at}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - labels[k]
+            for i in at:
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+    want = np.array([weight(i) if n[i] else 0.0 for i in range(65)])
+    assert np.allclose(made, want) and 0 < (want[:-1] == 0).sum() < 64
+
+
+def test_scores_of_toxicity_are_those_of_a_plain_version(spark, sf_dir):
+    """The query's operator on whole documents, against features and weights taken one by one."""
+    import xxhash
+
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    learn = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) != 1
+    model = toxicity.train(docs, labels, learn)
+    weights = dict(zip(model["coordinate"], model["weight"], strict=True))
+    made = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    m64, bias = 2**64 - 1, 1 << toxicity.BITS
+    for r in docs.collect():
+        h = [xxhash.xxh64_intdigest(w) for w in re.findall(r"\w+", (r["text"] or "").lower())]
+        left = [x * 0x9E3779B97F4A7C15 & m64 for x in h]
+        every = h + [a ^ (b * 0xC2B2AE3D27D4EB4F + 1 & m64) for a, b in zip(left, h[1:], strict=False)] + [a ^ (b * 0x165667B19E3779F9 + 2 & m64) for a, b in zip(left, h[2:], strict=False)]
+        at = {(x * 0xD6E8FEB86659FD93 & m64) >> (64 - toxicity.BITS) for x in every}
+        logit = sum(weights.get(i, 0.0) for i in at) + weights.get(bias, 0.0)
+        assert made[r["doc_id"]] == pytest.approx(1 / (1 + math.exp(-max(-35, min(35, logit)))), abs=1e-9)
+
+
+def test_scores_of_quality_are_those_of_a_plain_version(spark, sf_dir):
+    """The query's operator on whole documents, against a chain walked line by line, one document at a time."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    learn = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) != 0
+    model = quality.train(docs, labels, learn)
+    made = {r["doc_id"]: r["score"] for r in quality.quality(docs, labels, learn).collect()}
+    kinds = dict(quality.KINDS)
+
+    def line_values(lines, k):
+        raw = lines[k].encode()
+        words = re.findall(rb"[^ \n\t\r]+", raw)
+        per = max(1, len(words))
+        shares = [sum(c in members for c in raw) / max(1, len(raw)) for members in kinds.values()]
+        return [
+            *shares, math.log1p(len(raw)) / 6, sum(map(len, words)) / per / 10, sum(a == b for a, b in zip(words, words[1:], strict=False)) / per,
+            sum(a == b for a, b in zip(words, words[2:], strict=False)) / per, float(len(raw) > 0 and lines.count(lines[k]) > 1),
+        ]
+
+    def plain(text):
+        lines = text.split("\n")
+        own = [line_values(lines, k) for k in range(len(lines))]
+        none = [0.0] * quality.MEASURES
+        good = []
+        for k in range(len(lines)):
+            x = own[k] + (own[k - 1] if k else none) + (own[k + 1] if k + 1 < len(lines) else none) + [float(k == 0), float(k + 1 == len(lines)), 1.0]
+            good.append(max(-60.0, min(60.0, float(np.dot(x, model.weights)))))
+        add = lambda a, b: max(a, b) + math.log1p(math.exp(-abs(a - b)))
+        forward, back = [(-good[0] / 2, good[0] / 2)], [(0.0, 0.0)]
+        for g in good[1:]:
+            a, b = forward[-1]
+            forward.append(tuple(add(a + model.links[0][j], b + model.links[1][j]) + (-g / 2, g / 2)[j] for j in (0, 1)))
+        for g in reversed(good[1:]):
+            a, b = back[0][0] - g / 2, back[0][1] + g / 2
+            back.insert(0, tuple(add(model.links[i][0] + a, model.links[i][1] + b) for i in (0, 1)))
+        p = [1 / (1 + math.exp((f[0] + b[0]) - (f[1] + b[1]))) for f, b in zip(forward, back, strict=True)]
+        size = [len(x.encode()) + 1 for x in lines]
+        q = min(1 - 1e-4, max(1e-4, float(np.dot(p, size) / sum(size))))
+        slope, shift = model.curve
+        return 1 / (1 + math.exp(-(slope * math.log(q / (1 - q)) + shift)))
+
+    for r in docs.collect():
+        assert made[r["doc_id"]] == pytest.approx(plain(r["text"] or ""), abs=1e-6), r["doc_id"]
+
+
 def test_marginals_are_those_of_all_labelings():
     import itertools
 

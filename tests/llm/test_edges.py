@@ -84,6 +84,41 @@ def test_values_of_odd_rows(spark, odd):
     assert set(spans.values()) == {""}
 
 
+def test_mix_draws_exactly_among_ties(spark):
+    """One id held by most rows, null ids, equal sizes, a class drawn whole; targets are met, and reruns agree."""
+    rows = [(7, "a b c", "s") for _ in range(400)] + [(None, "a b c", "s") for _ in range(60)] + [(k, "a b c", "s") for k in range(100, 180)] + [(k, "x y z", "t") for k in range(1000, 1700)] + [(k, "p q", "u") for k in range(2000, 2300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    made = mix(docs, [5, 2, 1]).join(spark.createDataFrame([(1620, "s"), (2100, "t"), (600, "u")], "source_size long, source string"), "source_size").toPandas()
+    assert len(made) == len(rows)
+    for _, g in made.groupby("source"):
+        assert abs(g.taken.sum() - g.target.iloc[0]) <= 3, g.target.iloc[0]
+    assert (made.taken <= 3 * made["size"]).all()
+    key = lambda m: sorted(map(tuple, m[["doc_id", "taken"]].fillna(-1).to_numpy().tolist()))
+    again = mix(docs.repartition(3), [5, 2, 1]).toPandas()
+    assert key(again) == key(made)
+
+
+def test_one_labelled_id_on_very_many_documents(spark):
+    """An id of many documents is one row of the sample that a model is fitted on."""
+    from tessera.llm.toxicity import labelled_sample
+
+    docs = spark.range(3000).select(F.lit(5).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 900).alias("text"))
+    labels = spark.createDataFrame([(5, 1), (6, 0)], "doc_id long, toxic int")
+    picked = [labelled_sample(d, labels, "toxic", F.lit(True), 10, "doc_id", "text").collect() for d in (docs, docs.repartition(7))]
+    assert len(picked[0]) == 1 and picked[0] == picked[1]
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from tessera.llm.common import shared_folder
+
+    context = SimpleNamespace(master="spark://somewhere:7077", getCheckpointDir=lambda: None)
+    session = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, default: None))
+    with pytest.raises(ValueError):
+        shared_folder(session)
+
+
 def test_large_ids_beside_null_ids(spark):
     """Ids that no double holds, with null ids in the same group and in other groups of the same shard."""
     large = [2**53 + 1, 2**60 + 1, 2**60 - 1, -(2**62) - 1]
