@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +13,7 @@ from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.fixity import audit, damaged, warc_record
 from tessera.llm.jaccard_join import jaccard_join
 from tessera.llm.mixing import mix
+from tessera.llm.pipeline import run
 from tessera.llm.quality import quality
 from tessera.llm.secrets import scan, scan_sql, secret_digests
 from tessera.llm.substring_dedup import without_repeats
@@ -170,7 +170,7 @@ FROM keyed
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_exact_dedup": op1_exact_dedup, "op2_quality": op2_quality, "op3_secret_scan": op3_secret_scan, "op5_token_counts": op5_token_counts, "op4_decontamination": op4_decontamination, "op6_fixity_audit": op6_fixity_audit, "op7_substring_dedup": op7_substring_dedup, "op8_toxicity": op8_toxicity, "op9_jaccard_join": op9_jaccard_join, "op10_mix_sources": op10_mix_sources, "pipeline": corpus_pipeline.run}
+    return {"op1_exact_dedup": op1_exact_dedup, "op2_quality": op2_quality, "op3_secret_scan": op3_secret_scan, "op5_token_counts": op5_token_counts, "op4_decontamination": op4_decontamination, "op6_fixity_audit": op6_fixity_audit, "op7_substring_dedup": op7_substring_dedup, "op8_toxicity": op8_toxicity, "op9_jaccard_join": op9_jaccard_join, "op10_mix_sources": op10_mix_sources, "pipeline": run}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -3,8 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-from tessera.llm import registry
+from tessera.llm import pipeline, registry
 from tessera.llm.common import fold_of
 from tessera.llm.decontamination import contaminated
 from tessera.llm.exact_dedup import exact_dedup
@@ -128,7 +127,7 @@ def test_large_ids_beside_null_ids(spark):
     got = sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup(docs).collect()), key=key)
     want = [(i, 2**60 + 1, 5, i == 2**60 + 1) for i in [*large, None]] + [(None, None, 1, True)] + [(i, 2**53 + 5, 3, i == 2**53 + 5) for i in (2**53 + 3, 2**53 + 5, None)]
     assert got == sorted(want, key=key)
-    stage = dict(corpus_pipeline.STAGES)["exact dedup"]
+    stage = dict(pipeline.STAGES)["exact dedup"]
     kept = {(r["doc_id"], r["text"]) for r in stage(spark, docs, None).collect()}
     assert kept == {(2**60 + 1, "same"), (None, "alone"), (2**53 + 5, "other")}
 
@@ -157,9 +156,9 @@ def test_audit_reports_what_only_the_replica_has(spark):
 
 @pytest.mark.parametrize("k", range(4))
 def test_stages_keep_the_columns(spark, odd, sf_dir, k):
-    name, stage = corpus_pipeline.STAGES[k]
+    name, stage = pipeline.STAGES[k]
     kept = stage(spark, odd, sf_dir)
-    assert kept.columns == corpus_pipeline.COLUMNS
+    assert kept.columns == pipeline.COLUMNS
     got = [(r["doc_id"], r["text"]) for r in kept.collect()]
     assert (None, "no id") in got and (2**60, "large id") in got and len(got) >= 6
     if k in (1, 2):
@@ -167,6 +166,15 @@ def test_stages_keep_the_columns(spark, odd, sf_dir, k):
     assert stage(spark, odd.limit(0), sf_dir).count() == 0
 
 
+def test_the_mixing_stage_on_odd_rows(spark, odd, sf_dir):
+    stage = pipeline.STAGES[4][1]
+    made = stage(spark, odd, sf_dir)
+    assert made.columns == ["doc_id", "size", "source_size", "target", "taken"]
+    got = made.collect()
+    assert sorted((r["doc_id"] or -1) for r in got) == sorted((i or -1) for i, _ in TEXTS)
+    assert all(r["taken"] <= 3 * r["size"] for r in got) and stage(spark, odd.limit(0), sf_dir).count() == 0
+
+
 def test_pipeline_runs_and_its_decisions_hold(spark, sf_dir):
     made = registry.queries()["pipeline"](spark, sf_dir).toPandas()
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").toPandas().set_index("doc_id")
@@ -175,4 +183,6 @@ def test_pipeline_runs_and_its_decisions_hold(spark, sf_dir):
     toxic = {r["doc_id"] for r in registry.queries()["op8_toxicity"](spark, sf_dir).where("predicted = 1").collect()}
     leaks = {r["doc_id"] for r in registry.queries()["op4_decontamination"](spark, sf_dir).collect()}
     assert not set(made.doc_id) & (toxic | leaks)
-    assert len(corpus_pipeline.STAGES) == 5
+    assert len(pipeline.STAGES) == 5
+    again = pipeline.run(spark, sf_dir).toPandas()
+    assert sorted(map(tuple, again.to_numpy().tolist())) == sorted(map(tuple, made.to_numpy().tolist()))
