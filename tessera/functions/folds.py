@@ -65,6 +65,28 @@ def filtered_regimes(densities: Column, start: list[float], moves: list[list[flo
     return F.aggregate(densities, zero, step)
 
 
+def smoothed_regimes(densities: Column, start: list[float], moves: list[list[float]]) -> Column:
+    """Probabilities of the states at each time given the whole series: an array over time, by both scaled passes."""
+    k = range(len(start))
+    added = lambda cells: sum(cells[1:], cells[0])
+
+    def scaled(cells):
+        return let(F.array(*cells), lambda x: F.array(*[x[j] / added([x[i] for i in k]) for j in k]))
+
+    def onward(done, b):
+        last = F.element_at(done, -1)
+        return F.concat(done, F.array(scaled([added([last[i] * moves[i][j] for i in k]) * b[j] for j in k])))
+
+    def backward(done, b):
+        last = F.element_at(done, -1)
+        return F.concat(done, F.array(scaled([added([last[j] * b[j] * moves[i][j] for j in k]) for i in k])))
+
+    rest = F.size(densities) - 1
+    ahead = F.aggregate(F.slice(densities, F.lit(2), rest), F.array(scaled([F.get(densities, 0)[j] * start[j] for j in k])), onward)
+    behind = F.aggregate(F.slice(F.reverse(densities), F.lit(1), rest), F.array(literal([1.0] * len(start))), backward)
+    return F.zip_with(ahead, F.reverse(behind), lambda a, b: scaled([a[j] * b[j] for j in k]))
+
+
 def softmax(logits: list[Column]) -> list[Column]:
     top = F.greatest(*logits)
     e = [F.exp(x - top) for x in logits]

@@ -175,11 +175,13 @@ def stationary(moves: np.ndarray) -> np.ndarray:
 
 
 def aligned(model: Regimes, reference: Regimes) -> Regimes:
-    """The model with its regimes in the order that is nearest to the reference's."""
-    vol = lambda m: 0.5 * np.log(np.trace(m.covs, axis1=1, axis2=2))
-    scale = np.sqrt(np.trace(reference.covs, axis1=1, axis2=2).mean())
-    cost = np.abs(vol(reference)[:, None] - vol(model)[None]) + np.linalg.norm(reference.means[:, None] - model.means[None], axis=2) / scale
-    return model.reordered(best_assignment(cost))
+    """The model with its regimes in the order that is nearest to the reference's.
+
+    Near is the squared distance of each fund's log volatility and standardised mean.
+    """
+    variances = lambda m: np.diagonal(m.covs, axis1=1, axis2=2)
+    gaps = [0.5 * np.log(variances(reference)[:, None] / variances(model)[None]), (reference.means[:, None] - model.means[None]) / np.sqrt(variances(reference)).mean(0)]
+    return model.reordered(best_assignment(sum(np.square(g).sum(-1) for g in gaps)))
 
 
 def regime_rows(model: Regimes, funds: list[str], per_year: int = 12) -> list[tuple]:

@@ -31,7 +31,7 @@ def _factor(sex, age):
 
 def _fitted(spark, sf_dir, k: int = 2):
     x = regimes.matrix(history(spark, sf_dir))
-    return x, regimes.fit(x, k, 5, 11)
+    return x, regimes.unpacked(regimes.select_regimes(spark, x, (k,), 10).first())
 
 
 @query()

@@ -354,20 +354,40 @@ _START, _STAY = [0.6, 0.4], [[0.9, 0.1], [0.2, 0.8]]
 _SPREAD = (0.02, 0.06)
 
 
-@query(f"""WITH RECURSIVE {t.FUND_MONTHS},
+_FORWARD = f"""{t.FUND_MONTHS},
 s AS (SELECT fund, CAST(row_number() OVER (PARTITION BY fund ORDER BY month) AS INT) AS t, {", ".join(f"exp(-0.5 * (r / {v!r}::DOUBLE) * (r / {v!r}::DOUBLE)) / ({v!r}::DOUBLE * sqrt(2 * pi())) AS b{k}" for k, v in enumerate(_SPREAD))} FROM fund_months),
 f AS (
   SELECT fund, t, ln(x0 + x1) AS ll, x0 / (x0 + x1) AS p0, x1 / (x0 + x1) AS p1 FROM (SELECT fund, t, {_START[0]} * b0 AS x0, {_START[1]} * b1 AS x1 FROM s WHERE t = 1)
   UNION ALL
   SELECT fund, t, ll + ln(x0 + x1), x0 / (x0 + x1), x1 / (x0 + x1) FROM (
-    SELECT s.fund, s.t, f.ll, (p0 * 0.9::DOUBLE + p1 * 0.2::DOUBLE) * b0 AS x0, (p0 * 0.1::DOUBLE + p1 * 0.8::DOUBLE) * b1 AS x1 FROM f JOIN s ON s.fund = f.fund AND s.t = f.t + 1))
+    SELECT s.fund, s.t, f.ll, (p0 * 0.9::DOUBLE + p1 * 0.2::DOUBLE) * b0 AS x0, (p0 * 0.1::DOUBLE + p1 * 0.8::DOUBLE) * b1 AS x1 FROM f JOIN s ON s.fund = f.fund AND s.t = f.t + 1))"""
+
+
+@query(f"""WITH RECURSIVE {_FORWARD}
 SELECT fund, round(arg_max(ll, t), 5) AS loglik, round(arg_max(p0, t), 6) AS calm, CAST(max(t) AS INT) AS months FROM f GROUP BY fund""")
 def hmm_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = _dense(spark, sf_dir).select("fund", folds.filtered_regimes(F.col("dense"), _START, _STAY).alias("f"))
+    return made.select("fund", F.round("f.loglik", 5).alias("loglik"), F.round(F.get("f.probs", 0), 6).alias("calm"), F.col("f.t").alias("months"))
+
+
+def _dense(spark, sf_dir):
     r = lambda x, v: F.exp(-0.5 * (x / v) * (x / v)) / (v * F.sqrt(2 * F.pi()))
     one = t.fund_months(spark, sf_dir).groupBy("fund").agg(F.transform(F.array_sort(F.collect_list(F.struct("month", "r"))), lambda x: x["r"]).alias("r"))
-    dense = F.transform("r", lambda x: F.array(*[r(x, v) for v in _SPREAD]))
-    made = one.select("fund", folds.filtered_regimes(dense, _START, _STAY).alias("f"))
-    return made.select("fund", F.round("f.loglik", 5).alias("loglik"), F.round(F.get("f.probs", 0), 6).alias("calm"), F.col("f.t").alias("months"))
+    return one.select("fund", F.transform("r", lambda x: F.array(*[r(x, v) for v in _SPREAD])).alias("dense"))
+
+
+@query(f"""WITH RECURSIVE {_FORWARD},
+e AS (SELECT fund, max(t) AS t FROM s GROUP BY fund),
+g AS (
+  SELECT fund, t, 1.0::DOUBLE AS q0, 1.0::DOUBLE AS q1 FROM e
+  UNION ALL
+  SELECT fund, t, x0 / (x0 + x1), x1 / (x0 + x1) FROM (
+    SELECT s.fund, g.t - 1 AS t, 0.9::DOUBLE * b0 * q0 + 0.1::DOUBLE * b1 * q1 AS x0, 0.2::DOUBLE * b0 * q0 + 0.8::DOUBLE * b1 * q1 AS x1 FROM g JOIN s ON s.fund = g.fund AND s.t = g.t WHERE g.t > 1))
+SELECT fund, t, round(p0 * q0 / (p0 * q0 + p1 * q1), 6) AS calm FROM f JOIN g USING (fund, t)""")
+def hmm_posterior(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chance of the calm state in each month given all months of the fund, before and after."""
+    made = _dense(spark, sf_dir).select("fund", F.posexplode(folds.smoothed_regimes(F.col("dense"), _START, _STAY)).alias("k", "p"))
+    return made.select("fund", (F.col("k") + 1).alias("t"), F.round(F.get("p", 0), 6).alias("calm"))
 
 
 @query(f"""WITH RECURSIVE {t.FUND_MONTHS},
