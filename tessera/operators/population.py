@@ -13,6 +13,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +22,7 @@ from tessera.functions.numerics import beta_quantile, normal_cdf, normal_quantil
 from tessera.functions.random import uniform
 from tessera.operators import pension
 from tessera.operators.scenarios import formal_months
-from tessera.operators.stats import quintiles
+from tessera.operators.stats import exact_percentiles, quintiles
 
 #: Most cells of a growth matrix that is collected and broadcast; more scenarios are taken in blocks.
 MOST_CELLS = 4_000_000
@@ -66,13 +67,20 @@ def scenario_blocks(paths: DataFrame, months: int) -> list[tuple[int, DataFrame]
     return [(at, paths.where(F.col("path_id").between(ids[at], ids[min(at + size, len(ids)) - 1]))) for at in range(0, len(ids), size)]
 
 
-def balances(rows: DataFrame, key: str, contributions: dict[str, str], growth: dict[str, np.ndarray], first: int = 0) -> DataFrame:
+def growths(paths: DataFrame, sex: str, career: Career = Career(), retire_at: int | None = None, names: tuple[str, ...] = (pension.DEFAULT, pension.LIFECYCLE)) -> list[tuple[int, Broadcast]]:
+    """(number of the first scenario, growth by strategy) of each block; one that several cohorts may share."""
+    months = pension.ages(career, sex, retire_at)
+    mixes, context = pension.strategies(months, sex), paths.sparkSession.sparkContext
+    return [(first, context.broadcast({n: growth_matrix(some, mixes[n]) for n in names})) for first, some in scenario_blocks(paths, len(months))]
+
+
+def balances(rows: DataFrame, key: str, contributions: dict[str, str], growth: dict[str, np.ndarray] | Broadcast, first: int = 0) -> DataFrame:
     """(key, scenario, strategy, name...): for each array column of contributions its balance under each growth.
 
     ``contributions`` maps output names to array columns of as many months as the growths have;
     scenarios are numbered from ``first``.
     """
-    shared = rows.sparkSession.sparkContext.broadcast(growth)
+    shared = growth if isinstance(growth, Broadcast) else rows.sparkSession.sparkContext.broadcast(growth)
     names = list(contributions)
     kind = dict(rows.dtypes)[key]
 
@@ -108,18 +116,17 @@ def _with_careers(cohort: DataFrame, sex: str, career: Career, reform: Reform, c
         "person", "sex", "income", "density", worked.alias("worked"), F.element_at("salaries", -1).alias("last_salary"), F.transform("base", lambda s: s * career.contribution).alias("own_paid"),
         by(rates).alias("employer_paid"), F.aggregate(by(bonds), F.lit(0.0), lambda s, x: s + x).alias("bond_value"),
     )
-    return rows, months
-
-
-def cohort_pensions(cohort: DataFrame, paths: DataFrame, sex: str, factor: float, career: Career = Career(), reform: Reform = Reform(), c: Population = Population(), retire_at: int | None = None, employer: bool = True, flat_up_to: Column | None = None) -> DataFrame:
-    """(person, scenario, strategy, own, employer, bond, flat, total, last_salary, income, worked) of one sex."""
-    rows, months = _with_careers(cohort, sex, career, reform, c, retire_at, employer)
-    mixes = pension.strategies(months, sex)
-    blocks = []
-    for first, some in scenario_blocks(paths, len(months)):
-        growth = {name: growth_matrix(some, mixes[name]) for name in (pension.DEFAULT, pension.LIFECYCLE)}
-        blocks.append(balances(rows, "person", {"own": "own_paid", "employer": "employer_paid"}, growth, first))
-    made = reduce(DataFrame.unionByName, blocks)
+    return rows
+
+
+def cohort_pensions(cohort: DataFrame, paths: DataFrame, sex: str, factor: float, career: Career = Career(), reform: Reform = Reform(), c: Population = Population(), retire_at: int | None = None, employer: bool = True, flat_up_to: Column | None = None, grown: list[tuple[int, Broadcast]] | None = None) -> DataFrame:
+    """(person, scenario, strategy, own, employer, bond, flat, total, last_salary, income, worked) of one sex.
+
+    ``grown`` are the growths of these paths, sex, career and age if they are known already.
+    """
+    rows = _with_careers(cohort, sex, career, reform, c, retire_at, employer)
+    grown = growths(paths, sex, career, retire_at) if grown is None else grown
+    made = reduce(DataFrame.unionByName, [balances(rows, "person", {"own": "own_paid", "employer": "employer_paid"}, growth, first) for first, growth in grown])
     facts = rows.select("person", "sex", "income", "worked", "last_salary", (F.col("bond_value") / factor).alias("bond"))
     made = made.join(facts, "person").withColumn("own", F.col("own") / factor).withColumn("employer", F.col("employer") / factor)
     base = F.col("own") + F.col("employer") + F.col("bond")
@@ -129,24 +136,29 @@ def cohort_pensions(cohort: DataFrame, paths: DataFrame, sex: str, factor: float
 
 
 def cohort_summary(made: DataFrame, goal: float, by_quintile: bool) -> DataFrame:
-    """Medians and shares by sex, and by quintile of income within it if asked; persons by their median scenario."""
+    """Medians and shares by sex, and by quintile of income within it if asked; persons by their median scenario.
+
+    All medians of groups of people come from one exact ranking of (metric, value); only a
+    person's own scenarios are held together.
+    """
     keys = ["sex", "quintile"] if by_quintile else ["sex"]
     if by_quintile:
-        cut = quintiles(made.select("person", "sex", "income").distinct(), ["sex"], "income").select("person", "quintile")
+        cut = quintiles(made.select("person", "sex", "income").distinct(), ["sex"], "income", large=True).select("person", "quintile")
         made = made.join(cut, "person")
-    median = lambda x: F.percentile(x, F.lit(0.5))
-    default = made.where(F.col("strategy") == pension.DEFAULT)
     last = F.greatest(F.col("last_salary"), F.lit(1e-9))
+    default = made.where(F.col("strategy") == pension.DEFAULT).select(*keys, "person", "own", "total", "flat", (F.col("own") / last).alias("own_rate"), (F.col("total") / last).alias("total_rate"))
     plain = default.groupBy(*keys).agg(
-        F.count_distinct("person").alias("people"), median(F.col("own")).alias("own"), median(F.col("total")).alias("total"), median(F.col("own") / last).alias("own_rate"),
-        median(F.col("total") / last).alias("total_rate"), F.avg((F.col("total") / last >= goal).cast("double")).alias("reach"), F.avg((F.col("flat") > 0.5 * F.col("total")).cast("double")).alias("mostly_flat"),
-        median(F.col("flat")).alias("flat"),
+        F.count_distinct("person").alias("people"), F.avg((F.col("total_rate") >= goal).cast("double")).alias("reach"), F.avg((F.col("flat") > 0.5 * F.col("total")).cast("double")).alias("mostly_flat"),
     )
     wide = made.groupBy("person", "scenario", *keys).agg(*[F.max(F.when(F.col("strategy") == s, F.col("total"))).alias(n) for s, n in ((pension.DEFAULT, "d"), (pension.LIFECYCLE, "l"))])
-    person = wide.groupBy("person", *keys).agg(F.min("d").alias("least"), median(F.try_divide(F.col("l"), F.col("d"))).alias("ratio"))
-    gain = F.when(F.col("least") > 0, F.col("ratio") - 1)
-    gains = person.groupBy(*keys).agg(median(gain).alias("lifecycle_gain"), F.avg((gain > 0).cast("double")).alias("gainers"), F.avg((F.col("least") <= 0).cast("double")).alias("without"))
-    return plain.join(gains, keys)
+    person = wide.groupBy("person", *keys).agg(F.min("d").alias("least"), F.percentile(F.try_divide(F.col("l"), F.col("d")), F.lit(0.5)).alias("ratio"))
+    person = person.withColumn("lifecycle_gain", F.when(F.col("least") > 0, F.col("ratio") - 1))
+    gains = person.groupBy(*keys).agg(F.avg((F.col("lifecycle_gain") > 0).cast("double")).alias("gainers"), F.avg((F.col("least") <= 0).cast("double")).alias("without"))
+    metrics = ["own", "total", "own_rate", "total_rate", "flat"]
+    long = default.unpivot(keys, metrics, "metric", "value").unionByName(person.unpivot(keys, ["lifecycle_gain"], "metric", "value"))
+    middle = exact_percentiles(long, [*keys, "metric"], "value", {"p50": 0.5})
+    medians = middle.groupBy(*keys).agg(*[F.max(F.when(F.col("metric") == m, F.col("p50"))).alias(m) for m in [*metrics, "lifecycle_gain"]])
+    return plain.join(medians, keys).join(gains, keys)
 
 
 def shapley(values: DataFrame, factors: list[str]) -> DataFrame:

@@ -184,11 +184,12 @@ def _incomes(paths, factor, career) -> DataFrame:
 
 def _population(spark, paths, factor, career, sizes) -> dict[str, DataFrame]:
     cohort = population.people(spark, sizes.people).persist()
-    top = cohort.agg(F.percentile("income", F.lit(0.9))).first()[0]
+    top = stats.exact_percentiles(cohort, [], "income", {"top": 0.9}).first()["top"]
     out = None
     for sex in "HM":
         one = population.cohort_pensions(cohort.where(F.col("sex") == sex), paths, sex, factor(sex), career, flat_up_to=F.lit(top))
         out = one if out is None else out.unionByName(one)
+    out = out.persist()
     return {
         "population": population.cohort_summary(out, career.goal, by_quintile=False),
         "population_quintiles": population.cohort_summary(out, career.goal, by_quintile=True),

@@ -117,14 +117,45 @@ def fee_break_even(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def population_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = scenarios.returns_of(paths(spark, sf_dir, 20, 240))
+    made = scenarios.returns_of(paths(spark, sf_dir, 20, 240)).persist()
     career, out = Career(start_age=45), None
-    cohort = population.people(spark, 200)
-    top = cohort.agg(F.percentile("income", F.lit(0.9))).first()[0]
+    cohort = population.people(spark, 200).persist()
+    top = stats.exact_percentiles(cohort, [], "income", {"top": 0.9}).first()["top"]
     for sex in "HM":
         one = population.cohort_pensions(cohort.where(F.col("sex") == sex), made, sex, _FACTOR[sex], career, flat_up_to=F.lit(top))
         out = one if out is None else out.unionByName(one)
-    return population.cohort_summary(out, 0.4, by_quintile=True)
+    return population.cohort_summary(out.persist(), 0.4, by_quintile=True)
+
+
+@query("""WITH people AS (SELECT c_custkey AS person, CASE WHEN c_nationkey % 2 = 0 THEN 'H' ELSE 'M' END AS sex, greatest(CAST(c_acctbal AS DOUBLE), 0.0::DOUBLE) AS income FROM customer),
+edges AS (SELECT sex, quantile_cont(income, [0.2::DOUBLE, 0.4::DOUBLE, 0.6::DOUBLE, 0.8::DOUBLE]) AS e FROM people GROUP BY sex),
+cut AS (SELECT person, sex, income, CASE WHEN income <= e[1] THEN 1 WHEN income <= e[2] THEN 2 WHEN income <= e[3] THEN 3 WHEN income <= e[4] THEN 4 ELSE 5 END AS quintile FROM people JOIN edges USING (sex)),
+made AS (
+  SELECT person, sex, quintile, k, s, income * (1 + 0.05::DOUBLE * k + 0.02::DOUBLE * s * ((person + k * k) % 5 - 2)) AS own,
+         CASE WHEN person % 3 = 0 THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, 2000 - 0.5::DOUBLE * income) END AS flat, 100 + income / 2 AS last
+  FROM cut, (SELECT unnest(range(5)) AS k) ks, (SELECT unnest(range(2)) AS s) ss),
+plain AS (
+  SELECT sex, quintile, count(DISTINCT person) AS people, median(own) AS own, median(own + flat) AS total, median(own / last) AS own_rate, median((own + flat) / last) AS total_rate,
+         avg(CAST((own + flat) / last >= 2.1::DOUBLE AS INT)) AS reach, avg(CAST(flat > 0.5::DOUBLE * (own + flat) AS INT)) AS mostly_flat, median(flat) AS flat
+  FROM made WHERE s = 0 GROUP BY sex, quintile),
+wide AS (SELECT person, sex, quintile, k, max(own + flat) FILTER (WHERE s = 0) AS d, max(own + flat) FILTER (WHERE s = 1) AS l FROM made GROUP BY person, sex, quintile, k),
+person AS (SELECT sex, quintile, min(d) AS least, median(CASE WHEN d <> 0 THEN l / d END) AS ratio FROM wide GROUP BY person, sex, quintile),
+gain AS (SELECT sex, quintile, least, CASE WHEN least > 0 THEN ratio - 1 END AS gain FROM person),
+gains AS (SELECT sex, quintile, median(gain) AS lifecycle_gain, avg(CAST(gain > 0 AS INT)) AS gainers, avg(CAST(least <= 0 AS INT)) AS without FROM gain GROUP BY sex, quintile)
+SELECT sex, quintile, people, round(own, 6) AS own, round(total, 6) AS total, round(own_rate, 6) AS own_rate, round(total_rate, 6) AS total_rate, round(reach, 6) AS reach, round(mostly_flat, 6) AS mostly_flat,
+       round(flat, 6) AS flat, round(lifecycle_gain, 6) AS lifecycle_gain, round(gainers, 6) AS gainers, round(without, 6) AS without
+FROM plain JOIN gains USING (sex, quintile)""")
+def cohort_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary of a cohort by quintile, over all customers with pensions by formula in five scenarios."""
+    person, k, s, income = F.col("person"), F.col("scenario"), F.col("s"), F.col("income")
+    rows = t.table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("person"), F.when(F.col("c_nationkey") % 2 == 0, "H").otherwise("M").alias("sex"), F.greatest(F.col("c_acctbal").cast("double"), F.lit(0.0)).alias("income"),
+        F.explode(F.array(*map(F.lit, range(5)))).alias("scenario"),
+    )
+    rows = rows.withColumn("s", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("strategy", F.when(s == 0, pension.DEFAULT).otherwise(pension.LIFECYCLE))
+    rows = rows.withColumn("own", income * (1 + 0.05 * k + 0.02 * s * ((person + k * k) % 5 - 2))).withColumn("flat", F.when(person % 3 == 0, 0.0).otherwise(F.greatest(F.lit(0.0), 2000 - 0.5 * income)))
+    made = population.cohort_summary(rows.withColumn("total", F.col("own") + F.col("flat")).withColumn("last_salary", 100 + income / 2), 2.1, by_quintile=True)
+    return rounded(made, 6, *[c for c in made.columns if c not in ("sex", "quintile", "people")])
 
 
 @query()

@@ -124,6 +124,15 @@ def test_scenarios_in_blocks_are_those_of_one(spark, monkeypatch):
     assert len(population.scenario_blocks(rows, 120)) == 4 and run() == pytest.approx(whole) and len(whole) == 5 * 7 * 2
 
 
+def test_shared_growths_are_those_of_each_call(spark):
+    rows, _ = paths(spark, 4, 60)
+    cohort, career = population.people(spark, 6, sex="M"), Career(start_age=55)
+    run = lambda **k: {(r["person"], r["scenario"]): r["total"] for r in population.cohort_pensions(cohort, rows, "M", 190.0, career, retire_at=60, **k).where(F.col("strategy") == pension.DEFAULT).collect()}
+    shared = population.growths(rows, "M", career, 60, (pension.DEFAULT,))
+    own = run()
+    assert run(grown=shared) == pytest.approx(own) and run(grown=shared) == pytest.approx(own) and len(own) == 6 * 4
+
+
 def test_parts_add_up_to_the_whole(spark):
     values = {m: float(np.random.default_rng(m).normal()) for m in range(16)}
     made = population.shapley(spark.createDataFrame(list(values.items()), "mask int, value double"), ["a", "b", "c", "d"]).collect()
