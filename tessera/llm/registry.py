@@ -12,6 +12,7 @@ from tessera.llm.decontamination import contaminated, contaminated_sql
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.fixity import audit, damaged, warc_record
 from tessera.llm.jaccard_join import jaccard_join
+from tessera.llm.lexical_search import ranked_search
 from tessera.llm.mixing import mix
 from tessera.llm.pipeline import run
 from tessera.llm.quality import quality
@@ -19,6 +20,7 @@ from tessera.llm.secrets import scan, scan_sql, secret_digests
 from tessera.llm.substring_dedup import without_repeats
 from tessera.llm.token_counts import token_counts, tokenizer_path
 from tessera.llm.toxicity import toxicity
+from tessera.llm.whitening import whiten
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -169,9 +171,54 @@ FROM keyed
 """
 
 
+#: Documents that a search returns for each item.
+SEARCH_TOP = 10
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), SEARCH_TOP)
+
+
+OP12_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS doc_no, doc_id, regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words
+  FROM documents WHERE text IS NOT NULL),
+items AS (
+  SELECT row_number() OVER () AS item_no, item_id, regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words
+  FROM benchmark WHERE text IS NOT NULL),
+lowered AS (
+  SELECT doc_no, translate(unnest(words), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM docs),
+asked AS (
+  SELECT item_no, term, count(*) AS times FROM (
+    SELECT item_no, translate(unnest(words), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM items) GROUP BY item_no, term),
+postings AS (
+  SELECT doc_no, term, count(*) AS tf FROM lowered WHERE term IN (SELECT term FROM asked) GROUP BY doc_no, term),
+totals AS (
+  SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(len(words)) AS BIGINT) AS all_terms FROM docs WHERE len(words) > 0),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM postings, totals GROUP BY term, n_docs),
+added AS (
+  SELECT p.doc_no, p.term, w.w * ((1000000000 * p.tf) // (1000 * p.tf + 8 * (25 + (75 * CAST(len(d.words) AS BIGINT) * t.n_docs) // t.all_terms))) AS gain
+  FROM postings p JOIN weights w USING (term) JOIN docs d USING (doc_no), totals t),
+scored AS (
+  SELECT a.item_no, p.doc_no, CAST(sum(a.times * p.gain) AS BIGINT) AS score
+  FROM asked a JOIN added p USING (term) GROUP BY a.item_no, p.doc_no),
+ranked AS (
+  SELECT i.item_id, d.doc_id, s.score,
+         row_number() OVER (PARTITION BY s.item_no ORDER BY s.score DESC, d.doc_id ASC NULLS LAST) AS rank
+  FROM scored s JOIN items i USING (item_no) JOIN docs d USING (doc_no) WHERE s.score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_exact_dedup": op1_exact_dedup, "op2_quality": op2_quality, "op3_secret_scan": op3_secret_scan, "op5_token_counts": op5_token_counts, "op4_decontamination": op4_decontamination, "op6_fixity_audit": op6_fixity_audit, "op7_substring_dedup": op7_substring_dedup, "op8_toxicity": op8_toxicity, "op9_jaccard_join": op9_jaccard_join, "op10_mix_sources": op10_mix_sources, "pipeline": run}
+    return {"op1_exact_dedup": op1_exact_dedup, "op2_quality": op2_quality, "op3_secret_scan": op3_secret_scan, "op5_token_counts": op5_token_counts, "op4_decontamination": op4_decontamination, "op6_fixity_audit": op6_fixity_audit, "op7_substring_dedup": op7_substring_dedup, "op8_toxicity": op8_toxicity, "op9_jaccard_join": op9_jaccard_join, "op10_mix_sources": op10_mix_sources, "op12_lexical_search": op12_lexical_search, "op13_whitening": op13_whitening, "pipeline": run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op3_secret_scan": scan_sql(), "op4_decontamination": contaminated_sql(), "op6_fixity_audit": OP6_SQL, "op10_mix_sources": mix_sql("documents")}
+    return {"op1_exact_dedup": OP1_SQL, "op3_secret_scan": scan_sql(), "op4_decontamination": contaminated_sql(), "op6_fixity_audit": OP6_SQL, "op10_mix_sources": mix_sql("documents"), "op12_lexical_search": OP12_SQL}
