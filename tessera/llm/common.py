@@ -56,6 +56,14 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def apart(key: str) -> Column:
+    """The key as Spark doesn't know it, so that a checkpointed side is shuffled with the other one.
+
+    Only where both sides of a join come straight from a shuffle can Spark split a key with very many rows.
+    """
+    return F.col(key).bitwiseXOR(F.lit(0)).alias(key)
+
+
 def broadcast_if_small(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only where the counted rows are within the bound; otherwise Spark shuffles."""
     return F.broadcast(df) if rows <= most else df

@@ -18,6 +18,7 @@ from tessera.llm.pipeline import run
 from tessera.llm.quality import quality
 from tessera.llm.secrets import scan, scan_sql, secret_digests
 from tessera.llm.substring_dedup import without_repeats
+from tessera.llm.suffix_dedup import without_repeated_strings
 from tessera.llm.token_counts import token_counts, tokenizer_path
 from tessera.llm.toxicity import toxicity
 from tessera.llm.whitening import whiten
@@ -171,6 +172,13 @@ FROM keyed
 """
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, what it loses and a digest of what it keeps."""
+    kept = without_repeated_strings(table(spark, sf_dir, "documents"))
+    n_removed = F.aggregate("removed", F.lit(0).cast("bigint"), lambda n, r: n + r["stop"] - r["start"])
+    return kept.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("removed").cast("bigint").alias("n_spans"), F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
 #: Documents that a search returns for each item.
 SEARCH_TOP = 10
 
@@ -217,7 +225,7 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_exact_dedup": op1_exact_dedup, "op2_quality": op2_quality, "op3_secret_scan": op3_secret_scan, "op5_token_counts": op5_token_counts, "op4_decontamination": op4_decontamination, "op6_fixity_audit": op6_fixity_audit, "op7_substring_dedup": op7_substring_dedup, "op8_toxicity": op8_toxicity, "op9_jaccard_join": op9_jaccard_join, "op10_mix_sources": op10_mix_sources, "op12_lexical_search": op12_lexical_search, "op13_whitening": op13_whitening, "pipeline": run}
+    return {"op1_exact_dedup": op1_exact_dedup, "op2_quality": op2_quality, "op3_secret_scan": op3_secret_scan, "op5_token_counts": op5_token_counts, "op4_decontamination": op4_decontamination, "op6_fixity_audit": op6_fixity_audit, "op7_substring_dedup": op7_substring_dedup, "op8_toxicity": op8_toxicity, "op9_jaccard_join": op9_jaccard_join, "op10_mix_sources": op10_mix_sources, "op11_suffix_dedup": op11_suffix_dedup, "op12_lexical_search": op12_lexical_search, "op13_whitening": op13_whitening, "pipeline": run}
 
 
 def oracle_sql() -> dict[str, str]:
