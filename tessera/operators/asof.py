@@ -5,20 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.segments import ROWS_PER_SEGMENT, marked
 
-def asof_backward(left: DataFrame, right: DataFrame, by: list[str], on: str, right_on: str, value: str) -> DataFrame:
+
+def asof_backward(left: DataFrame, right: DataFrame, by: list[str], on: str, right_on: str, value: str, rows_per_segment: int = ROWS_PER_SEGMENT) -> DataFrame:
     """Each left row with the right side's latest (right_on, value) at or before it.
 
     Both sides are laid in one order per key and the last right row is carried forward:
-    one shuffle and one sort, whatever the distance between rows. A right row of the same
-    moment counts; of several, the one with the largest value.
+    one shuffle and one sort, whatever the distance between rows. A key with more rows than
+    ``rows_per_segment`` is cut into ranges of time, which take over the mark of the range before.
+    A right row of the same moment counts; of several, the one with the largest value. Without keys
+    both sides are one series.
     """
     carried = F.struct(F.col(right_on).alias("at"), F.col(value).alias("value"))
-    rows = left.withColumn("_side", F.lit(1)).withColumn("_when", F.col(on))
-    marks = right.where(F.col(right_on).isNotNull()).select(*by, carried.alias("_mark"), F.lit(0).alias("_side"), F.col(right_on).alias("_when"))
-    both = rows.unionByName(marks, allowMissingColumns=True)
-    w = Window.partitionBy(*by).orderBy("_when", "_side", "_mark").rowsBetween(Window.unboundedPreceding, 0)
-    both = both.withColumn("_last", F.last("_mark", True).over(w)).where("_side = 1")
+    rows = left.withColumn("_when", F.col(on))
+    marks = right.where(F.col(right_on).isNotNull()).select(*by, carried.alias("_mark"), F.col(right_on).alias("_when"))
+    both = marked(rows, marks, by, "_when", "_mark", rows_per_segment)
     return both.select(*left.columns, F.col("_last.at").alias(right_on), F.col("_last.value").alias(value))
 
 

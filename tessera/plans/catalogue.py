@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import models, relational, simulation
+from tessera.plans import long_series, models, relational, simulation
 
-MODULES = (relational, simulation, models)
+MODULES = (relational, long_series, simulation, models)
 
 
 def queries() -> dict:
