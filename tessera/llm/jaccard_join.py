@@ -13,12 +13,15 @@ Christiani, Pagh and Sivertsen 2018 do with other sketches); what may be linked
 a cluster. Equal clusters of several leaves are one. Fingerprints are fetched for the sets
 of clusters alone, and a cluster is compared exactly, by products of 0/1 matrices.
 
-A node that its children would not split, as a fourth or more of it are near copies of each
-other, is a hot node: that core leaves the walk. Half of its similarity is proven without
-pairs: Jaccard distance is a metric, so sets within half the allowed distance of one and the
-same set, here that of the n-grams most sets of the node have, are all linked (a ball). Only
-sets outside the ball are compared with the rest of their hot node, chunk by chunk, so no
-task ever holds more than two chunks.
+A node that its children would not split is one whose sets have much in common: a template, a
+license, a family of copies. There sets choose among the n-grams that fewer than half of the
+node have. A pair at the threshold shares less of those, so a set takes as many branches as
+keep its odds, by how much of it is common. Where too little is left to choose from, sets are the
+node's core: they leave the walk, and are compared with each other and with those sets of the
+node that have enough in common with them. Half of that is proven without pairs: Jaccard
+distance is a metric, so sets within half the allowed distance of one and the same set,
+that of the n-grams most sets have, are all linked (a ball). What is compared goes chunk by
+chunk, so no task ever holds more than two chunks.
 
 A pair that meets in several clusters is counted in the least of them only. Pairs are never
 written out: a block returns, for each of its sets, how many links it has there and the
@@ -42,7 +45,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import durable, map_rows, partitions, whole_text
+from tessera.llm.common import apart, durable, map_rows, partitions, whole_text
 from tessera.llm.components import components
 from tessera.llm.toxicity import WordHashes
 
@@ -54,9 +57,10 @@ BLOCK = 512
 #: Fingerprints of a sketch, and the share of them that two sets of similarity 0.8 have in common at
 #: least (8 of 24 or fewer where 19 are expected at least: odds under 1 in 100,000).
 SKETCH, SKETCH_SHARE = 24, 0.375
-#: Sets of a hot node that are asked for its common n-grams, about; the shares of a set's sketch that must
-#: be common for it to be in the core, or near it; the least share of the node that a core must be.
-ASKED, CORE_SHARE, NEAR_SHARE, LEAST_CORE = 48, 0.7, 0.25, 0.25
+#: Sets of a node that are asked for its common n-grams, about.
+ASKED = 48
+#: Where a pair at the threshold shares less than this of what isn't common, sets belong to the core.
+LEAST_REST = 0.18
 #: From this level on nodes are compared whole, if a walk should ever come so far.
 DEEPEST = 40
 #: Cells of a 0/1 matrix that a worker builds at a time.
@@ -71,10 +75,44 @@ def branches_for(threshold: float) -> int:
 
 def runs_for(threshold: float, recall: float = TARGET_RECALL) -> int:
     """Walks needed: a pair at the threshold comes through any number of levels with s = 1 - (1 - threshold s)^branches."""
+    s = survival(threshold)
+    return 1 if s >= recall else math.ceil(math.log(1 - recall) / math.log(1 - s))
+
+
+def survival(threshold: float) -> float:
+    """The odds that a pair at the threshold comes through a run, however deep."""
     s, branches = 1.0, branches_for(threshold)
     for _ in range(DEEPEST):
         s = 1 - (1 - threshold * s) ** branches
-    return 1 if s >= recall else math.ceil(math.log(1 - recall) / math.log(1 - s))
+    return s
+
+
+def rest_similarity(common: np.ndarray, threshold: float) -> np.ndarray:
+    """How similar two sets of equal size at the threshold are without their common share."""
+    both = 2 * threshold / (1 + threshold)
+    return np.maximum(both - common, 0) / (2 - both - common)
+
+
+def rest_branches(common: np.ndarray, threshold: float) -> np.ndarray:
+    """Branches among the n-grams that aren't common with which a pair's odds don't fall; 0 for a set of the core.
+
+    A pair's common shares differ a little, so the branches are those of a slightly larger share.
+    """
+    s = survival(threshold)
+    similar = rest_similarity(np.minimum(common + 0.02, 0.999), threshold)
+    core = rest_similarity(common, threshold) < LEAST_REST
+    wanted = np.ceil(np.log(1 - s) / np.log1p(-np.maximum(similar, LEAST_REST / 2) * s)).astype(int)
+    return np.where(core, 0, np.maximum(wanted, branches_for(threshold)))
+
+
+def near_share(threshold: float) -> float:
+    """The least common share of a set that can be linked with one of the core, which may be smaller by the threshold."""
+    low, high = 0.0, 1.0
+    for _ in range(40):
+        middle = (low + high) / 2
+        low, high = (low, middle) if rest_similarity(np.array(middle), threshold) < LEAST_REST else (middle, high)
+    part = threshold / (1 + threshold)
+    return part + threshold * (part - 1 + low)
 
 
 def fingerprints(text: str, n: int, hashes: WordHashes) -> np.ndarray:
@@ -157,22 +195,11 @@ def signatures(docs: DataFrame, n: int, runs: int, branches: int, id_col: str, t
     return map_rows(rows, apply, f"row_no bigint, id bigint, text_hash bigint, set_key binary, n_set int, prints binary, {keys}")
 
 
-def _apart(key: str):
-    """The key as Spark doesn't know it, so that a checkpointed side is shuffled with the other one.
+def _children(large: DataFrame, sets: DataFrame, prints: DataFrame, level: int, branches: int) -> DataFrame:
+    """(row_no, node, edge, off, key): the nodes of the next level that the sets of large nodes go to.
 
-    Only where both sides of a join come straight from a shuffle can Spark split a key with very many rows.
+    ``off`` marks rows whose way has left the trees whose keys were made with the fingerprints.
     """
-    return F.col(key).bitwiseXOR(F.lit(0)).alias(key)
-
-
-def _children(large: DataFrame, sets: DataFrame, prints: DataFrame, level: int, branches: int) -> DataFrame:
-    """(row_no, node, edge, key): the nodes of the next level that the sets of large nodes go to."""
-    if level < LEVELS:
-        keyed = large.join(sets.select("row_no", F.col(f"keys{level + 1}").alias("_keys")), "row_no")
-        own = F.slice("_keys", (F.col("edge") * branches + 1).cast("int"), branches)
-        edges = F.sequence(F.col("edge") * branches, F.col("edge") * branches + branches - 1)
-        to = F.explode(F.arrays_zip(edges.alias("edge"), own.alias("key")))
-        return keyed.select("row_no", "node", to.alias("to")).select("row_no", "node", "to.edge", "to.key")
 
     def deeper(batches):
         for pdf in batches:
@@ -181,9 +208,18 @@ def _children(large: DataFrame, sets: DataFrame, prints: DataFrame, level: int,
             chosen = [_least(np.frombuffer(b, "<u4"), f) for b, f in zip(pdf["prints"], factors, strict=True)]
             node = np.repeat(pdf["node"].to_numpy(np.int64), branches)
             key = _names(level, edge, node.view(np.uint64), np.concatenate(chosen)) if len(pdf) else np.empty(0, np.uint64)
-            yield pd.DataFrame({"row_no": np.repeat(pdf["row_no"].to_numpy(), branches), "node": node, "edge": edge, "key": key.view(np.int64)})
+            yield pd.DataFrame({"row_no": np.repeat(pdf["row_no"].to_numpy(), branches), "node": node, "edge": edge, "off": True, "key": key.view(np.int64)})
 
-    return map_rows(large.select("row_no", "node", "edge").join(prints, "row_no"), deeper, "row_no bigint, node bigint, edge bigint, key bigint")
+    computed = large if level >= LEVELS else large.where("off")
+    out = map_rows(computed.select("row_no", "node", "edge").join(prints, "row_no"), deeper, "row_no bigint, node bigint, edge bigint, off boolean, key bigint")
+    if level < LEVELS:
+        keyed = large.where("not off").join(sets.select("row_no", F.col(f"keys{level + 1}").alias("_keys")), "row_no")
+        own = F.slice("_keys", (F.col("edge") * branches + 1).cast("int"), branches)
+        edges = F.sequence(F.col("edge") * branches, F.col("edge") * branches + branches - 1)
+        to = F.explode(F.arrays_zip(edges.alias("edge"), own.alias("key")))
+        known = keyed.select("row_no", "node", to.alias("to")).select("row_no", "node", "to.edge", F.lit(False).alias("off"), "to.key")
+        out = known.unionByName(out)
+    return out
 
 
 def _asked(size: str):
@@ -211,50 +247,71 @@ def _shared(batches, column: str, out: list[str]):
         yield pdf[out].assign(shared=shared, own=[len(x) for x in own], n_common=[len(common[b]) for b in pdf["common"]])
 
 
-def _cores(large: DataFrame, whole: DataFrame, sketches: DataFrame) -> DataFrame:
-    """(row_no, node, core, n_core) of the nodes that don't split: whether a set is much like what most sets of the node have."""
-    inside = large.join(whole.select(_apart("node")), "node", "left_semi")
-    sketched = inside.select("row_no", "node", "in_leaf").join(sketches.select("row_no", "sketch"), "row_no")
-    common = durable(_common(sketched.where(_asked("in_leaf")), "sketch", SKETCH))
-    shared = map_rows(sketched.join(common.select(_apart("node"), "common"), "node"), lambda b: _shared(b, "sketch", ["row_no", "node", "in_leaf"]), "row_no bigint, node bigint, in_leaf bigint, shared int, own int, n_common int")
-    zoned = durable(shared.select("row_no", "node", "in_leaf", (F.col("shared") >= F.col("own") * CORE_SHARE).alias("core"), (F.col("shared") >= F.col("own") * NEAR_SHARE).alias("near")))
-    enough = zoned.groupBy("node").agg(F.sum(F.col("core").cast("bigint")).alias("n_core"), F.first("in_leaf").alias("n")).where(F.col("n_core") > F.col("n") * LEAST_CORE).select("node")
-    return zoned.join(durable(enough).select(_apart("node")), "node", "left_semi")
-
-
-def leaves(sets: DataFrame, prints: DataFrame, sketches: DataFrame, block: int, branches: int) -> tuple[DataFrame, DataFrame | None]:
-    """Leaves with at least two sets, as (row_no, leaf), and hot nodes, as (row_no, leaf, in_leaf); None where there are none.
+def _rest_children(large: DataFrame, whole: DataFrame, prints: DataFrame, level: int, threshold: float) -> DataFrame:
+    """(row_no, node, share, edge, key) of the sets of nodes that don't split: where they go by what isn't common; a set of the core has one row without a key."""
+    inside = large.join(whole.select(apart("node")), "node", "left_semi").select("row_no", "node", "edge", "in_leaf").join(prints, "row_no")
+    common = durable(_common(inside.where(_asked("in_leaf")), "prints", 0))
 
-    What is dealt by node is three numbers per set and edge. The core of a hot node leaves the walk
-    there; sets that are near it are in the hot node and walk on, so that all pairs can meet.
+    def apply(batches):
+        for pdf in batches:
+            held = {b: np.frombuffer(b, "<u4") for b in set(pdf["common"])}
+            out: dict[str, list] = {c: [] for c in ("row_no", "node", "share", "edge", "key")}
+            for row, node, edge, b, c in zip(pdf["row_no"], pdf["node"], pdf["edge"], pdf["prints"], pdf["common"], strict=True):
+                own = np.frombuffer(b, "<u4")
+                rest = np.setdiff1d(own, held[c], assume_unique=True)
+                share = 1 - len(rest) / len(own)
+                n = int(rest_branches(np.array(share), threshold)) if len(rest) else 0
+                keys: list = [None]
+                edges = np.array([edge], np.int64)
+                if n:
+                    edges = np.int64(edge) * 64 + np.arange(n)
+                    chosen = _least(rest, _multipliers(level, edges))
+                    keys = _names(level, edges, np.full(n, node, np.int64).view(np.uint64), chosen).view(np.int64).tolist()
+                for name, value in (("row_no", [row] * len(keys)), ("node", [node] * len(keys)), ("share", [share] * len(keys)), ("edge", edges.tolist()), ("key", keys)):
+                    out[name] += value
+            yield pd.DataFrame(out).astype({"key": "Int64"})
+
+    met = inside.join(common.select(apart("node"), "common"), "node")
+    return map_rows(met, apply, "row_no bigint, node bigint, share double, edge bigint, key bigint")
+
+
+def leaves(sets: DataFrame, prints: DataFrame, block: int, branches: int, threshold: float) -> tuple[DataFrame, DataFrame | None]:
+    """Leaves with at least two sets, as (row_no, leaf), and hot nodes, as (row_no, leaf, core, in_leaf); None where there are none.
+
+    What is dealt by node is three numbers per set and edge. The core of a node that doesn't split leaves the
+    walk there and makes it a hot node; sets that may be linked with the core are in the hot node too
+    and walk on by what isn't common, so that all pairs can meet.
     """
-    members = sets.select("row_no", F.posexplode("keys1").alias("edge", "node")).withColumn("edge", F.col("edge").cast("bigint"))
+    members = sets.select("row_no", F.posexplode("keys1").alias("edge", "node")).withColumn("edge", F.col("edge").cast("bigint")).withColumn("off", F.lit(False))
     small, hot, level = [], [], 1
     while True:
         sizes = durable(members.groupBy("node").agg(F.count(F.lit(1)).alias("in_leaf")).where("in_leaf > 1"))
-        known = members.join(sizes.select(_apart("node"), "in_leaf"), "node")
+        known = members.join(sizes.select(apart("node"), "in_leaf"), "node")
         small.append(known.where(F.col("in_leaf") <= block).select("row_no", F.col("node").alias("leaf")))
         large = durable(known.where(F.col("in_leaf") > block))
         if large.isEmpty():
             break
         if level >= DEEPEST:
-            hot.append(large.select("row_no", F.col("node").alias("leaf")))
+            hot.append(large.select("row_no", F.col("node").alias("leaf"), F.lit(True).alias("core")))
             break
         child = durable(_children(large, sets, prints, level, branches))
         held = child.groupBy("node", "key").agg(F.count(F.lit(1)).alias("held"))
         most = held.groupBy("node").agg(F.max("held").alias("held"))
         whole = durable(sizes.join(most, "node").where("held * 2 > in_leaf").select("node"))
         if not whole.isEmpty():
-            zoned = durable(_cores(large, whole, sketches))
-            hot.append(zoned.where("core or near").select("row_no", F.col("node").alias("leaf")))
-            child = child.join(zoned.where("core").select(_apart("row_no"), "node"), ["row_no", "node"], "left_anti")
-        members = child.select("row_no", "edge", F.col("key").alias("node"))
+            rest = durable(_rest_children(large, whole, prints, level, threshold))
+            cored = durable(rest.where("key is null").select("node").distinct())
+            near = rest.where(F.col("share") >= near_share(threshold)).join(cored.select(apart("node")), "node", "left_semi")
+            hot.append(near.select("row_no", F.col("node").alias("leaf"), F.col("key").isNull().alias("core")).distinct())
+            child = child.join(whole.select(apart("node")), "node", "left_anti")
+            child = child.unionByName(rest.where("key is not null").select("row_no", "node", "edge", F.lit(True).alias("off"), "key"))
+        members = child.select("row_no", "edge", "off", F.col("key").alias("node"))
         level += 1
     if not hot:
         return reduce(DataFrame.unionByName, small), None
     hot = durable(reduce(DataFrame.unionByName, hot))
     sizes = durable(hot.groupBy("leaf").agg(F.count(F.lit(1)).alias("in_leaf")))
-    return reduce(DataFrame.unionByName, small), durable(hot.join(sizes.select(_apart("leaf"), "in_leaf"), "leaf"))
+    return reduce(DataFrame.unionByName, small), durable(hot.join(sizes.select(apart("leaf"), "in_leaf"), "leaf"))
 
 
 def _intersections(prints: list[np.ndarray]) -> np.ndarray:
@@ -262,6 +319,8 @@ def _intersections(prints: list[np.ndarray]) -> np.ndarray:
     n = len(prints)
     inter = np.zeros((n, n), np.float32)
     lengths = np.array([len(p) for p in prints])
+    if not lengths.any():
+        return inter
     tokens, owner = np.concatenate(prints), np.repeat(np.arange(n), lengths)
     order = np.argsort(tokens, kind="stable")
     tokens, owner = tokens[order], owner[order]
@@ -332,26 +391,23 @@ def _clusters(batches, threshold: float):
         yield pd.DataFrame({"cluster": np.array(names, np.int64), "row_no": np.concatenate(members) if members else np.empty(0, np.int64)})
 
 
-def compare_block(name: int, low: int, high: int, chunk: np.ndarray, rows: np.ndarray, weights: np.ndarray, ball: np.ndarray, all_names: list, prints: list[np.ndarray], threshold: float):
+def compare_block(name: int, low: int, high: int, chunk: np.ndarray, rows: np.ndarray, weights: np.ndarray, ball: np.ndarray, all_names: list, walked: list, prints: list[np.ndarray], threshold: float):
     """(row_no, root, links, set_links) of the sets that have links counted in this cluster or block.
 
-    Sets of one ball (0: none) are known to be linked and are not counted here.
+    Sets of one ball (0: none) are known to be linked and are not counted here. ``walked`` are those of a
+    set's names under which it is compared with the core only.
     """
     n = len(rows)
     size = np.array([len(p) for p in prints], np.float64)
-    linked = _intersections(prints) * (1 + threshold) >= threshold * (size[:, None] + size[None, :]) - 1e-9
+    # In doubles: in single precision pairs exactly at the threshold fall below it.
+    linked = _intersections(prints).astype(np.float64) * (1 + threshold) >= threshold * (size[:, None] + size[None, :]) - 1e-9
     np.fill_diagonal(linked, False)
     linked &= (ball[:, None] != ball[None, :]) | (ball[:, None] == 0)
     if low != high:
         linked &= chunk[:, None] != chunk[None, :]
-    owner = np.repeat(np.arange(n), [len(x) for x in all_names])
-    names = np.concatenate(all_names)
-    before = names < name
-    owner, names = owner[before], names[before]
-    order = np.argsort(names, kind="stable")
-    for group in np.split(owner[order], np.flatnonzero(np.diff(names[order])) + 1):
-        if len(group) > 1:
-            linked[np.ix_(group, group)] = False
+    # A pair that also meets under a lesser name is counted there.
+    if linked.any():
+        linked &= _intersections([x[x < name] for x in all_names]) == _intersections([x[x < name] for x in walked])
     root = _roots(linked)
     got = np.flatnonzero(linked.any(axis=1))
     return rows[got], rows[root[got]], (linked[got] @ weights).astype(np.int64), linked[got].sum(axis=1)
@@ -363,7 +419,7 @@ def _compare_sorted(batches, threshold: float):
         found = [
             compare_block(
                 *(int(pdf[c].iloc[0]) for c in ("name", "low", "high")), pdf["chunk"].to_numpy(), pdf["row_no"].to_numpy(), pdf["weight"].to_numpy(np.float64), pdf["ball"].to_numpy(np.int64),
-                [np.asarray(x, np.int64) for x in pdf["all_names"]], [np.frombuffer(b, "<u4") for b in pdf["prints"]], threshold,
+                *([np.asarray(x, np.int64) for x in pdf[c]] for c in ("all_names", "walked")), [np.frombuffer(b, "<u4") for b in pdf["prints"]], threshold,
             )
             for pdf in blocks
         ]
@@ -372,39 +428,43 @@ def _compare_sorted(batches, threshold: float):
 
 
 def balls(needed: DataFrame, threshold: float) -> DataFrame:
-    """(row_no, leaf, ball, inside, near): of the sets of each hot node, which are within half the allowed distance of what most have.
+    """(row_no, leaf, core, ball, inside, near): of the sets of each hot node, which are within half the allowed distance of what most have.
 
     ``ball`` is named by that common set, ``inside`` says whether a set is in it, and ``near`` whether it can be linked with any that is.
     """
     inside = needed.where("size(hot) > 0").select("row_no", "prints", F.inline("hot")).withColumnRenamed("leaf", "node")
     common = durable(_common(inside.where(_asked("in_leaf")), "prints", 0))
-    met = inside.select("row_no", "node", "prints").join(common.select(_apart("node"), "common"), "node")
+    met = inside.select("row_no", "node", "core", "prints").join(common.select(apart("node"), "common"), "node")
     met = met.withColumn("ball", F.xxhash64("common"))
-    shared = map_rows(met, lambda b: _shared(b, "prints", ["row_no", "node", "ball"]), "row_no bigint, node bigint, ball bigint, shared int, own int, n_common int", rows=200)
+    shared = map_rows(met, lambda b: _shared(b, "prints", ["row_no", "node", "core", "ball"]), "row_no bigint, node bigint, core boolean, ball bigint, shared int, own int, n_common int", rows=200)
     distance = 1 - F.col("shared") / (F.col("own") + F.col("n_common") - F.col("shared"))
     allowed = 1 - threshold
-    return shared.select("row_no", F.col("node").alias("leaf"), "ball", (distance <= allowed / 2 + 1e-12).alias("inside"), (distance <= allowed * 1.5 + 1e-9).alias("near"))
+    return shared.select("row_no", F.col("node").alias("leaf"), "core", "ball", (distance <= allowed / 2 + 1e-12).alias("inside"), (distance <= allowed * 1.5 + 1e-9).alias("near"))
+
+
+#: Which zones of a hot node are compared: inside the ball, core near it, core far from it, walking on near it, walking on far from it.
+_MEETS = {0: (1, 3), 1: (0, 1, 2, 3, 4), 2: (1, 2, 3, 4), 3: (0, 1, 2), 4: (1, 2)}
 
 
 def _hot_blocks(zoned: DataFrame, block: int) -> DataFrame:
-    """(row_no, name, low, high, chunk) of the blocks of hot nodes: all that is outside the ball against itself and against what is inside.
+    """(row_no, name, low, high, chunk) of the blocks of hot nodes: the core against itself and against those that walk on, by the zones that can be linked.
 
-    Sets too far from the ball to be linked with any inside are only compared among those outside.
+    Sets inside the ball are known to be linked; those that walk on meet each other further down.
     """
-    zone = F.when(F.col("inside"), 0).when(F.col("near"), 1).otherwise(2)
+    zone = F.when(F.col("inside") & F.col("core"), 0).when(F.col("core") & F.col("near"), 1).when(F.col("core"), 2).when(F.col("near"), 3).otherwise(4)
     zoned = zoned.select("row_no", "leaf", zone.alias("zone"))
-    counts = zoned.groupBy("leaf").pivot("zone", [0, 1, 2]).count().na.fill(0)
+    zones = list(_MEETS)
+    counts = zoned.groupBy("leaf").pivot("zone", zones).count().na.fill(0)
     chunks = lambda z: F.ceil(F.col(f"`{z}`") / F.lit(float(block))).cast("int")
-    sizes = durable(counts.select("leaf", *[chunks(z).alias(f"chunks{z}") for z in range(3)]))
-    placed = zoned.join(sizes.select(_apart("leaf"), "chunks0", "chunks1", "chunks2"), "leaf")
-    # Chunks are numbered zone by zone: near ones first, then far ones, then those inside.
-    first = F.when(F.col("zone") == 1, 0).when(F.col("zone") == 2, F.col("chunks1")).otherwise(F.col("chunks1") + F.col("chunks2"))
-    own = F.when(F.col("zone") == 0, F.col("chunks0")).when(F.col("zone") == 1, F.col("chunks1")).otherwise(F.col("chunks2"))
-    placed = placed.withColumn("chunk", first + F.pmod(F.xxhash64("row_no", "leaf"), own).cast("int"))
+    sizes = durable(counts.select("leaf", *[chunks(z).alias(f"chunks{z}") for z in zones]))
+    placed = zoned.join(sizes.select(apart("leaf"), *[f"chunks{z}" for z in zones]), "leaf")
+    # Chunks are numbered zone by zone.
+    first = lambda z: sum((F.col(f"chunks{y}") for y in range(z)), F.lit(0))
+    by_zone = lambda f: F.coalesce(*[F.when(F.col("zone") == z, f(z)) for z in zones])
+    placed = placed.withColumn("chunk", by_zone(first) + F.pmod(F.xxhash64("row_no", "leaf"), by_zone(lambda z: F.col(f"chunks{z}"))).cast("int"))
     none = F.array().cast("array<int>")
-    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(none)
-    others = F.when(F.col("zone") == 0, upto(F.col("chunks1"))).when(F.col("zone") == 2, upto(F.col("chunks1") + F.col("chunks2"))).otherwise(upto(F.col("chunks0") + F.col("chunks1") + F.col("chunks2")))
-    placed = placed.withColumn("other", F.explode(others))
+    of_zone = lambda z: F.when(F.col(f"chunks{z}") > 0, F.sequence(first(z), first(z) + F.col(f"chunks{z}") - 1)).otherwise(none)
+    placed = placed.withColumn("other", F.explode(by_zone(lambda z: F.concat(*[of_zone(y) for y in _MEETS[z]]))))
     return placed.select("row_no", F.col("leaf").alias("name"), F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk")
 
 
@@ -429,14 +489,14 @@ def jaccard_join(docs: DataFrame, n: int = N_GRAM, threshold: float = THRESHOLD,
     weights = groups.select(F.col("rep").alias("row_no"), "weight")
     sketch = F.substring("prints", 1, 4 * SKETCH).alias("sketch")
     sets = worded.select("row_no", "n_set", sketch, *[f"keys{k + 1}" for k in range(LEVELS)]).join(weights.select("row_no"), "row_no", "left_semi")
-    reached, hot = leaves(sets, prints, worded.select("row_no", sketch), block, branches)
+    reached, hot = leaves(sets, prints, block, branches, threshold)
     sketched = reached.join(worded.select("row_no", "n_set", sketch), "row_no")
     sketched = sketched.repartition(partitions(spark), "leaf").sortWithinPartitions("leaf")
     clusters = sketched.select("leaf", "row_no", "n_set", "sketch").mapInPandas(lambda b: _clusters(b, threshold), "cluster bigint, row_no bigint").distinct()
-    to = F.lit(None).cast("struct<leaf:bigint,in_leaf:bigint>")
+    to = F.lit(None).cast("struct<leaf:bigint,core:boolean,in_leaf:bigint>")
     at = clusters.select("row_no", F.col("cluster").alias("name"), to.alias("hot"))
     if hot is not None:
-        at = at.unionByName(hot.select("row_no", F.col("leaf").alias("name"), F.struct("leaf", "in_leaf").alias("hot")))
+        at = at.unionByName(hot.select("row_no", F.col("leaf").alias("name"), F.struct("leaf", "core", "in_leaf").alias("hot")))
     per_set = at.groupBy("row_no").agg(F.array_sort(F.collect_list("name")).alias("all_names"), F.collect_list("hot").alias("hot"))
     needed = durable(per_set.join(weights, "row_no").join(prints, "row_no"))
     small = needed.select("row_no", F.explode(F.array_except("all_names", F.transform("hot", lambda h: h["leaf"]))).alias("name"))
@@ -453,9 +513,9 @@ def jaccard_join(docs: DataFrame, n: int = N_GRAM, threshold: float = THRESHOLD,
         content = needed.join(home.withColumnRenamed("home", "ball"), "row_no", "left").withColumn("ball", F.coalesce("ball", F.lit(0).cast("bigint")))
         held = home.join(weights, "row_no")
         totals = durable(held.groupBy("home").agg(F.min("row_no").alias("root"), F.sum("weight").alias("in_ball"), F.count(F.lit(1)).alias("sets")))
-        sure = held.join(totals.select(_apart("home"), "root", "in_ball", "sets"), "home").where("sets > 1")
+        sure = held.join(totals.select(apart("home"), "root", "in_ball", "sets"), "home").where("sets > 1")
         sure = sure.select("row_no", "root", (F.col("in_ball") - F.col("weight")).alias("links"), (F.col("sets") - 1).alias("set_links"))
-    dealt = durable(blocks).join(content.select("row_no", "weight", "ball", "all_names", "prints"), "row_no")
+    dealt = durable(blocks).join(content.select("row_no", "weight", "ball", "all_names", F.transform(F.filter("hot", lambda h: ~h["core"]), lambda h: h["leaf"]).alias("walked"), "prints"), "row_no")
     dealt = dealt.repartition(partitions(spark), "name", "low", "high").sortWithinPartitions("name", "low", "high", "row_no")
     found = dealt.mapInPandas(lambda batches: _compare_sorted(batches, threshold), "row_no bigint, root bigint, links bigint, set_links bigint")
     found = durable(found if sure is None else found.unionByName(sure))
@@ -472,4 +532,4 @@ def jaccard_join(docs: DataFrame, n: int = N_GRAM, threshold: float = THRESHOLD,
     rows = rows.unionByName(wordless.select("row_no", "id", "text_hash", F.col("row_no").alias("class_row"), F.lit(0).cast("bigint").alias("n_links"), F.lit(0).cast("bigint").alias("n_set_links")))
     rows = durable(rows)
     least = durable(rows.groupBy("class_row").agg(F.min("id").alias("class_id")))
-    return rows.join(least.select(_apart("class_row"), "class_id"), "class_row").select(F.col("id").alias(id_col), "class_id", "n_links", "n_set_links", "text_hash", "row_no", "class_row")
+    return rows.join(least.select(apart("class_row"), "class_id"), "class_row").select(F.col("id").alias(id_col), "class_id", "n_links", "n_set_links", "text_hash", "row_no", "class_row")

@@ -574,3 +574,57 @@ def test_damage_is_located_without_the_rest(spark):
     got = {r["k"]: (r["state"], r["pos"], r["offset"]) for r in audit(base, hurt, ["k"], fanout=8).collect()}
     at = lambda k: sum(len(f"record {i}") for i in range(k))
     assert got == {77: ("missing", 77, at(77)), 4000: ("altered", 4000, at(4000))}
+
+
+def boilerplate(n, shared, words=300, seed=1):
+    """Texts that have their first words in common, and beside every tenth one a near copy."""
+    rng = random.Random(seed)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    common, docs, planted = [word() for _ in range(shared)], [], []
+    for i in range(n):
+        docs.append(common + [word() for _ in range(words - shared)])
+        if i % 10 == 0:
+            text = docs[-1][:]
+            for _ in range(3):
+                text[rng.randrange(words)] = word()
+            planted.append((len(docs) - 1, len(docs)))
+            docs.append(text)
+    return [(k, " ".join(d)) for k, d in enumerate(docs)], planted
+
+
+@pytest.mark.parametrize("shared", [200, 245])
+def test_families_that_share_boilerplate_grow_with_their_texts(spark, monkeypatch, shared):
+    """Two thirds or four fifths of every text are common: planted copies are found, and the rows of the walk grow as the texts do."""
+    walked = []
+    leaves = jaccard_join.leaves
+
+    def counted(*args):
+        small, hot = leaves(*args)
+        walked.append((small.count(), 0 if hot is None else hot.count()))
+        return small, hot
+
+    monkeypatch.setattr(jaccard_join, "leaves", counted)
+    for n in (3000, 6000):
+        docs, planted = boilerplate(n, shared)
+        made = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard_join.jaccard_join(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()}
+        assert sum(made[a][0] == made[b][0] for a, b in planted) >= 0.97 * len(planted)
+        assert sum(v[1] for v in made.values()) <= 2 * len(planted)
+    (a, hot_a), (b, hot_b) = walked
+    assert b <= 2.5 * a and hot_a == hot_b == 0 and b <= 100 * 6600
+
+
+def test_core_and_walkers_are_compared_once(spark):
+    """A family near the limits of the core: every link is found, and none is counted twice."""
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    base, docs = [word() for _ in range(200)], []
+    for k in range(160):
+        text = base[:]
+        for _ in range(rng.randrange(2, 12)):
+            at = rng.randrange(190)
+            text[at : at + rng.randrange(4)] = [word() for _ in range(rng.randrange(1, 4))]
+        docs.append((k, " ".join(text)))
+    want = brute_force(docs)
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard_join.jaccard_join(spark.createDataFrame(docs, "doc_id long, text string"), block=16).collect()}
+    assert all(got[i][1] <= want[i][1] for i in want)
+    assert sum(v[1] for v in got.values()) >= 0.97 * sum(v[1] for v in want.values()) and sum(v[1] for v in want.values()) > 300
