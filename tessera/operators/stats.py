@@ -50,9 +50,9 @@ def quintiles(rows: DataFrame, keys: list[str], value: str, large: bool = False)
 
 
 def percentile_curve(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """(keys, percent, value) for 1..99."""
-    levels = F.array(*[F.lit(k / 100) for k in range(1, 100)])
-    return rows.groupBy(*keys).agg(F.percentile(value, levels).alias("_curve")).select(*keys, F.posexplode("_curve").alias("_k", "value")).select(*keys, (F.col("_k") + 1).alias("percent"), "value")
+    """(keys, percent, value) for 1..99, of groups of any size."""
+    found = _ranked_percentiles(rows, keys, value, [k / 100 for k in range(1, 100)], 10_000)
+    return found.select(*keys, (F.col("_level") + 1).alias("percent"), F.col("_p").alias("value"))
 
 
 def melted_percentiles(rows: DataFrame, keys: list[str], metrics: list[str], levels: dict[str, float], large: bool = False) -> DataFrame:
@@ -152,38 +152,49 @@ def diebold_mariano(rows: DataFrame, order: str, diff: str, lags: int = 6, keys:
 
 
 def exact_percentiles(rows: DataFrame, keys: list[str], value: str, levels: dict[str, float], accuracy: int = 10_000) -> DataFrame:
-    """(keys, n, level names...): exact interpolated percentiles of groups of any size.
+    """(keys, n, level names...): exact interpolated percentiles of groups of any size. Null values don't count; keys may be null."""
+    found = _ranked_percentiles(rows, keys, value, list(levels.values()), accuracy)
+    return found.groupBy(*keys, F.col("_n").alias("n")).agg(*[F.max(F.when(F.col("_level") == i, F.col("_p"))).alias(n) for i, n in enumerate(levels)])
+
+
+def _ranked_percentiles(rows: DataFrame, keys: list[str], value: str, wanted: list[float], accuracy: int) -> DataFrame:
+    """(keys, _n, _level, _p): exact percentiles, without a group in one task.
 
     The aggregate function keeps all distinct values of a group in one task. Here a sketch
-    first brackets every level; then the rows under each bracket are only counted, and only
-    the distinct values inside it, about 4 / accuracy of the group, are ranked. Three
-    aggregations, none of which holds a group. Null values don't count; keys may be null.
+    first brackets every level. Then a row counts either for its value, if that is inside a bracket, or
+    for the gap between brackets that it is in; so a group becomes about 4 / accuracy of its
+    distinct values for each level, and a gap for each level, which are ranked.
     """
-    names, wanted = list(levels), [levels[n] for n in levels]
     slack = 2.0 / accuracy
-    ends = lambda side: F.array(*[F.lit(min(1.0, max(0.0, p + side * slack))) for p in wanted])
+    ends = lambda side: F.expr("array(" + ", ".join(f"{min(1.0, max(0.0, p + side * slack))!r}D" for p in wanted) + ")")
+    flags = lambda test: F.expr("array(" + ", ".join(str(bool(test(p))).lower() for p in wanted) + ")")
     known = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    sketch = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("_v", ends(-1), accuracy).alias("_low"), F.percentile_approx("_v", ends(1), accuracy).alias("_high"))
+    sketch = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", ends(-1), accuracy).alias("_low"), F.percentile_approx("_v", ends(1), accuracy).alias("_high"))
     # A bracket must hold the ranks on both sides of its level: it is open at the ends, and for groups
     # so small that its slack is less than some rows, which are ranked whole.
-    low = F.transform("_low", lambda x, i: F.when((F.col("n") <= 4 * accuracy) | F.get(F.array(*[F.lit(p - slack <= 0) for p in wanted]), i), F.lit(float("-inf"))).otherwise(x))
-    high = F.transform("_high", lambda x, i: F.when((F.col("n") <= 4 * accuracy) | F.get(F.array(*[F.lit(p + slack >= 1) for p in wanted]), i), F.lit(float("inf"))).otherwise(x))
-    sketch = sketch.withColumns({"_low": low, "_high": high})
-    renamed = sketch.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "n", "_low", "_high")
+    small = F.col("_n") <= 4 * accuracy
+    low = F.zip_with("_low", flags(lambda p: p - slack <= 0), lambda x, opened: F.when(small | opened, F.lit(float("-inf"))).otherwise(x))
+    high = F.zip_with("_high", flags(lambda p: p + slack >= 1), lambda x, opened: F.when(small | opened, F.lit(float("inf"))).otherwise(x))
+    sketch = sketch.withColumn("_low", low).withColumn("_brackets", F.zip_with("_low", high, lambda a, b: F.struct(a.alias("low"), b.alias("high")))).drop("_high")
+    renamed = sketch.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_n", "_low", "_brackets")
     same = None
     for i, k in enumerate(keys):
         one = F.col(k).eqNullSafe(F.col(f"_k{i}"))
         same = one if same is None else same & one
     joined = known.join(renamed, same) if keys else known.crossJoin(renamed)
-    # Cells of each level: its values, each with its count, and one cell (null) for all that lie under it.
-    cell = lambda i: F.struct(F.lit(i).alias("level"), F.when(F.col("_v") >= F.col("_low")[i], F.col("_v")).alias("x"), (F.col("_v") <= F.col("_high")[i]).alias("in"))
-    cells = joined.select(*keys, "n", F.inline(F.array(*[cell(i) for i in range(len(names))]))).where("in")
-    counted = cells.groupBy(*keys, "n", "level", "x").agg(F.count(F.lit(1)).alias("c"))
-    upto = Window.partitionBy(*keys, "level").orderBy(F.col("x").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.withColumn("to", F.sum("c").over(upto))
-    at = F.get(F.array(*map(F.lit, wanted)), F.col("level")) * (F.col("n") - 1)
-    holds = lambda k: F.min(F.when((F.col("to") > k) & F.col("x").isNotNull(), F.col("x")))
-    found = ranked.groupBy(*keys, "n", "level").agg(holds(F.floor(at)).alias("a"), holds(F.ceil(at)).alias("b"))
-    part = at - F.floor(at)
-    found = found.withColumn("p", F.col("a") + part * (F.col("b") - F.col("a")))
-    return found.groupBy(*keys, "n").agg(*[F.max(F.when(F.col("level") == i, F.col("p"))).alias(n) for i, n in enumerate(names)])
+    inside = F.exists("_brackets", lambda b: (F.col("_v") >= b["low"]) & (F.col("_v") <= b["high"]))
+    placed = joined.select(*keys, "_n", "_v", F.size(F.filter("_low", lambda x: x <= F.col("_v"))).alias("_gap"), F.when(inside, F.col("_v")).alias("_x"))
+    cells = placed.groupBy(*keys, "_n", "_gap", "_x").agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_from"))
+    upto = Window.partitionBy(*keys).orderBy("_from").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = cells.withColumn("_to", F.sum("_c").over(upto))
+    # A level lies between two ranks; each is held by one cell.
+    levels = F.expr("array(" + ", ".join(f"struct({i} AS level, {p!r}D AS p)" for i, p in enumerate(wanted)) + ")")
+    at = lambda x: x["p"] * (F.col("_n") - 1)
+    here = lambda k: (k >= F.col("_to") - F.col("_c")) & (k < F.col("_to"))
+    held = F.filter(levels, lambda x: here(F.floor(at(x))) | here(F.ceil(at(x))))
+    sides = ranked.select(*keys, "_n", "_x", "_c", "_to", F.explode(held).alias("_l"))
+    rank = F.col("_l.p") * (F.col("_n") - 1)
+    side = lambda k: F.max(F.when(here(k), F.col("_x")))
+    both = sides.groupBy(*keys, "_n", F.col("_l.level").alias("_level"), F.col("_l.p").alias("_share")).agg(side(F.floor(rank)).alias("_a"), side(F.ceil(rank)).alias("_b"))
+    part = F.col("_share") * (F.col("_n") - 1) - F.floor(F.col("_share") * (F.col("_n") - 1))
+    return both.select(*keys, "_n", "_level", (F.col("_a") + part * (F.col("_b") - F.col("_a"))).alias("_p"))

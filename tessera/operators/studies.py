@@ -10,12 +10,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.config import GRID, MARKETS, ROBUSTNESS, Career, Glidepath, Reactive, Reform
-from tessera.functions.folds import accumulated, let, literal
+from tessera.functions.folds import let, literal
+from tessera.functions.lineage import cut
 from tessera.functions.random import uniform
-from tessera.operators import pension
+from tessera.operators import pension, population
 from tessera.operators.regimes import Regimes, aligned, fit, replicas
 from tessera.operators.scenarios import pooled_history, recentred, regime_paths, returns_of
-from tessera.operators.stats import certainty_equivalent
+from tessera.operators.stats import certainty_equivalent, exact_percentiles
 
 
 def comparison(made: DataFrame, keys: list[str]) -> DataFrame:
@@ -165,21 +166,49 @@ def glidepath_search(train: DataFrame, test: DataFrame, sex: str, factor: float,
     return table.drop("point"), compared.withColumns({"g0": F.lit(best["g0"]), "a1": F.lit(best["a1"]), "g1": F.lit(best["g1"])})
 
 
-def break_even(paths: DataFrame, surcharges: list[float], career: Career = Career(), sex: str = "H", high: float = 0.03, tol: float = 1e-6) -> dict[float, float]:
-    """Extra yearly return that makes a contribution worth that of a larger one, by halving for all surcharges at once.
+#: Candidates of a round of the search for a rate; two rounds come to 1 / SECTIONS^2 of the range.
+SECTIONS = 175
 
-    Each round is one aggregation over the paths' monthly returns of the default mix.
+
+def break_even(paths: DataFrame, surcharges: list[float], career: Career = Career(), sex: str = "H", high: float = 0.03, sections: int = SECTIONS) -> DataFrame:
+    """(surcharge, break_even): the extra yearly return that makes a contribution worth that of a larger one.
+
+    Two rounds in one plan: the medians of all candidates from 0 to ``high`` say between which two the
+    goal of each surcharge lies, and those of as many candidates in between say where. A candidate
+    x lifts the growth of t months by (1 + x)^(t / 12), so that all candidates of a block of paths
+    are one product of matrices; their medians are ranked exactly. A goal beyond ``high`` gives ``high``.
     """
     months = pension.ages(career, sex)
-    paid = literal(pension.contributions(career, pension.salaries(career, months)))
-    returns = paths.select(pension.portfolio(F.col("path"), pension.strategies(months, sex)[pension.DEFAULT]).alias("r")).persist()
-    base = returns.agg(F.percentile(accumulated(F.col("r"), paid), F.lit(0.5)).alias("b")).first()["b"]
-    goal = {s: base * (1 + s / career.contribution) for s in surcharges}
-    ends = {s: (0.0, high) for s in surcharges}
-    while max(b - a for a, b in ends.values()) > tol:
-        mids = {s: (a + b) / 2 for s, (a, b) in ends.items()}
-        more = lambda x: F.transform("r", lambda r: (1 + r) * ((1 + x) ** (1 / 12)) - 1)
-        row = returns.agg(*[F.percentile(accumulated(more(x), paid), F.lit(0.5)).alias(f"m{i}") for i, x in enumerate(mids.values())]).first()
-        ends = {s: ((mids[s], ends[s][1]) if row[f"m{i}"] < goal[s] else (ends[s][0], mids[s])) for i, s in enumerate(mids)}
-    returns.unpersist()
-    return {s: (a + b) / 2 for s, (a, b) in ends.items()}
+    paid = np.array(pension.contributions(career, pension.salaries(career, months)))
+    left = np.arange(len(months), 0, -1) / 12
+    grown = population.growths(paths, {pension.DEFAULT: pension.strategies(months, sex)[pension.DEFAULT]})
+
+    def lifted(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            weighed = np.stack(pdf["growth"].to_numpy()).astype(float) * paid
+            for _, own in pdf.assign(_at=np.arange(len(pdf))).groupby("surcharge", dropna=False):
+                low, step = float(own["low"].iloc[0]), float(own["step"].iloc[0])
+                x = low + step * np.arange(sections + 1)
+                made = weighed[own["_at"].to_numpy()] @ (1 + x[None, :]) ** left[:, None]
+                yield pd.DataFrame({"surcharge": np.repeat(own["surcharge"].to_numpy(), len(x)), "x": np.tile(x, len(own)), "balance": made.ravel()})
+
+    def medians(ranges: DataFrame) -> DataFrame:
+        candidates = grown.select("growth").crossJoin(F.broadcast(ranges)).mapInPandas(lifted, "surcharge double, x double, balance double")
+        return exact_percentiles(candidates, ["surcharge", "x"], "balance", {"median": 0.5})
+
+    spark = paths.sparkSession
+    first = cut(medians(spark.createDataFrame([(0.0, 0.0, high / sections)], "surcharge double, low double, step double")).select("x", "median"))
+    wanted = spark.createDataFrame([(float(s),) for s in surcharges], "surcharge double")
+    base = first.where("x = 0").select(F.col("median").alias("base"))
+    goals = wanted.crossJoin(F.broadcast(base)).select("surcharge", (F.col("base") * (1 + F.col("surcharge") / career.contribution)).alias("goal"))
+
+    def below(found: DataFrame) -> DataFrame:
+        """The last candidate under each goal; the first one if none is."""
+        return found.groupBy("surcharge", "goal").agg(F.coalesce(F.max(F.when(F.col("median") < F.col("goal"), F.col("x"))), F.min("x")).alias("low"))
+
+    narrow = below(F.broadcast(goals).crossJoin(first)).select("surcharge", "goal", F.least("low", F.lit(high * (1 - 1 / sections))).alias("low"))
+    second = medians(narrow.select("surcharge", "low", F.lit(high / sections / sections).alias("step")))
+    last = below(second.join(F.broadcast(goals), "surcharge"))
+    return last.select("surcharge", F.least(F.col("low") + high / sections / sections / 2, F.lit(high)).alias("break_even"))

@@ -201,7 +201,8 @@ def _population(spark, paths, factor, career, sizes) -> dict[str, DataFrame]:
 def _fees(spark, months, paths, pays, career) -> DataFrame:
     least = min(FEES.values())
     found = studies.break_even(paths, sorted({f - least for f in FEES.values() if f > least}), career)
-    fees = spark.createDataFrame([(a, f, found.get(f - least, 0.0)) for a, f in FEES.items()], "admin string, fee double, extra double")
+    fees = spark.createDataFrame([(a, f, f - least) for a, f in FEES.items()], "admin string, fee double, surcharge double").join(F.broadcast(found), "surcharge", "left")
+    fees = fees.select("admin", "fee", F.coalesce("break_even", F.lit(0.0)).alias("extra"))
     plain = pays.where(F.col("strategy") == pension.DEFAULT).agg(F.percentile("pension", F.lit(0.5))).first()[0]
     base = sum(pension.salaries(career, pension.ages(career, "H"))) * career.density
     table = peers.fee_table(peers.alpha(months, 24), fees, F.col("extra"), career.contribution, F.lit(plain))

@@ -109,10 +109,25 @@ def glidepath_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return studies.glidepath_search(*sets, "H", _FACTOR["H"], career=Career(start_age=50), grid=grid)[1]
 
 
-@query()
+_N, _HIGH, _SURCHARGES = studies.SECTIONS, 0.03, [0.001, 0.005, 0.0099]
+_BELOW = "coalesce(max(x) FILTER (WHERE median < goal), min(x))"
+
+
+@query(f"""WITH RECURSIVE {_HISTORY}, {_walk(60, 180)},
+port AS (SELECT p, t, CASE WHEN 50 + t // 12 <= 55 THEN ret[3] ELSE ret[4] END AS r FROM drawn),
+grown AS (SELECT p, t, pow(1.015::DOUBLE, least(50 + t // 12, 50) - 50) * exp(sum(ln(1 + r)) OVER (PARTITION BY p ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS g FROM port),
+tried AS (SELECT k, {_HIGH / _N!r}::DOUBLE * k AS x FROM (SELECT unnest(range({_N + 1})) AS k)),
+first_ AS (SELECT k, x, median(b) AS median FROM (SELECT p, k, x, sum(g * pow(1 + x, (180 - t) / 12.0::DOUBLE)) AS b FROM grown, tried GROUP BY p, k, x) GROUP BY k, x),
+goals AS (SELECT s AS surcharge, (SELECT median FROM first_ WHERE k = 0) * (1 + s / 0.10::DOUBLE) AS goal FROM (SELECT unnest({_SURCHARGES}::DOUBLE[]) AS s)),
+narrow AS (SELECT surcharge, goal, least({_BELOW}, {_HIGH * (1 - 1 / _N)!r}::DOUBLE) AS low FROM goals, first_ GROUP BY surcharge, goal),
+second_ AS (
+  SELECT surcharge, goal, x, median(b) AS median FROM (
+    SELECT surcharge, goal, p, low + {_HIGH / _N / _N!r}::DOUBLE * k AS x, sum(g * pow(1 + low + {_HIGH / _N / _N!r}::DOUBLE * k, (180 - t) / 12.0::DOUBLE)) AS b
+    FROM grown, tried, narrow GROUP BY surcharge, goal, p, low, k) GROUP BY surcharge, goal, x)
+SELECT surcharge, round(least({_BELOW} + {_HIGH / _N / _N / 2!r}::DOUBLE, {_HIGH}), 8) AS break_even FROM second_ GROUP BY surcharge, goal""")
 def fee_break_even(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = studies.break_even(scenarios.returns_of(paths(spark, sf_dir, 60, 180)), [0.001, 0.005, 0.0099], Career(start_age=50))
-    return spark.createDataFrame([(k, v) for k, v in found.items()], "surcharge double, break_even double")
+    found = studies.break_even(scenarios.returns_of(paths(spark, sf_dir, 60, 180)), _SURCHARGES, Career(start_age=50), high=_HIGH)
+    return rounded(found, 8, "break_even")
 
 
 @query()
@@ -164,6 +179,34 @@ def gender_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return population.gender_gap(spark, made, _factor, 60, Career(start_age=55))
 
 
+# A pension by formula: the balance of a customer, with each factor's part of the men's case.
+_LATTICE = "(1000 + c_acctbal / 10) * (1 + 0.2 * (mask & 1)) * (1 + 0.1 * ((mask >> 1) & 1) * (c_custkey % 5)) * (480 + 60 * ((mask >> 2) & 1)) / (190 - 40 * ((mask >> 3) & 1) - 25 * ((mask >> 2) & 1))"
+
+
+@query(f"""WITH rows AS (
+  SELECT mask, {_LATTICE} AS total FROM customer, (SELECT unnest(range(16)) AS mask)
+  UNION ALL SELECT -1, {_LATTICE.replace("mask", "15")} * 1.07 + c_custkey % 3 FROM customer),
+v AS (SELECT mask, median(total) AS value FROM rows GROUP BY mask),
+f AS (SELECT * FROM (VALUES ('density', 1), ('income', 2), ('retirement', 4), ('mortality', 8)) AS f(factor, bit)),
+w AS (SELECT factor, bit_count(a.mask) AS k, b.value - a.value AS gain FROM v a JOIN f ON a.mask >= 0 AND a.mask & bit = 0 JOIN v b ON b.mask = a.mask | bit),
+men AS (SELECT value AS men FROM v WHERE mask = -1),
+parts AS (
+  SELECT factor, sum(gain * CASE k WHEN 0 THEN 1 / 4.0::DOUBLE WHEN 3 THEN 1 / 4.0::DOUBLE ELSE 1 / 12.0::DOUBLE END) AS share FROM w GROUP BY factor
+  UNION ALL SELECT 'not explained', men - (SELECT value FROM v WHERE mask = 15) FROM men)
+SELECT factor, round(share, 6) AS share, round(share / men, 8) AS of_men FROM parts, men""")
+def gap_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of a gap in medians over all customers in all 16 coalitions of factors, from pensions by formula."""
+    bit = lambda k: F.shiftright("mask", k).bitwiseAND(1)
+    customers = t.table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+
+    def total():
+        return (1000 + F.col("c_acctbal") / 10) * (1 + 0.2 * bit(0)) * (1 + 0.1 * bit(1) * (F.col("c_custkey") % 5)) * (480 + 60 * bit(2)) / (190 - 40 * bit(3) - 25 * bit(2))
+
+    women = customers.withColumn("mask", F.explode(F.sequence(F.lit(0), F.lit(15)))).select("mask", total().alias("total"))
+    men = customers.withColumn("mask", F.lit(15)).select(F.lit(population.MEN).alias("mask"), (total() * 1.07 + F.col("c_custkey") % 3).alias("total"))
+    return rounded(population.gap_parts(women.unionByName(men), population.GAP_FACTORS), 6, "share").withColumn("of_men", F.round("of_men", 8))
+
+
 @query(f"""WITH RECURSIVE {_HISTORY}, {_walk(10, 60)},
 grown AS (SELECT p, t, exp(sum(ln(1 + ret[2])) OVER (PARTITION BY p ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS g FROM drawn),
 works AS (
@@ -172,12 +215,12 @@ works AS (
   FROM works WHERE t < 59)
 SELECT c_custkey, CAST(p AS INT) AS scenario, round(sum(s * g), 6) AS balance FROM works JOIN grown ON works.t = grown.t GROUP BY c_custkey, p""")
 def population_matmul(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Balances of every customer under every scenario, as one product of matrices."""
+    """Balances of every customer under every scenario, as products of blocks."""
     made = scenarios.returns_of(paths(spark, sf_dir, 10, 60))
-    growth = {"fund B": population.growth_matrix(made, [[0.0, 1.0, 0.0, 0.0, 0.0]] * 60)}
+    growth = population.growths(made, {"fund B": [[0.0, 1.0, 0.0, 0.0, 0.0]] * 60})
     density = F.lit(0.2) + (F.col("c_custkey") % 7) / F.lit(10.0)
     rows = t.table(spark, sf_dir, "customer").select("c_custkey", scenarios.formal_months(density, F.col("c_custkey"), 60, 36.0).alias("paid"))
-    return rounded(population.balances(rows, "c_custkey", {"balance": "paid"}, growth).drop("strategy"), 6, "balance")
+    return rounded(population.balances(rows, ["c_custkey"], {"balance": "paid"}, growth, 60).drop("strategy"), 6, "balance")
 
 
 _MASKED = """masked AS (
