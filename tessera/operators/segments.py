@@ -87,18 +87,19 @@ def _windowed(kind: str, value: Column, window: WindowSpec) -> Column:
     return F.last(value, True).over(window) if kind == "last" else {"sum": F.sum, "max": F.max, "min": F.min}[kind](value).over(window)
 
 
-def running(rows: DataFrame, keys: list[str], order: list[str], scans: dict[str, tuple[Column, str]], reverse: bool = False, rows_per_segment: int = ROWS_PER_SEGMENT) -> DataFrame:
+def running(rows: DataFrame, keys: list[str], order: list[str], scans: dict[str, tuple[Column, str]], reverse: bool = False, rows_per_segment: int = ROWS_PER_SEGMENT, segment: Column | None = None) -> DataFrame:
     """Adds a column for each scan: the sum, max, min or last known of a value from the series' first row to each row.
 
     ``scans`` maps names to (value, kind). With ``reverse`` it is from each row to the series' last
     one, and ``last`` is the next known. Without keys all rows are one series. Nulls are passed
     over; where nothing is known yet the result is null. Rows with a null order are the first.
+    ``segment`` names ranges that are known already, by a column that rises with the order.
     """
     names = list(scans)
     rows = rows.withColumns({f"_in_{n}": v for n, (v, _) in scans.items()})
     one = rows if keys else rows.withColumn("_series", F.lit(0))
     series = keys or ["_series"]
-    placed = in_segments(one, series, order[0], rows_per_segment)
+    placed = in_segments(one, series, order[0], rows_per_segment) if segment is None else one.withColumn("_segment", segment)
     first_if_reversed = lambda n: F.min(F.when(F.col(f"_in_{n}").isNotNull(), F.struct(*order, F.col(f"_in_{n}").alias("_value"))))["_value"]
     reduced = lambda n: first_if_reversed(n) if reverse and scans[n][1] == "last" else _reduced(scans[n][1], F.col(f"_in_{n}"), order)
     totals = placed.groupBy(*series, "_segment").agg(*[reduced(n).alias(f"_in_{n}") for n in names])

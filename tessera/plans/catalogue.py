@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import long_series, models, relational, simulation
+from tessera.plans import long_series, models, people, relational, simulation
 
-MODULES = (relational, long_series, simulation, models)
+MODULES = (relational, long_series, simulation, people, models)
 
 
 def queries() -> dict:

@@ -8,10 +8,11 @@ and hold two cells, unit value and assets, for each administrator. All else is s
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import canonical_name, local_number
+from tessera.operators.segments import running
 
 # Fixed values of the format.
 BANNER, HEADER, DATE = r"^Valores (Confirmados|Provisorios)", "Fecha", r"^\d{4}-\d{2}-\d{2}$"
@@ -22,19 +23,21 @@ FUND_OF_FILE = r"vcf([A-E])"
 def read_unit_values(spark: SparkSession, path: str) -> DataFrame:
     """(fund, date, admin, unit_value, assets, status) of all files of a path or glob; the fund is in the name.
 
-    A file is read whole, as it is small (some MB) and its lines depend on those before
-    them; files are spread over tasks. Short lines are padded with nulls; cells that are
-    no numbers are null; a null unit value is kept for the quality report.
+    Files are split at any byte as Spark splits text, so one large file is read by many tasks; each
+    split hands its last header and banner on to those after it. Short lines are padded with nulls; cells
+    that are no numbers are null; a null unit value is kept for the quality report.
     """
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.decode("content", "ISO-8859-1").alias("text"))
-    lines = files.select("file", F.posexplode(F.split("text", r"\r?\n")).alias("no", "line"))
+    # The text source hands bytes on as they are, so that they can be decoded here.
+    text = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("no"), F.decode(F.col("value").cast("binary"), "ISO-8859-1").alias("line")
+    )
     first = F.trim(F.get(F.split("line", ";"), 0))
-    lines = lines.select("file", "no", F.split("line", ";").alias("cells"), first.alias("first"), F.regexp_extract("line", BANNER, 1).alias("banner"))
+    lines = text.select("file", "split", "no", F.split("line", ";").alias("cells"), first.alias("first"), F.regexp_extract("line", BANNER, 1).alias("banner"))
     # Odd places of the header hold names; where a cell is blank the columns go on without one.
     names = F.filter("cells", lambda c, i: (i > 0) & (i % 2 == 1) & (F.trim(c) != ""))
     header = F.when(F.col("first") == HEADER, F.transform(names, canonical_name))
-    upto = Window.partitionBy("file").orderBy("no").rowsBetween(Window.unboundedPreceding, 0)
-    known = lines.withColumn("admins", F.last(header, True).over(upto)).withColumn("status", F.last(F.when(F.col("banner") != "", F.col("banner")), True).over(upto))
+    banner = F.when(F.col("banner") != "", F.col("banner"))
+    known = running(lines, ["file"], ["split", "no"], {"admins": (header, "last"), "status": (banner, "last")}, segment=F.col("split"))
     rows = known.where(F.col("first").rlike(DATE) & F.col("admins").isNotNull())
     cells = rows.select("file", "cells", "status", F.col("first").try_cast("date").alias("date"), F.posexplode("admins").alias("k", "admin"))
     status = F.create_map(*[F.lit(x) for kv in STATUS.items() for x in kv])[F.col("status")]

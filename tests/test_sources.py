@@ -47,6 +47,35 @@ def test_blocks(spark, tmp_path):
     assert index["2020-01-01"] == 0.0 and "2020-01-04" not in index
 
 
+def test_one_file_in_many_splits(spark, tmp_path):
+    """A file that is cut at every few thousand bytes, inside lines and between a header and its lines, is read as a whole one is."""
+    import random
+
+    rng, lines, want, names, status = random.Random(4), [], [], [], None
+    for k in range(3000):
+        if k % 400 == 0:
+            status = ("confirmed", "provisional")[k // 400 % 2]
+            lines.append({"confirmed": "Valores Confirmados;;", "provisional": "Valores Provisorios"}[status])
+        if k % 150 == 0:
+            names = rng.sample(["Capital", "PlanVit\u00e1l", "Modelo", "Uno", "H\u00e1bitat"], rng.randrange(1, 4))
+            lines += ["Fecha;" + ";".join(f"{n};Patrimonio" for n in names), ";valor cuota;;" * len(names)]
+        date = f"20{k // 336 + 10}-{k // 28 % 12 + 1:02d}-{k % 28 + 1:02d}"
+        values = [rng.randrange(1000, 99999) for _ in names]
+        lines.append(date + "".join(f";{v // 100},{v % 100:02d};{v},00" for v in values))
+        want += [("A", date, n.upper().replace("\u00c1", "A"), v / 100, float(v), status) for n, v in zip(names, values)]
+    (tmp_path / "vcfA.csv").write_bytes("\r\n".join(lines).encode("latin-1"))
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "5000")
+        rows = block_text.read_unit_values(spark, f"{tmp_path}/vcf*.csv")
+        assert spark.read.text(f"{tmp_path}/vcf*.csv").rdd.getNumPartitions() > 15
+        got = sorted((r["fund"], str(r["date"]), r["admin"], r["unit_value"], r["assets"], r["status"]) for r in rows.collect())
+    finally:
+        spark.conf.set(key, before)
+    assert got == sorted(want)
+
+
 def test_small_tables(spark, tmp_path):
     (tmp_path / "uf.csv").write_text("date,level\n2020-01-02,2\n2020-01-01,1\n2020-01-02,3\n")
     got = {str(r["date"]): r["level"] for r in tables.read_deflator(spark, f"{tmp_path}/uf.csv").collect()}
