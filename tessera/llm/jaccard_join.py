@@ -45,7 +45,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import apart, durable, map_rows, partitions, whole_text
+from tessera.llm.common import apart, broadcast_if_small, durable, map_rows, partitions, whole_text
 from tessera.llm.components import components
 from tessera.llm.toxicity import WordHashes
 
@@ -59,6 +59,8 @@ BLOCK = 512
 SKETCH, SKETCH_SHARE = 24, 0.375
 #: Sets of a node that are asked for its common n-grams, about.
 ASKED = 48
+#: Bytes of common n-grams of all nodes that are broadcast at most.
+COMMON_BYTES = 32_000_000
 #: Where a pair at the threshold shares less than this of what isn't common, sets belong to the core.
 LEAST_REST = 0.18
 #: From this level on nodes are compared whole, if a walk should ever come so far.
@@ -210,8 +212,9 @@ def _children(large: DataFrame, sets: DataFrame, prints: DataFrame, level: int,
             key = _names(level, edge, node.view(np.uint64), np.concatenate(chosen)) if len(pdf) else np.empty(0, np.uint64)
             yield pd.DataFrame({"row_no": np.repeat(pdf["row_no"].to_numpy(), branches), "node": node, "edge": edge, "off": True, "key": key.view(np.int64)})
 
-    computed = large if level >= LEVELS else large.where("off")
-    out = map_rows(computed.select("row_no", "node", "edge").join(prints, "row_no"), deeper, "row_no bigint, node bigint, edge bigint, off boolean, key bigint")
+    computed = (large if level >= LEVELS else large.where("off")).select("row_no", "node", "edge")
+    # Where the rows are few, they go to the fingerprints, which stay in place.
+    out = map_rows(prints.join(broadcast_if_small(computed, computed.count()), "row_no"), deeper, "row_no bigint, node bigint, edge bigint, off boolean, key bigint")
     if level < LEVELS:
         keyed = large.where("not off").join(sets.select("row_no", F.col(f"keys{level + 1}").alias("_keys")), "row_no")
         own = F.slice("_keys", (F.col("edge") * branches + 1).cast("int"), branches)
@@ -249,8 +252,10 @@ def _shared(batches, column: str, out: list[str]):
 
 def _rest_children(large: DataFrame, whole: DataFrame, prints: DataFrame, level: int, threshold: float) -> DataFrame:
     """(row_no, node, share, edge, key) of the sets of nodes that don't split: where they go by what isn't common; a set of the core has one row without a key."""
-    inside = large.join(whole.select(apart("node")), "node", "left_semi").select("row_no", "node", "edge", "in_leaf").join(prints, "row_no")
-    common = durable(_common(inside.where(_asked("in_leaf")), "prints", 0))
+    inside = durable(large.join(whole.select(apart("node")), "node", "left_semi").select("row_no", "node", "edge", "in_leaf"))
+    asked = inside.where(_asked("in_leaf"))
+    common = durable(_common(prints.join(broadcast_if_small(asked, asked.count()), "row_no"), "prints", 0))
+    size = common.agg(F.sum(F.length("common"))).first()[0] or 0
 
     def apply(batches):
         for pdf in batches:
@@ -271,7 +276,9 @@ def _rest_children(large: DataFrame, whole: DataFrame, prints: DataFrame, level:
                     out[name] += value
             yield pd.DataFrame(out).astype({"key": "Int64"})
 
-    met = inside.join(common.select(apart("node"), "common"), "node")
+    # Where the rows are few, they go to the fingerprints, which stay in place; so do the common ones, whose bytes are counted.
+    met = prints.join(broadcast_if_small(inside, inside.count()), "row_no")
+    met = met.join(F.broadcast(common) if size <= COMMON_BYTES else common.select(apart("node"), "common"), "node")
     return map_rows(met, apply, "row_no bigint, node bigint, share double, edge bigint, key bigint")
 
 
