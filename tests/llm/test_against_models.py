@@ -628,3 +628,36 @@ def test_core_and_walkers_are_compared_once(spark):
     got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard_join.jaccard_join(spark.createDataFrame(docs, "doc_id long, text string"), block=16).collect()}
     assert all(got[i][1] <= want[i][1] for i in want)
     assert sum(v[1] for v in got.values()) >= 0.97 * sum(v[1] for v in want.values()) and sum(v[1] for v in want.values()) > 300
+
+
+def test_long_texts_in_slices_are_those_of_one_piece():
+    """Slices of any size, inside lines and words, give the score of the plain version."""
+    rng, draw = random.Random(3), np.random.default_rng(1)
+    model = quality.QualityModel(draw.normal(size=3 * quality.MEASURES + 3) * 0.5, draw.normal(size=(2, 2)))
+    words = ["aa", "b", "ccc dd", "ccc", "!!", "12", "é漢", "|", " ", "\t"]
+    for _ in range(40):
+        lines = [" ".join(rng.choice(words) for _ in range(rng.randrange(rng.choice([3, 12, 60])))) for _ in range(rng.randrange(1, 30))]
+        text = "\n".join(lines)
+        x, length, counts = quality.measure([text])
+        plain = quality.aggregate(quality.marginals(quality.with_neighbours(x, counts) @ model.weights, counts, model.links), length, counts)[0]
+        for step in (1, 5, 17, 64, 10**6):
+            assert abs(model._long(quality.LongText(text, step)) - plain) < 1e-9
+
+
+def test_long_texts_are_scored_in_bounded_memory(tmp_path):
+    """Millions of line ends, and one line of 50 MB, in a process of their own that stays under 1 GB."""
+    import subprocess
+    import sys
+
+    code = """
+import resource, sys
+import numpy as np
+from tessera.llm import quality as q
+model = q.QualityModel(np.ones(3 * q.MEASURES + 3) * 0.1, np.eye(2))
+made = [model.documents([t])[0] for t in ("\\n" * 4_000_000, "word " * 10_000_000, "x" * 50_000_000, "x\\n" * 1_000_000)]
+assert all(0 <= v <= 1 for v in made), made
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss)
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=__file__.rpartition("/tests/")[0], timeout=600)
+    assert done.returncode == 0, done.stderr[-500:]
+    assert int(done.stdout) < 1_000_000
