@@ -7,7 +7,8 @@ the tokenizer library and remembered in the worker's second tier, which is empti
 full. Both tiers only save work: every length is the library's own, so the counts don't
 depend on which pre-tokens are in them, and the first tier may come from a bounded sample.
 
-Texts that hold the string of an added token are counted by the library as a whole.
+Texts that hold the string of an added token are counted by the library as a whole, and so are all
+texts if the file cuts or changes them in another way than byte-level BPE of this family does.
 """
 
 from __future__ import annotations
@@ -39,6 +40,15 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def cuts_by_pattern(tokenizer: str) -> bool:
+    """Whether a tokenizer file cuts texts by PRE_TOKENS, and encodes pre-tokens each by itself."""
+    file = json.loads(tokenizer)
+    model, cut = file.get("model") or {}, file.get("pre_tokenizer") or {}
+    by_bytes = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space", True) and cut.get("use_regex", True)
+    plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
+    return by_bytes and plain and file.get("normalizer") is None
+
+
 class PreTokenCounter:
     """Lengths of pre-tokens in two tiers. Made anew from its packed form in each worker."""
 
@@ -58,6 +68,8 @@ class PreTokenCounter:
         from tokenizers import Tokenizer
 
         library = Tokenizer.from_str(self.tokenizer)
+        library.no_truncation()
+        library.no_padding()
         added = [t["content"] for t in json.loads(self.tokenizer).get("added_tokens") or []]
 
         class Tiers(dict):
@@ -77,12 +89,12 @@ class PreTokenCounter:
                 return n
 
         first = dict(zip(self.words.split("\x00"), self.lengths, strict=True)) if self.lengths else {}
-        self._open = library, added, regex.compile(PRE_TOKENS), Tiers(first)
+        self._open = library, added, regex.compile(PRE_TOKENS) if cuts_by_pattern(self.tokenizer) else None, Tiers(first)
 
     def pre_tokens(self, text: str) -> list[str]:
         if self._open is None:
             self._start()
-        return self._open[2].findall(text)
+        return self._open[2].findall(text) if self._open[2] else []
 
     def length(self, word: str) -> int:
         return self._open[3][word]
@@ -91,7 +103,7 @@ class PreTokenCounter:
         if self._open is None:
             self._start()
         library, added, pattern, tiers = self._open
-        if any(a in text for a in added):
+        if pattern is None or any(a in text for a in added):
             return len(library.encode(text, add_special_tokens=False).ids)
         return sum(map(tiers.__getitem__, pattern.findall(text)))
 
@@ -119,10 +131,11 @@ def frequent_pre_tokens(docs: DataFrame, tokenizer: str, text_col: str = "text",
 def token_counts(docs: DataFrame, tokenizer_file: str, limit: int, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """Per document: id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit).
 
-    ``tokenizer_file`` is a file of the tokenizers library with byte-level pre-tokens; it
-    is read by the driver and travels with the table. No begin, end or special tokens are
+    ``tokenizer_file`` is a file of the tokenizers library, read by the driver, that travels with
+    the table; the tiers serve those with byte-level pre-tokens, others are counted by the library. No begin, end or special tokens are
     added, nothing is cut or padded. Null and empty texts have 0 bytes and 0 tokens; an
-    empty table gives no rows; repeated rows are counted each. Other columns are ignored.
+    empty table gives no rows; repeated rows are counted each. Very long texts are counted
+    whole, in memory of some dozen times their own. Other columns are ignored.
     """
     with open(tokenizer_file, encoding="utf-8") as f:
         tokenizer = f.read()

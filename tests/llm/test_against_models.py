@@ -661,3 +661,17 @@ print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss)
     done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=__file__.rpartition("/tests/")[0], timeout=600)
     assert done.returncode == 0, done.stderr[-500:]
     assert int(done.stdout) < 1_000_000
+
+
+def test_other_tokenizers_are_counted_by_the_library(spark):
+    """A file with a normalizer and word-level cuts of its own."""
+    from tokenizers import Tokenizer
+
+    path = token_counts.tokenizer_path("word_bpe_49k.json")
+    texts = ["Hello  World, it's 2024!", "ÅNGSTRÖM über naïve", "", "a\n\n b\t c", "x" * 300]
+    library = Tokenizer.from_file(path)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(docs, path, 512).collect()}
+    assert got == {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+    with open(token_counts.tokenizer_path()) as file:
+        assert token_counts.cuts_by_pattern(file.read())
