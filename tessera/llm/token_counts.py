@@ -112,7 +112,7 @@ def frequent_pre_tokens(docs: DataFrame, tokenizer: str, text_col: str = "text",
     """The first tier, of a sample of at most about ``sample_docs`` documents, counted in one task."""
     n = docs.count()
     counter = PreTokenCounter(tokenizer, [], [])
-    if not n:
+    if not n or not cuts_by_pattern(tokenizer):
         return counter
 
     def most(batches):
