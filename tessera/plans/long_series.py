@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import asof, regime_scan, segments
+from tessera.operators import asof, regime_scan, segments, volatility_scan
+from tessera.operators.panel import row_return
 from tessera.plans import tables as t
 from tessera.plans.relational import rounded
 from tessera.plans.tables import table
@@ -183,3 +184,43 @@ def em_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     cell = lambda c, *at: F.col(c)[at[0]] if len(at) == 1 else F.col(c)[at[0]][at[1]]
     cells = {"s0": (cell("start", 0), 6), "a00": (cell("moves", 0, 0), 6), "a11": (cell("moves", 1, 1), 6), "m0": (cell("mean", 0), 7), "m1": (cell("mean", 1), 7), "v0": (cell("variance", 0), 8), "v1": (cell("variance", 1), 8), "loglik": (F.col("loglik"), 4)}
     return now.select("fit", "fund", *[F.round(c, d).alias(n) for n, (c, d) in cells.items()])
+
+
+# Monthly changes of the mean price of what every supplier ships, and points of parameters: shares of alpha, sums, scales.
+_POINTS = [(0.1, 0.95, 1.0), (0.3, 0.9, 1.0), (0.05, 0.99, 1.5), (0.5, 0.6, 0.8), (0.0, 0.9, 1.0)]
+_SUPPLIER = """monthly AS (
+  SELECT l_suppkey, last_day(CAST(l_shipdate AS DATE)) AS month, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / count(*) / 100 AS level FROM lineitem GROUP BY ALL),
+moved AS (SELECT l_suppkey, month, ln(level) - ln(lag(level) OVER (PARTITION BY l_suppkey ORDER BY month)) AS r FROM monthly),
+facts AS (SELECT l_suppkey, avg(r) AS m, var_pop(r) AS v FROM moved WHERE r IS NOT NULL GROUP BY l_suppkey HAVING count(*) >= 20 AND var_pop(r) > 0),
+rows AS (SELECT l_suppkey, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY month) AS INT) AS t, r - m AS r, v FROM moved JOIN facts USING (l_suppkey) WHERE r IS NOT NULL)"""
+
+
+def _supplier_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", F.last_day(F.col("l_shipdate").cast("date")).alias("month"), "l_extendedprice")
+    monthly = lines.groupBy("l_suppkey", "month").agg(t.mean_of_cents("l_extendedprice").alias("level"))
+    return monthly.withColumn("r", F.log1p(row_return("level", ["l_suppkey"], "month"))).where("r is not null")
+
+
+@query(f"""WITH RECURSIVE {_SUPPLIER},
+points AS (SELECT * FROM (VALUES {", ".join(f"({k}, {k_ * 1.0!r}::DOUBLE, {a * s!r}::DOUBLE, {(1 - a) * s!r}::DOUBLE, {1 - s!r}::DOUBLE)" for k, (a, s, k_) in enumerate(_POINTS))}) AS p(point, scale, alpha, beta, rest)),
+f AS (
+  SELECT l_suppkey, point, t, r, v AS s2, v * scale * rest AS omega, alpha, beta, (ln(2 * pi() * v) + r * r / v) / 2 AS cost FROM rows, points WHERE t = 1
+  UNION ALL
+  SELECT l_suppkey, point, t, r, s2, omega, alpha, beta, cost + (ln(2 * pi() * s2) + r * r / s2) / 2 FROM (
+    SELECT f.l_suppkey, point, rows.t, rows.r, omega + alpha * f.r * f.r + beta * f.s2 AS s2, omega, alpha, beta, cost
+    FROM f JOIN rows ON rows.l_suppkey = f.l_suppkey AND rows.t = f.t + 1))
+SELECT l_suppkey, point, round(arg_max(cost, t), 5) AS cost FROM f GROUP BY l_suppkey, point""")
+def garch_likelihoods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One round of the search: the likelihoods of several parameters for the series of every supplier."""
+    moved, facts = volatility_scan.centred(_supplier_changes(spark, sf_dir), ["l_suppkey"], "r")
+    point = lambda a, s, k: F.array(F.col("variance") * k * (1 - s), F.lit(a * s), F.lit((1 - a) * s))
+    points = facts.withColumn("points", F.array(*[point(*p) for p in _POINTS]))
+    placed = segments.in_segments(moved, ["l_suppkey"], "month", 30)
+    made = volatility_scan.likelihoods(placed, points, ["l_suppkey"], ["month"], "r")
+    return made.select("l_suppkey", F.posexplode("cost").alias("point", "cost")).withColumn("cost", F.round("cost", 5))
+
+
+@query()
+def garch_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GARCH fits of the monthly price changes of all suppliers at once."""
+    return volatility_scan.fit_garch(_supplier_changes(spark, sf_dir), ["l_suppkey"], ["month"], "r", 12)
