@@ -206,7 +206,7 @@ def fit_regimes(rows: DataFrame, parameters: DataFrame, series: list[str], order
 
     Each step's parameters, a row per fit and series, are cut off from the last by a checkpoint.
     """
-    placed = in_segments(rows, series, order[0], rows_per_segment)
+    placed = cut(in_segments(rows, series, order[0], rows_per_segment))
     for _ in range(steps):
         parameters = cut(em_step(placed, parameters.select("fit", *series, "start", "moves", "mean", "variance"), series, order, value))
     return parameters

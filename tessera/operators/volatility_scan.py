@@ -126,7 +126,7 @@ def fit_garch(rows: DataFrame, series: list[str], order: list[str], value: str,
     Null values don't count; series of fewer than LEAST_ROWS rows, or without variance, are left out.
     """
     moved, facts = centred(rows, series, value)
-    placed = in_segments(moved, series, order[0], rows_per_segment)
+    placed = cut(in_segments(moved, series, order[0], rows_per_segment))
     kinds = dict(rows.dtypes)
     names = ", ".join(f"`{k}` {kinds[k]}" for k in series)
     best = facts.withColumns({"points": F.array(F.array(*map(F.lit, CENTRE))), "cost": F.lit(0.0)})

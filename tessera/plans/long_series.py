@@ -218,9 +218,3 @@ def garch_likelihoods(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = segments.in_segments(moved, ["l_suppkey"], "month", 30)
     made = volatility_scan.likelihoods(placed, points, ["l_suppkey"], ["month"], "r")
     return made.select("l_suppkey", F.posexplode("cost").alias("point", "cost")).withColumn("cost", F.round("cost", 5))
-
-
-@query()
-def garch_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """GARCH fits of the monthly price changes of all suppliers at once."""
-    return volatility_scan.fit_garch(_supplier_changes(spark, sf_dir), ["l_suppkey"], ["month"], "r", 12)

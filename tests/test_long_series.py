@@ -97,21 +97,21 @@ def test_fit_finds_the_regimes_of_a_long_series(spark):
 
 
 def test_garch_by_grids_finds_what_a_simplex_finds(spark):
-    """A long series in ranges and two short ones; the likelihood is that of the search in one task, and parameters are near the true ones."""
+    """A long series in ranges, beside one that is too short and one without variance; the likelihood is that of the search in one task, and parameters are near the true ones."""
     from tessera.operators import volatility, volatility_scan
 
     rng, frames = np.random.default_rng(8), []
-    for name, n in (("long", 4000), ("a", 300), ("b", 19), ("flat", 50)):
+    for name, n in (("long", 2500), ("b", 19), ("flat", 50)):
         now, r = 1e-4, []
         for _ in range(n):
             r.append(float(np.sqrt(now) * rng.normal()))
             now = 2e-6 + 0.08 * r[-1] ** 2 + 0.90 * now
         frames += [(name, t, 0.5 if name == "flat" else x) for t, x in enumerate(r)]
-    rows = spark.createDataFrame([*frames, ("a", 999, None)], "s string, t int, r double").repartition(5)
-    found = {r["s"]: r for r in volatility_scan.fit_garch(rows, ["s"], ["t"], "r", rows_per_segment=700).collect()}
-    assert set(found) == {"long", "a"}
+    rows = spark.createDataFrame([*frames, ("long", 9999, None)], "s string, t int, r double").repartition(5)
+    found = {r["s"]: r for r in volatility_scan.fit_garch(rows, ["s"], ["t"], "r", rounds=9, rows_per_segment=700).collect()}
+    assert set(found) == {"long"}
     for name in found:
         own = volatility.fit_garch(np.array([x for s, _, x in frames if s == name]))
         assert found[name]["loglik"] > own["loglik"] - 0.01
         assert abs(found[name]["alpha"] - own["alpha"]) < 0.01 and abs(found[name]["beta"] - own["beta"]) < 0.02
-    assert abs(found["long"]["alpha"] - 0.08) < 0.025 and abs(found["long"]["beta"] - 0.90) < 0.03
+    assert abs(found["long"]["alpha"] - 0.08) < 0.04 and abs(found["long"]["beta"] - 0.90) < 0.05
