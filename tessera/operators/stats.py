@@ -38,15 +38,19 @@ def summary(rows: DataFrame, keys: list[str], value: str, goal: float | None = N
     return joined.alias("a").join(reach.alias("b"), [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys], "left").select("a.*", "reach")
 
 
-def quintiles(rows: DataFrame, keys: list[str], value: str, large: bool = False) -> DataFrame:
-    """Adds quintile 1..5 within the keys: edges are interpolated quantiles, closed on the right."""
-    cuts = {f"_e{k}": k / 5 for k in range(1, 5)}
-    found = exact_percentiles(rows, keys, value, cuts) if large else rows.groupBy(*keys).agg(*percentile_columns(value, cuts))
+def quintiles(rows: DataFrame, keys: list[str], value: str, large: bool = False, of: DataFrame | None = None) -> DataFrame:
+    """Adds quintile 1..5 within the keys: edges are interpolated quantiles, closed on the right.
+
+    ``of`` are the rows that make the edges, if it isn't the rows themselves: of copies, one each.
+    The edges, a row for each group, are broadcast: sizes estimated from files may hold the rows to be less.
+    """
+    cuts, of = {f"_e{k}": k / 5 for k in range(1, 5)}, rows if of is None else of
+    found = exact_percentiles(of, keys, value, cuts) if large else of.groupBy(*keys).agg(*percentile_columns(value, cuts))
     edges = found.select(*keys, F.array(*cuts).alias("_edges"))
     out = F.lit(5)
     for k in (4, 3, 2, 1):
         out = F.when(F.col(value) <= F.col("_edges")[k - 1], k).otherwise(out)
-    return rows.join(edges, keys).withColumn("quintile", out.cast("int")).drop("_edges")
+    return rows.join(F.broadcast(edges), keys).withColumn("quintile", out.cast("int")).drop("_edges")
 
 
 def percentile_curve(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -181,7 +185,9 @@ def _ranked_percentiles(rows: DataFrame, keys: list[str], value: str, wanted: li
     for i, k in enumerate(keys):
         one = F.col(k).eqNullSafe(F.col(f"_k{i}"))
         same = one if same is None else same & one
-    joined = known.join(renamed, same) if keys else known.crossJoin(renamed)
+    # Every row has its group's sketch. The join is an outer one because Spark then can't broadcast the
+    # rows: their size is estimated from the files, however often they were exploded or compressed.
+    joined = known.join(renamed, same, "left") if keys else known.crossJoin(F.broadcast(renamed))
     inside = F.exists("_brackets", lambda b: (F.col("_v") >= b["low"]) & (F.col("_v") <= b["high"]))
     placed = joined.select(*keys, "_n", "_v", F.size(F.filter("_low", lambda x: x <= F.col("_v"))).alias("_gap"), F.when(inside, F.col("_v")).alias("_x"))
     cells = placed.groupBy(*keys, "_n", "_gap", "_x").agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_from"))

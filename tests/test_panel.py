@@ -136,3 +136,12 @@ def test_bracketed_percentiles_are_exact(spark, values, accuracy):
     own = {r["k"]: r for r in stats.exact_percentiles(df, ["k"], "x", levels, accuracy=accuracy).collect()}
     for r in df.where("x is not null").groupBy("k").agg(*stats.percentile_columns("x", levels)).collect():
         assert all(math.isclose(own[r["k"]][n], r[n], rel_tol=1e-12, abs_tol=1e-12) for n in levels)
+
+
+def test_rows_are_never_the_broadcast_side_of_percentiles(spark, tmp_path):
+    """Rows exploded from a small file look small to Spark; broadcasting them would fill the driver."""
+    spark.range(40).select("id", (F.col("id") % 7).cast("double").alias("x")).write.parquet(str(tmp_path / "t"))
+    rows = spark.read.parquet(str(tmp_path / "t")).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    for made in (stats.exact_percentiles(rows, ["k"], "x", {"p50": 0.5}), stats.exact_percentiles(rows, [], "x", {"p50": 0.5}), stats.quintiles(rows, ["k"], "x", large=True)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "BuildRight" in plan and "BuildLeft" not in plan
