@@ -157,12 +157,11 @@ def cohort_summary(made: DataFrame, goal: float, by_quintile: bool) -> DataFrame
     """Medians and shares by sex, and by quintile of income within it if asked; persons by their median scenario.
 
     All medians of groups of people come from one exact ranking of (metric, value); only a
-    person's own scenarios are held together.
+    person's own scenarios are held together. A person's sex and income are the same in all rows.
     """
     keys = ["sex", "quintile"] if by_quintile else ["sex"]
     if by_quintile:
-        cut = quintiles(made.select("person", "sex", "income").distinct(), ["sex"], "income", large=True).select("person", "quintile")
-        made = made.join(cut, "person")
+        made = quintiles(made, ["sex"], "income", large=True, of=made.select("person", "sex", "income").distinct())
     last = F.greatest(F.col("last_salary"), F.lit(1e-9))
     default = made.where(F.col("strategy") == pension.DEFAULT).select(*keys, "person", "own", "total", "flat", (F.col("own") / last).alias("own_rate"), (F.col("total") / last).alias("total_rate"))
     plain = default.groupBy(*keys).agg(

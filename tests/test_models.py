@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tessera.config import Career, Glidepath
 from tessera.functions import numerics
 from tessera.operators import macro_regimes, pension, population, regimes, studies, volatility
+from tessera.plans import catalogue
 
 
 @pytest.fixture(scope="module")
@@ -206,3 +207,10 @@ def test_search_prefers_no_risk_when_risk_does_not_pay(spark):
     table, compared = studies.glidepath_search(rows, rows, "H", 150.0, 5.0, Career(start_age=60), grid=grid, with_reform=False)
     best = compared.first()
     assert (best["g0"], best["g1"]) == (0.3, 0.1) and table.count() == 3
+
+
+@pytest.mark.parametrize("name", ["cohort_table", "gap_lattice"])
+def test_no_join_broadcasts_or_repeats_the_customers(spark, sf_dir, name):
+    """Customers times scenarios or coalitions only meet rows of their groups, which are the broadcast side."""
+    plan = catalogue.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "BuildLeft" not in plan and "HashJoin [person" not in plan and "MergeJoin [person" not in plan
