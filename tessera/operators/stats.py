@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 LEVELS = {"p5": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
@@ -132,6 +132,14 @@ def covariances(rows: DataFrame, columns: list[str], weight: str | None = None)
     return long.select(cut[0].alias("a"), cut[1].alias("b"), "cov")
 
 
+def rolling_correlation(x: Column, y: Column, window: WindowSpec) -> Column:
+    """Correlation of the pairs in a window, NaN where one of both doesn't vary: Spark's own function divides by zero there."""
+    both = x.isNotNull() & y.isNotNull()
+    x, y = F.when(both, x), F.when(both, y)
+    spread = F.stddev_pop(x).over(window) * F.stddev_pop(y).over(window)
+    return F.when(spread == 0, float("nan")).otherwise(F.try_divide(F.covar_pop(x, y).over(window), spread))
+
+
 def fisher_interval(r: Column, n: Column, z: float = 1.645) -> tuple[Column, Column]:
     """Interval of a correlation of n independent pairs."""
     at, half = F.atanh(r), F.lit(z) / F.sqrt(n - 3)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import asof, regime_scan, segments, volatility_scan
+from tessera.operators import asof, regime_scan, segments, stats, volatility_scan
 from tessera.operators.panel import row_return
 from tessera.plans import tables as t
 from tessera.plans.relational import rounded
@@ -94,7 +94,7 @@ def rolling_halo(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("event_id", "event_type", "ts", "value")
     full = lambda w: F.count(F.lit(1)).over(w) == 36
     measures = {
-        "c": lambda w: F.when(full(w), F.corr("value", F.col("event_id") % 97).over(w)),
+        "c": lambda w: F.when(full(w), stats.rolling_correlation(F.col("value"), F.col("event_id") % 97, w)),
         "yearly": lambda w: F.when(full(w), F.exp(F.sum(F.ln(1 + F.col("value") / 1000)).over(w) * (12 / 36)) - 1),
     }
     made = segments.rolling(events, ["event_type"], ["ts", "event_id"], 36, measures, SEGMENT)

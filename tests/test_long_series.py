@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessera.operators import asof, regime_scan, regimes, segments
+from tessera.operators import asof, regime_scan, regimes, segments, stats
+from tessera.plans import long_series
+from tests.harness import assert_same, connection
 
 
 @pytest.fixture(scope="module")
@@ -115,3 +117,22 @@ def test_garch_by_grids_finds_what_a_simplex_finds(spark):
         assert found[name]["loglik"] > own["loglik"] - 0.01
         assert abs(found[name]["alpha"] - own["alpha"]) < 0.01 and abs(found[name]["beta"] - own["beta"]) < 0.02
     assert abs(found["long"]["alpha"] - 0.08) < 0.04 and abs(found["long"]["beta"] - 0.90) < 0.05
+
+
+def test_rolling_halo_where_values_do_not_vary(spark, tmp_path):
+    """Windows of equal values have no correlation, as in the SQL: NaN, not an error and not a null."""
+    rows = [(k, "a" if k % 2 else "b", pd.Timestamp("2024-01-01") + pd.Timedelta(minutes=k // 160), 5.0 if k < 300 else float(k % 13)) for k in range(700)]
+    pd.DataFrame(rows, columns=["event_id", "event_type", "ts", "value"]).to_parquet(tmp_path / "events.parquet", coerce_timestamps="us")
+    frame = long_series.rolling_halo(spark, str(tmp_path))
+    con = connection(str(tmp_path))
+    assert_same(frame, long_series.SQL["rolling_halo"], con)
+    counts = frame.agg(F.count_if(F.isnan("c")), F.count_if(F.col("c").isNull())).first()
+    sql = con.execute(f"SELECT count(*) FILTER (WHERE isnan(c)), count(*) FILTER (WHERE c IS NULL) FROM ({long_series.SQL['rolling_halo']})").fetchone()
+    assert tuple(counts) == sql and sql[0] > 100
+
+
+def test_rolling_correlation_takes_whole_pairs(spark):
+    df = spark.createDataFrame([(1, 1.0, 2.0), (2, None, 9.0), (3, 4.0, 3.0), (4, 2.0, None), (5, 3.0, 7.0)], "t int, x double, y double")
+    w = Window.orderBy("t").rowsBetween(-3, 0)
+    made = df.select("t", stats.rolling_correlation(F.col("x"), F.col("y"), w).alias("c")).orderBy("t").collect()
+    assert np.isnan([made[0]["c"], made[1]["c"]]).all() and [round(r["c"], 12) for r in made[2:]] == [1.0, 1.0, -1.0]
