@@ -86,9 +86,11 @@ def balances(rows: DataFrame, keys: list[str], contributions: dict[str, str], gr
     per_block = max(1, block_cells // max(1, months))
     n_rows, n_grown = (-(-df.count() // per_block) or 1 for df in (rows.select(*keys), grown.select("scenario")))
     kinds = dict(rows.dtypes)
+    # Both sides must name blocks by the same type: equal numbers of other types are hashed to other partitions.
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = rows.select(*keys, *[F.col(c).alias(n) for n, c in contributions.items()], F.pmod(F.xxhash64(*keys), F.lit(n_rows)).alias("_rows"))
-    right = grown.select("scenario", "strategy", "growth", F.pmod(F.xxhash64("scenario", "strategy"), F.lit(n_grown)).alias("_grown"))
+    dealt_by = lambda columns, n: F.pmod(F.xxhash64(*columns), F.lit(n)).cast("int")
+    left = rows.select(*keys, *[F.col(c).alias(n) for n, c in contributions.items()], dealt_by(keys, n_rows).alias("_rows"))
+    right = grown.select("scenario", "strategy", "growth", dealt_by(["scenario", "strategy"], n_grown).alias("_grown"))
     out = [*keys, "scenario", "strategy", *names]
 
     def product(a: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:

@@ -127,6 +127,22 @@ def test_blocks_of_people_and_scenarios_are_those_of_one(spark):
     assert population.balances(people.limit(0), ["person"], {"own": "a"}, grown, 36).count() == 0
 
 
+def test_blocks_meet_over_many_partitions(spark):
+    """Both sides of a block go to the same partition, also where Spark does not merge partitions afterwards."""
+    rows, _ = paths(spark, 9, 36)
+    people = spark.range(11).select(F.col("id").alias("person"), F.array_repeat(F.lit(1.0), 36).alias("a"))
+    grown = population.growths(rows, {"x": [[0.2] * 5] * 36})
+    own = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "31"}
+    before = {k: spark.conf.get(k) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        assert population.balances(people, ["person"], {"own": "a"}, grown, 36, 2 * 36).count() == 11 * 9
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_the_product_does_not_pass_through_the_driver(spark, monkeypatch):
     """Far more growth cells than a block: nothing is collected or broadcast, and a task holds one block of each side."""
     rows, _ = paths(spark, 60, 120)
