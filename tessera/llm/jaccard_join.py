@@ -495,7 +495,8 @@ def jaccard_join(docs: DataFrame, n: int = N_GRAM, threshold: float = THRESHOLD,
     groups = durable(worded.groupBy("set_key").agg(F.min("row_no").alias("rep"), F.count(F.lit(1)).alias("weight")))
     weights = groups.select(F.col("rep").alias("row_no"), "weight")
     sketch = F.substring("prints", 1, 4 * SKETCH).alias("sketch")
-    sets = worded.select("row_no", "n_set", sketch, *[f"keys{k + 1}" for k in range(LEVELS)]).join(weights.select("row_no"), "row_no", "left_semi")
+    # Every level of the walk reads the sets, so they are picked once.
+    sets = durable(worded.select("row_no", *[f"keys{k + 1}" for k in range(LEVELS)]).join(weights.select("row_no"), "row_no", "left_semi"))
     reached, hot = leaves(sets, prints, block, branches, threshold)
     sketched = reached.join(worded.select("row_no", "n_set", sketch), "row_no")
     sketched = sketched.repartition(partitions(spark), "leaf").sortWithinPartitions("leaf")

@@ -613,6 +613,29 @@ def test_families_that_share_boilerplate_grow_with_their_texts(spark, monkeypatc
     assert b <= 2.5 * a and hot_a == hot_b == 0 and b <= 100 * 6600
 
 
+def joined_rows(spark, since, kind):
+    """Rows that joins on row_no of this kind made in the session's queries after the first ``since``."""
+    store, made = spark._jsparkSession.sharedState().statusStore(), 0
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    for k in range(since, store.executionsCount()):
+        run = store.executionsList().apply(k).executionId()
+        values, nodes = store.executionMetrics(run), store.planGraph(run).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            if re.search(rf"Join \[row_no#\d+L?\], \[row_no#\d+L?\], {kind}", node.desc()):
+                metrics = [node.metrics().apply(i) for i in range(node.metrics().size())]
+                found = [values.get(m.accumulatorId()) for m in metrics if m.name() == "number of output rows"]
+                made += sum(int(v.get().replace(",", "")) for v in found if v.isDefined())
+    return made
+
+
+def test_sets_are_picked_once_however_deep_the_walk(spark):
+    """With small blocks walks go down several levels, and each reads the sets; picking them makes as many rows as there are sets."""
+    docs = near_copies()
+    since = spark._jsparkSession.sharedState().statusStore().executionsCount()
+    jaccard_join.jaccard_join(spark.createDataFrame(docs, "doc_id long, text string"), block=4).collect()
+    assert 0 < joined_rows(spark, since, "LeftSemi") <= len(docs)
+
+
 def test_core_and_walkers_are_compared_once(spark):
     """A family near the limits of the core: every link is found, and none is counted twice."""
     rng = random.Random(12)
