@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import decontamination, jaccard_join, perfect_hash, quality, registry, secrets, substring_dedup, token_counts, toxicity
 from tessera.llm.exact_dedup import build_index, group_digests, probe, row_digests
+from tessera.llm.pipeline import drop_near_copies
 from tests.harness import assert_same, connection
 
 BIG = "/root/testdata/sf0.01"
@@ -636,6 +637,15 @@ def test_sets_are_picked_once_however_deep_the_walk(spark):
     assert 0 < joined_rows(spark, since, "LeftSemi") <= len(docs)
 
 
+def test_the_pipeline_picks_sets_once(spark):
+    """The stage that drops near copies, with its own size of blocks."""
+    docs = spark.createDataFrame(near_copies(), "doc_id long, text string")
+    since = spark._jsparkSession.sharedState().statusStore().executionsCount()
+    kept = drop_near_copies(spark, docs, "").count()
+    assert 0 < kept < docs.count()
+    assert 0 < joined_rows(spark, since, "LeftSemi") <= docs.count()
+
+
 def test_core_and_walkers_are_compared_once(spark):
     """A family near the limits of the core: every link is found, and none is counted twice."""
     rng = random.Random(12)
